@@ -1,6 +1,11 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
+from .decontam import op4_decontamination
+from .mixing import OP8_SQL, op8_mixing
+from .packing import op10_best_fit_packing
 from .simhash import op9_simhash_bit_sliced
 
-QUERIES = {f.__name__: f for f in (op9_simhash_bit_sliced,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f for f in (op4_decontamination, op8_mixing, op9_simhash_bit_sliced, op10_best_fit_packing)
+}
+ORACLE_SQL = {"op8_mixing": OP8_SQL}
