@@ -4,9 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilspark.llm import decontam, mixing, packing, simhash, toxicity
 from veilspark.llm.common import table, work_dir
 
-STAGES = []
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the toxicity chain, fitted on the labels, rejects."""
+    return toxicity.kept_rows(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of SimHash near-duplicates: that of the smallest id."""
+    return simhash.kept_rows(docs)
+
+
+def keep_untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    return decontam.clean_rows(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat, cut and leave out documents so that every source comes to its target."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the documents as packed token ids; one row for each, with the places of its pieces."""
+    return packing.pack(docs, work_dir(spark, "packed"))
+
+
+STAGES = [
+    ("toxicity", keep_civil),
+    ("near_duplicates", keep_one_of_alike),
+    ("decontamination", keep_untested),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
 
 #: Models, fingerprints and packing are not expressible in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -19,4 +52,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = work_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

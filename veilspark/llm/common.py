@@ -6,7 +6,7 @@ import itertools
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java spelling of a word: a run of anything but ASCII white space.
@@ -43,6 +43,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """Two columns, never null, that tell rows apart by id and text."""
+    # The mark keeps a null id apart from an empty one.
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return [name.alias("__id"), F.xxhash64(F.col(text_col)).alias("__hash")]
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a URI or a plain path, and the path in it."""
     from pyarrow import fs

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, checkpoint, table
+from .common import SPACE, WORD, checkpoint, row_key, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -93,6 +93,39 @@ def _cut(rows: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame
     return all_rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "d.source")
 
 
+def mixed_rows(
+    docs: DataFrame,
+    weights: tuple = WEIGHTS,
+    share: float = SHARE,
+    cap: float = CAP,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken, with all their columns.
+
+    A row on a source's cut gives a last row of the words that are left, joined by spaces; a column n_chars then has the
+    length of that. Rows alike in id and text are taken together.
+    """
+    key = row_key(docs, id_col, text_col)
+    names = ["__id", "__hash"]
+    slim = docs.select(F.struct(*key).alias("__key"), F.col(text_col), F.col(source_col))
+    taken = mix(slim, weights, share, cap, "__key", text_col, source_col).where("taken > 0")
+    taken = taken.groupBy("doc_id.__id", "doc_id.__hash").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"))
+    rows = docs.select("*", *key).dropDuplicates(names).join(taken, names)
+    last = F.expr("__taken div __size")
+    copies = F.expr("sequence(cast(0 as bigint), (__taken + __size - 1) div __size - 1)")
+    rows = rows.withColumn("__copy", F.explode(copies))
+    left = F.expr("__taken % __size").cast("int")
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), 1, left), " ")
+    cut = F.col("__copy") >= last
+    rows = rows.withColumn(text_col, F.when(cut, words).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.when(cut, F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     return mix(table(spark, sf_dir, "documents")).drop("source")

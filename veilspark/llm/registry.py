@@ -4,8 +4,10 @@ from .decontam import op4_decontamination
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_best_fit_packing
 from .simhash import op9_simhash_bit_sliced
+from .toxicity import op1_toxicity_chain
 
 QUERIES = {
-    f.__name__: f for f in (op4_decontamination, op8_mixing, op9_simhash_bit_sliced, op10_best_fit_packing)
+    f.__name__: f
+    for f in (op1_toxicity_chain, op4_decontamination, op8_mixing, op9_simhash_bit_sliced, op10_best_fit_packing)
 }
 ORACLE_SQL = {"op8_mixing": OP8_SQL}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components
+from .common import checkpoint, components, row_key
 
 BITS = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -201,6 +201,19 @@ def near_duplicates(
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that of the smallest id, then of the smallest text hash.
+
+    Ids may be null (these come last) and may repeat; of rows alike in id and text one stays.
+    """
+    parts = row_key(docs, id_col, text_col)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *parts)
+    found = near_duplicates(docs.select(key.alias("key"), text_col), "key", text_col, words, radius)
+    keep = found.where("doc_id <=> component_id").select("doc_id.__id", "doc_id.__hash").distinct()
+    names = ["__id", "__hash"]
+    return docs.select("*", *parts).join(keep, names).dropDuplicates(names).drop(*names)
+
+
 def op9_simhash_bit_sliced(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     from .common import table
