@@ -3,11 +3,21 @@
 from .decontam import op4_decontamination
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_best_fit_packing
+from .quality import OP6_SQL, op6_quality_rules
 from .simhash import op9_simhash_bit_sliced
 from .toxicity import op1_toxicity_chain
+from .units import op2_line_dedup
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity_chain, op4_decontamination, op8_mixing, op9_simhash_bit_sliced, op10_best_fit_packing)
+    for f in (
+        op1_toxicity_chain,
+        op2_line_dedup,
+        op4_decontamination,
+        op6_quality_rules,
+        op8_mixing,
+        op9_simhash_bit_sliced,
+        op10_best_fit_packing,
+    )
 }
-ORACLE_SQL = {"op8_mixing": OP8_SQL}
+ORACLE_SQL = {"op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL}
