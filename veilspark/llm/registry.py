@@ -7,6 +7,7 @@ from .quality import OP6_SQL, op6_quality_rules
 from .simhash import op9_simhash_bit_sliced
 from .toxicity import op1_toxicity_chain
 from .units import op2_line_dedup
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     f.__name__: f
@@ -15,9 +16,10 @@ QUERIES = {
         op2_line_dedup,
         op4_decontamination,
         op6_quality_rules,
+        op7_warc,
         op8_mixing,
         op9_simhash_bit_sliced,
         op10_best_fit_packing,
     )
 }
-ORACLE_SQL = {"op6_quality_rules": OP6_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL = {"op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op8_mixing": OP8_SQL}
