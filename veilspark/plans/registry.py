@@ -1,4 +1,6 @@
 """Name -> query and name -> SQL of the engine's own operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import queries, twins
+
+QUERIES = queries.QUERIES
+ORACLE_SQL = twins.ORACLE_SQL
