@@ -71,11 +71,14 @@ def removed_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORD
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             best: dict[bytes, tuple] = {}
-            rows: list[tuple[int, int, bytes, bool]] = []
+            rows: list[tuple] = []
+            hashes = b.column(2).to_pylist()
             ranks = b.column(0).to_pylist()
             order = [tuple(r.values()) for r in ranks]
 
             def flush() -> pa.RecordBatch:
+                # What is settled travels under a key of its own, not to where its digest is settled.
+                rows[:] = [(i, u, b"%d/%d" % (hashes[i], u), True) for i, u in rows]
                 rows.extend((i, u, d, False) for d, (_, u, i) in best.items())
                 at = pa.array([r[0] for r in rows], pa.int32())
                 columns = [c.take(at) for c in b.columns[:3]]
@@ -94,9 +97,9 @@ def removed_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORD
                     elif other[:2] <= mine[:2]:
                         # A repeated row stands where its twin does and stays with it.
                         if other[:2] != mine[:2]:
-                            rows.append((i, u, d, True))
+                            rows.append((i, u))
                     else:
-                        rows.append((other[2], other[1], d, True))
+                        rows.append((other[2], other[1]))
                         best[d] = mine
                 if len(best) + len(rows) >= HELD:
                     yield flush()
@@ -106,10 +109,10 @@ def removed_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORD
         last, first = None, None
         for b in batches:
             keep = []
-            for i, (r, u, d) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())):
+            for i, (r, u, d, gone) in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 3, 4, 5)))):
                 if d != last:
                     last, first = d, (r, u)
-                if (r, u) != first:
+                if gone or (r, u) != first:
                     keep.append(i)
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(j).take(at) for j in (1, 2, 3)], names=names[1:4])
