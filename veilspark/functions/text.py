@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def let(c: Column, body) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends, of any kind."""
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -43,12 +48,18 @@ def entropy(c: Column) -> Column:
 
 def partial_mask(c: Column, visible: float = 0.3) -> Column:
     """The middle replaced by #; about ``visible`` of the characters stay, half at each end (rounded half to even)."""
-    s = strip(c)
-    n = F.length(s)
-    half = F.greatest(F.lit(1), F.bround(n * F.lit(visible / 2), 0).cast("int"))
-    keep = F.when(half * 2 >= n, F.greatest(F.lit(1), F.floor(n / 3).cast("int"))).otherwise(half)
-    masked = F.concat(F.substring(s, F.lit(1), keep), F.repeat(F.lit("#"), n - 2 * keep), F.right(s, keep))
-    return F.when(c.isNull() | (n == 0), F.lit("#####")).when(n <= 2, F.repeat(F.lit("#"), n)).otherwise(masked)
+
+    def mask(s: Column) -> Column:
+        n = F.length(s)
+        half = F.greatest(F.lit(1), F.bround(n * F.lit(visible / 2), 0).cast("int"))
+
+        def around(keep: Column) -> Column:
+            return F.concat(F.substring(s, F.lit(1), keep), F.repeat(F.lit("#"), n - 2 * keep), F.right(s, keep))
+
+        keep = F.when(half * 2 >= n, F.greatest(F.lit(1), F.floor(n / 3).cast("int"))).otherwise(half)
+        return F.when(n == 0, F.lit("#####")).when(n <= 2, F.repeat(F.lit("#"), n)).otherwise(let(keep, around))
+
+    return let(strip(F.coalesce(c, F.lit(""))), mask)
 
 
 def span_context(chunk: Column, span: Column, radius: int = 72) -> Column:

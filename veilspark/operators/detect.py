@@ -72,7 +72,14 @@ def audit(df: DataFrame, text_col: str = "chunk", key: list[str] = CHUNK_KEY) ->
 def indian_ids(df: DataFrame, text_col: str = "chunk", key: list[str] = CHUNK_KEY) -> DataFrame:
     """(key, text, label, score 1): ids by structure, the first spelling of each value and label."""
     c = F.col(text_col)
-    each = [F.transform(spans(c, p), lambda x, i, la=la, o=o: F.struct(F.lit(o).alias("o"), i.alias("i"), tx.strip(x).alias("text"), F.lit(la).alias("label"))) for o, (p, la) in enumerate(vocab.INDIAN_IDS)]
+
+    def rule(o: int, pattern: str, label: str) -> Column:
+        def row(x: Column, i: Column) -> Column:
+            return F.struct(F.lit(o).alias("o"), i.alias("i"), tx.strip(x).alias("text"), F.lit(label).alias("label"))
+
+        return F.transform(spans(c, pattern), row)
+
+    each = [rule(o, p, label) for o, (p, label) in enumerate(vocab.INDIAN_IDS)]
     found = df.select(*key, F.explode(F.concat(*each)).alias("x")).select(*key, "x.*")
     found = found.groupBy(*key, F.lower("text").alias("low"), "label").agg(F.min_by("text", F.struct("o", "i")).alias("text"))
     return found.select(*key, "text", "label", F.lit(1.0).alias("score"))

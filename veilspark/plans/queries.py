@@ -443,7 +443,7 @@ def stage_state(spark, sf_dir):
 def positional_join(spark, sf_dir):
     rows = docs(spark, sf_dir)
     left = rows.select("doc_id", F.slice(F.split("text", " "), 1, 6).alias("word"))
-    right = rows.select("doc_id", F.slice(F.split(F.upper("text"), " "), 3, 4).alias("later"))
+    right = rows.select("doc_id", F.slice(F.split(F.reverse("text"), " "), 3, 4).alias("later"))
     return report.positional_join(left, right, "doc_id", "word", "later")
 
 

@@ -81,7 +81,9 @@ ORACLE_SQL |= {
 # Audit: \w of Python and Java is not RE2's, so words are taken as Unicode runs first.
 W = r"[\pL\pN_]"
 RUNS = rf"regexp_extract_all(text, '[\pL\pN\pM_]+')"
-AUDIT = {n: f"regexp_extract_all(text, {q(re2(p))})" for n, p in vocab.AUDIT.items()}
+# RE2's word boundaries know ASCII only; Latin letters beyond it are made an ASCII one that no pattern takes.
+ASCII = "regexp_replace(text, '[ªµºÀ-ÖØ-öø-ɏ]', '_', 'g')"
+AUDIT = {n: f"regexp_extract_all({ASCII}, {q(re2(p))})" for n, p in vocab.AUDIT.items()}
 AUDIT["alphanumeric"] = f"list_filter({RUNS}, lambda x: regexp_full_match(x, '[A-Za-z0-9]{{12,}}') AND NOT regexp_full_match(x, '[A-Za-z]{{12,22}}'))"
 AUDIT["obfuscated_email"] = rf"regexp_extract_all(text, '(?i){W}+{WS}*(?:at|\(at\)){WS}*{W}+{WS}*(?:dot|\.){WS}*{W}+')"
 for _n in vocab.AUDIT:
@@ -355,7 +357,7 @@ ORACLE_SQL["stage_state"] = f"""WITH t(ord, label) AS (VALUES {values(_stages)})
 SELECT a.label, b.label AS current, CASE WHEN a.ord < b.ord THEN 'done' WHEN a.ord = b.ord THEN 'active' ELSE 'pending' END AS state FROM t a CROSS JOIN t b"""
 ORACLE_SQL["positional_join"] = """SELECT doc_id, i::INT AS pos, a[i + 1] AS word, b[i + 1] AS later FROM (
   SELECT doc_id, a, b, unnest(range(0, least(len(a), len(b)))) AS i FROM (
-    SELECT doc_id, string_split(text, ' ')[1:6] AS a, string_split(upper(text), ' ')[3:6] AS b FROM documents))"""
+    SELECT doc_id, string_split(text, ' ')[1:6] AS a, string_split(reverse(text), ' ')[3:6] AS b FROM documents))"""
 SCANS, EVALS, GONE, WANT, OURS, THEIRS = (f"({duck(x)})" for x in (dv.SCANS, dv.EVALUATIONS, dv.DELETED, dv.WANTED, dv.OURS, dv.THEIRS))
 LATEST = f"SELECT file_name, max(run_id) AS last_run_id, arg_max(created_at, run_id) AS last_scanned_at FROM {SCANS} GROUP BY file_name"
 ORACLE_SQL["latest_scan_per_file"] = LATEST
