@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from . import vocab
 from .labels import slug
-from .text import partial_mask, strip
+from .text import let, partial_mask, strip
 
 # --- Fixed values: what invented names and addresses are made of ------------------------------------------------------
 FIRST = ("Alex", "Jordan", "Taylor", "Casey", "Morgan", "Avery")
@@ -43,10 +43,28 @@ def phone_prefix(original: Column) -> Column:
 
 def synthetic(pii_type: Column, original: Column, lang: Column | None = None) -> Column:
     """A value of the type's shape. The first kind that the type's name contains decides, so ``username`` is a name."""
-    t = F.lower(pii_type)
-    arabic = (lang == "ar") if lang is not None else F.lit(False)
-    source = F.concat(t, F.lit("\u0001"), original)
-    seed = number(source) % 1_000_000
+    given = F.struct(F.lower(pii_type).alias("t"), original.alias("o"), (F.lit("en") if lang is None else lang).alias("lang"))
+
+    def seeded(x: Column) -> Column:
+        source = F.concat(x["t"], F.lit("\u0001"), x["o"])
+        whole = F.struct(
+            x["t"].alias("t"),
+            x["o"].alias("o"),
+            x["lang"].alias("lang"),
+            source.alias("source"),
+            (number(source) % 1_000_000).alias("seed"),
+            phone_prefix(x["o"]).alias("prefix"),
+            date_format(x["o"]).alias("shape"),
+        )
+        return let(whole, _shaped)
+
+    return let(given, seeded)
+
+
+def _shaped(x: Column) -> Column:
+    """The value for a struct of all that decides it."""
+    t, original, source, seed, prefix, shape = (x[c] for c in ("t", "o", "source", "seed", "prefix", "shape"))
+    arabic = x["lang"] == "ar"
 
     def draw(k: int, low: int, high: int) -> Column:
         return low + F.pmod(number(F.concat(source, F.lit(f"\u0001{k}"))), F.lit(high - low + 1))
@@ -75,7 +93,6 @@ def synthetic(pii_type: Column, original: Column, lang: Column | None = None) ->
     def name(first, last) -> Column:
         return line(pick(first, seed % 6), " ", pick(last, F.floor(seed / 7) % 6))
 
-    prefix = phone_prefix(original)
     phone = (
         F.when(prefix == "0", line("0", draw(0, 70, 79), draw(1, 1000000, 9999999)))
         .when(prefix == "+46", line("+46", draw(0, 70, 79), draw(1, 100000, 999999)))
@@ -84,7 +101,7 @@ def synthetic(pii_type: Column, original: Column, lang: Column | None = None) ->
         .when(prefix == "+49", line("+49", draw(0, 150, 179), draw(1, 1000000, 9999999)))
         .otherwise(line("+1-555-", draw(0, 100, 999), "-", draw(1, 1000, 9999)))
     )
-    year, month, day, shape = draw(0, 1970, 1999), two(1, 1, 12), two(2, 1, 28), date_format(original)
+    year, month, day = draw(0, 1970, 1999), two(1, 1, 12), two(2, 1, 28)
     date = (
         F.when(shape == "yyyymmdd", line(year, "-", month, "-", day))
         .when(shape == "ddmmyyyy", line(day, "/", month, "/", year))
@@ -118,13 +135,17 @@ def synthetic(pii_type: Column, original: Column, lang: Column | None = None) ->
     out = F.when(*kinds[0])
     for test, value in kinds[1:]:
         out = out.when(test, value)
-    return out.otherwise(line("<", slug(pii_type), "_", seed % 100000, ">"))
+    return out.otherwise(line("<", slug(t), "_", seed % 100000, ">"))
 
 
 def datatype_match(value: Column, pii_type: Column) -> Column:
     """Whether a value has the shape that its type asks for; the first kind that the type's name contains decides."""
-    t, s = F.lower(pii_type), strip(value)
-    digits = F.regexp_replace(value, r"(?U)\D", "")
+    given = F.struct(F.lower(pii_type).alias("t"), value.alias("v"), strip(value).alias("s"), F.regexp_replace(value, r"(?U)\D", "").alias("digits"))
+    return let(given, _fits)
+
+
+def _fits(x: Column) -> Column:
+    t, value, s, digits = x["t"], x["v"], x["s"], x["digits"]
 
     def whole(pattern: str) -> Column:
         return s.rlike("^(?:" + pattern.removeprefix("(?U)").removeprefix("(?Ui)") + ")$")

@@ -66,10 +66,14 @@ class RunStore:
     def export_json(self, run_id: str, path: str) -> None:
         """A run's report as one JSON document."""
         rows = self.report(run_id)
-        files = F.sort_array(F.collect_list(F.struct("file_name", *(c for c in rows.columns if c not in ("run_id", "created_at", "file_name", "file")))))
+        one = F.struct("file_name", *(c for c in rows.columns if c not in ("run_id", "created_at", "file_name", "file")))
+        order = lambda a, b: F.when(a["file_name"] < b["file_name"], -1).when(a["file_name"] > b["file_name"], 1).otherwise(0)
+        files = F.array_sort(F.collect_list(one), order)
         totals = [F.sum(f"chunks_{k}").alias(f"total_chunks_{k}") for k in ("anonymized", "not_anonymized")]
         # A report is one document by its format; runs are exported one at a time.
-        rows.groupBy("run_id", "created_at").agg(*totals, F.array_sort(F.collect_set("file_name")).alias("source_files"), files.alias("files")).coalesce(1).write.mode("overwrite").json(path)
+        names = F.array_sort(F.collect_set("file_name")).alias("source_files")
+        made = rows.groupBy("run_id", "created_at").agg(*totals, names, files.alias("files"))
+        made.coalesce(1).write.mode("overwrite").json(path)
 
     def write_texts(self, files: DataFrame, path: str) -> None:
         """Anonymised texts, a folder for each file."""
