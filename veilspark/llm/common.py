@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint, shared_dir
+
 #: Java spelling of a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that parts words.
@@ -19,30 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests on one machine) a local folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file:///tmp/checkpoints/" + uuid.uuid4().hex
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder, which survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two columns, never null, that tell rows apart by id and text."""
     # The mark keeps a null id apart from an empty one.
