@@ -248,10 +248,15 @@ def repeating(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Record
 
 
 def with_text(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From (k, b, runs(run, bucket, hot), ...): (bucket, tag, text, k, first). Of a hot bucket a row for each window, its digest."""
+    """From (k, b, runs(run, bucket, hot), ...): (bucket, tag, text, k, first, end).
+
+    Tag 0: the text of a run's windows. Of hot buckets each digest leaves a batch once: tag 1 if a single window of the batch
+    has it, tag 2 if several have, and the runs of windows that these settle leave as spans, tag 3, under a key of their own.
+    """
     for b in batches:
         out: list[tuple] = []
-        seen: dict[bytes, None] = {}
+        hot: list[tuple[int, int, bytes]] = []
+        count: dict[bytes, int] = {}
         for row, (data, found) in enumerate(zip(b.column(1), b.column(2).to_pylist())):
             if not found:
                 continue
@@ -259,23 +264,35 @@ def with_text(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             for r in found:
                 first, n = r["run"] >> 16, (r["run"] & 0xFFFF) + 1
                 if not r["hot"]:
-                    out.append((r["bucket"], 0, bytes(data[first : first + n - 1 + length]), row, first))
+                    out.append((r["bucket"], 0, bytes(data[first : first + n - 1 + length]), row, first, 0))
                     continue
                 for s in range(first, first + n):
                     digest = xxhash.xxh3_128_digest(data[s : s + length])
-                    # What this task has had twice is settled: the third and later say nothing new of the others.
-                    out.append((int.from_bytes(digest[:8], "little", signed=True), 2 if digest in seen else 1, digest, row, s))
-                    seen[digest] = None
-                    if len(seen) > 500_000:
-                        seen.clear()
-        cols = list(zip(*out)) or [()] * 5
+                    count[digest] = count.get(digest, 0) + 1
+                    hot.append((row, s, digest))
+        keys = b.column(0).to_pylist()
+        settled: list[list[int]] = []
+        for row, s, digest in sorted(hot):
+            many = count[digest]
+            if many:
+                key = int.from_bytes(digest[:8], "little", signed=True)
+                out.append((key, 1 if many == 1 else 2, digest, row, s, 0))
+                count[digest] = 0 if many > 1 else 1
+            if many != 1:
+                if settled and settled[-1][0] == row and settled[-1][2] == s - 1:
+                    settled[-1][2] = s
+                else:
+                    settled.append([row, s, s])
+        out += [(int.from_bytes(keys[row][:8], "little", signed=True), 3, b"", row, s, e + length) for row, s, e in settled]
+        cols = list(zip(*out)) or [()] * 6
         k = b.column(0).take(pa.array(cols[3], pa.int32()))
-        columns = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), k, pa.array(cols[4], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "tag", "text", "k", "first"])
+        columns = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), k]
+        columns += [pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "tag", "text", "k", "first", "end"])
 
 
 def spans_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(k, start, end) of what is repeated, from rows of ``with_text`` sorted by bucket and text."""
+    """(k, start, end) of what is repeated, from rows of ``with_text`` sorted by bucket, text and tag."""
     block: list[tuple] = []
     size, last, group = 0, None, []
 
@@ -321,18 +338,20 @@ def spans_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     digest = None
     for b in batches:
         found: list[tuple] = []
-        for bucket, tag, text, k, first in zip(*(c.to_pylist() for c in b.columns)):
+        for bucket, tag, text, k, first, end in zip(*(c.to_pylist() for c in b.columns)):
+            if tag == 3:
+                found.append((k, first, end))
+                continue
             if tag:
+                # Single windows of a digest come before what other batches had several times.
                 if text != digest:
-                    digest, one = text, (k, first)
-                    if tag == 2:
-                        found.append((k, first, first + length))
-                        one = None
+                    digest, one = text, (k, first) if tag == 1 else None
                     continue
                 if one is not None:
                     found.append((*one, one[1] + length))
                     one = None
-                found.append((k, first, first + length))
+                if tag == 1:
+                    found.append((k, first, first + length))
                 continue
             if bucket != last:
                 if size >= SORTED_BYTES:
@@ -363,8 +382,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_text = found.groupBy("k").agg(F.collect_list(F.struct("run", "bucket", "hot")).alias("runs"))
     # Left joins and all columns, here and below: the texts' shuffle is then the same one in all three uses.
     texts = classes.join(by_text, "k", "left").select("k", "b", "runs", "n")
-    windows = texts.mapInArrow(lambda it: with_text(it, length), "bucket long, tag int, text binary, k binary, first long")
-    windows = windows.repartition("bucket").sortWithinPartitions("bucket", "tag", "text")
+    windows = texts.mapInArrow(lambda it: with_text(it, length), "bucket long, tag int, text binary, k binary, first long, end long")
+    windows = windows.repartition("bucket").sortWithinPartitions("bucket", "text", "tag")
     spans = windows.mapInArrow(lambda it: spans_of(it, length), "k binary, start long, end long")
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
