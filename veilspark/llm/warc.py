@@ -28,7 +28,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:x-page:"
 #: Bytes of payload after which a writer begins the next file, and of an archive that one reading task takes.
 FILE_BYTES, READ_BYTES = 256 << 20, 64 << 20
-LEVEL, READ = 1, 1 << 20
+LEVEL, READ = 6, 1 << 20
 
 
 def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
