@@ -38,10 +38,10 @@ def test_later_models_learn_from_held_out_odds():
     docs, labels = corpus(400, 3)
     import numpy as np
 
-    rows = [np.array(toxicity.features(t), np.int32) for _, t in docs]
+    rows = toxicity.Rows.of([np.array(toxicity.features(t), np.int32) for _, t in docs])
     y = np.array([[q == 0, t == 1] for _, q, t in labels], float)
     chain = toxicity.Chain(rows, y, np.zeros(2))
-    fitted = chain.models[0].odds(rows, np.zeros((len(rows), 0)))
+    fitted = chain.models[0].odds(rows, np.zeros((rows.n, 0)))
     assert chain.held_out.shape == (400, 2) and not np.allclose(toxicity.sigmoid(fitted), chain.held_out[:, 0])
 
 

@@ -73,28 +73,42 @@ def log_odds(p):
     return np.clip(np.log(np.maximum(p, 1e-12) / np.maximum(1 - p, 1e-12)), -MOST_ODDS, MOST_ODDS)
 
 
+class Rows:
+    """Feature ids of rows, side by side, and whose they are; four bytes each."""
+
+    def __init__(self, flat: np.ndarray, owner: np.ndarray, n: int):
+        self.flat, self.owner, self.n = flat.astype(np.int32, copy=False), owner.astype(np.int32, copy=False), n
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Rows:
+        flat = np.concatenate([np.zeros(0, np.int32), *rows])
+        return cls(flat, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), len(rows))
+
+    def where(self, mask: np.ndarray) -> Rows:
+        keep, number = mask[self.owner], np.cumsum(mask, dtype=np.int32) - 1
+        return Rows(self.flat[keep], number[self.owner[keep]], int(mask.sum()))
+
+
 class Linear:
-    """L1 logistic regression on binary features (as rows' id arrays) and a few dense columns."""
+    """L1 logistic regression on binary features and a few dense columns."""
 
-    def __init__(self, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray):
+    def __init__(self, rows: Rows, dense: np.ndarray, y: np.ndarray):
         n, pos = len(y), float(y.sum())
         self.ids, self.w = np.zeros(0, np.int64), np.zeros(0)
         self.v, self.b = np.zeros(dense.shape[1]), -30.0 if pos == 0 else 30.0
         if pos in (0.0, float(n)):
             return
-        lengths = np.array([len(r) for r in rows])
-        flat, owner = np.concatenate(rows), np.repeat(np.arange(n), lengths)
-        ids, at = np.unique(flat, return_inverse=True)
-        df, hit = np.bincount(at), np.bincount(at, weights=y[owner])
+        df = np.bincount(rows.flat, minlength=MASK + 1)
+        ids = np.flatnonzero(df >= 3)
+        df, hit = df[ids], np.bincount(rows.flat[y[rows.owner] > 0], minlength=MASK + 1)[ids]
         rate = df / n
         z = (hit / pos - (df - hit) / (n - pos)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / pos + 1 / (n - pos)))
-        z[(df < 3) | (np.abs(z) < 2)] = 0
         chosen = np.argsort(-np.abs(z), kind="stable")[:SELECTED]
-        chosen = np.sort(chosen[np.abs(z[chosen]) > 0])
-        place = np.full(len(ids), -1)
+        chosen = ids[np.sort(chosen[np.abs(z[chosen]) >= 2])]
+        place = np.full(MASK + 1, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
-        keep = place[at] >= 0
-        col, row = place[at[keep]], owner[keep]
+        col = place[rows.flat]
+        row, col = rows.owner[col >= 0], col[col >= 0]
         k = len(chosen)
 
         def ahead(w, v, b):
@@ -119,33 +133,29 @@ class Linear:
             w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
             old, cur, t = cur, (w, look[1] - step * g[1], look[2] - step * g[2]), new_t
         live = cur[0] != 0
-        self.ids, self.w, self.v, self.b = ids[chosen][live].astype(np.int64), cur[0][live], cur[1], float(cur[2])
+        self.ids, self.w, self.v, self.b = chosen[live], cur[0][live], cur[1], float(cur[2])
 
-    def odds(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        out = np.full(len(rows), self.b) + dense @ self.v
-        if len(self.ids):
-            for i, r in enumerate(rows):
-                at = np.searchsorted(self.ids, r)
-                at[at == len(self.ids)] = 0
-                out[i] += self.w[at][self.ids[at] == r].sum()
-        return out
+    def odds(self, rows: Rows, dense: np.ndarray) -> np.ndarray:
+        weight = np.zeros(MASK + 1)
+        weight[self.ids] = self.w
+        return np.bincount(rows.owner, weights=weight[rows.flat], minlength=rows.n) + dense @ self.v + self.b
 
 
 class Chain:
     """Models of the categories in turn, and the words' features that they weigh."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, shift: np.ndarray):
+    def __init__(self, rows: Rows, y: np.ndarray, shift: np.ndarray):
         """y: rows x categories. shift: what to add to each category's log-odds, as the sample has its own shares."""
-        self.models, before, self.shift = [], np.zeros((len(rows), 0)), shift
-        folds = np.arange(len(rows)) % FOLDS
+        self.models, before, self.shift = [], np.zeros((rows.n, 0)), shift
+        folds = np.arange(rows.n) % FOLDS
         self.held_out = np.zeros(y.shape)
         for c in range(y.shape[1]):
-            out = np.zeros(len(rows))
+            out = np.zeros(rows.n)
             for f in range(FOLDS):
-                inside, outside = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
-                if len(inside) and len(outside):
-                    m = Linear([rows[i] for i in inside], before[inside], y[inside, c])
-                    out[outside] = m.odds([rows[i] for i in outside], before[outside])
+                outside = folds == f
+                if outside.any() and not outside.all():
+                    m = Linear(rows.where(~outside), before[~outside], y[~outside, c])
+                    out[outside] = m.odds(rows.where(outside), before[outside])
             self.models.append(Linear(rows, before, y[:, c]))
             self.held_out[:, c] = sigmoid(out + shift[c])
             before = np.column_stack([before, log_odds(self.held_out[:, c])])
@@ -216,7 +226,9 @@ def fit(
     first = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]  # repeated rows of a document count once
     y = np.array([y[i] for i in first], float).reshape(len(first), len(categories))
     flat, at = rows.flatten().to_numpy(), rows.offsets.to_numpy() if len(rows) else np.zeros(1, int)
-    rows = [flat[at[i] : at[i + 1]] - 0 for i in first]
+    mask = np.zeros(len(ids), bool)
+    mask[first] = True
+    rows = Rows(flat, np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at)), len(ids)).where(mask)
     # The sample has its own share of the deciding category: odds are moved back to the share among all labels.
     d = [name for name, _ in categories].index(DECIDES)
     have, true = (y[:, d].mean() if len(y) else 0.5), counts.get(True, 0) / max(1, sum(counts.values()))
