@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as e
@@ -22,7 +23,7 @@ def duck():
 
 def plain(df):
     df = df[sorted(df.columns)]
-    value = lambda v: None if v is None or v != v else str(round(v, 6) if isinstance(v, float) else v)
+    value = lambda v: None if pd.isna(v) else str(round(v, 6) if isinstance(v, float) else v)
     return [tuple(map(value, r)) for r in df.astype(object).itertuples(index=False)]
 
 

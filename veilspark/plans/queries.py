@@ -385,10 +385,6 @@ def highlight_spans(spark, sf_dir):
 # Reports
 
 
-def _result(spark, sf_dir):
-    return process(ids(spark, sf_dir).where("doc_id <= 300").select("doc_id", "text"), EngineConf(chunk_size=400, chunk_overlap=50))
-
-
 @query
 def process_documents(spark, sf_dir):
     done = process(docs(spark, sf_dir)).anonymised
