@@ -138,7 +138,7 @@ def deduplicate(
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     src = src.select("*", *row_key(src))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("__hash").alias("hash"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__hash").alias("hash"))
     gone = removed_units(src.select(rank.alias("rank"), "__id", "__hash", "text"), unit, min_words)
     gone = gone.groupBy("__id", "__hash").agg(F.sort_array(F.collect_set("unit")).alias("gone"))
     kind = docs.schema[id_col].dataType.simpleString()
