@@ -23,7 +23,7 @@ from .common import row_key, table
 
 MIN_WORDS = 8
 #: Digests that a task holds before it passes them on.
-HELD = 400_000
+HELD = 200_000
 #: What ends a unit: a line's end, and for lines also a sentence's; and blank lines for paragraphs.
 ENDS = {"line": re.compile(r"\n|(?<=[.!?])[ \t]+"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
 EDGES = "\"'()[]{}.,;:!?*-_ "
