@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import itertools
 import os
+import pickle
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def shipped(spark: SparkSession, value):
+    """A function that gives ``value`` on the executors, unpacked once a worker; they need not have this package installed."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        if "made" not in held.__dict__:
+            held.__dict__["made"] = pickle.loads(held.value)
+        return held.__dict__["made"]
+
+    return get
+
+
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two columns, never null, that tell rows apart by id and text."""
     # The mark keeps a null id apart from an empty one.

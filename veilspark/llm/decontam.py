@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shipped, table
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage retrieves it, and share of shingles that verifies it.
@@ -217,13 +217,13 @@ def decontaminate(
     none += [F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_score")]
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *none)
     for held in turns(items):
-        held = spark.sparkContext.broadcast(held)
+        get = shipped(spark, held)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], get=get) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n, m, every, best = (c.to_pylist() for c in b.columns[2:])
                 for i, text in enumerate(b.column(1)):
-                    for index in held.value:
+                    for index in get():
                         p, r, got = index.hits(text.as_py(), retrieve, verify)
                         n[i], m[i] = max(n[i], p), m[i] + r
                         every[i] = sorted({*every[i], *(-1 if k is None else int(k) for k in got)})
@@ -240,16 +240,18 @@ def decontaminate(
     )
 
 
+def clean_udf(get):
+    @F.pandas_udf("boolean")
+    def clean(texts):
+        return texts.map(lambda t: not any(x.hits(t)[2] for x in get())).astype(bool)
+
+    return clean
+
+
 def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; judged in place, without a shuffle."""
     for held in turns(items):
-        held = docs.sparkSession.sparkContext.broadcast(held)
-
-        @F.pandas_udf("boolean")
-        def clean(texts, held=held):
-            return texts.map(lambda t: not any(x.hits(t)[2] for x in held.value)).astype(bool)
-
-        docs = docs.where(clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+        docs = docs.where(clean_udf(shipped(docs.sparkSession, held))(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return docs
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shipped, table
 from .decontam import words_of
 
 #: The labelled categories in the order of the chain: name and condition on the labels. The last named ``DECIDES`` rejects.
@@ -244,11 +244,11 @@ def score(
 
     Null and empty texts are scored as texts without a word. Repeated rows score alike. Other columns are not read.
     """
-    held, names = docs.sparkSession.sparkContext.broadcast(chain), [f"p_{n}" for n, _ in categories]
+    get, names = shipped(docs.sparkSession, chain), [f"p_{n}" for n, _ in categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = np.array([held.value.probabilities(t.as_py()) for t in b.column(1)]).reshape(-1, len(names))
+            p = np.array([get().probabilities(t.as_py()) for t in b.column(1)]).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p.T)], names=["doc_id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -259,11 +259,11 @@ def score(
 
 def kept_rows(docs: DataFrame, chain: Chain, text_col: str = "text", categories: tuple = CATEGORIES) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns; judged in place, without a shuffle."""
-    held, d = docs.sparkSession.sparkContext.broadcast(chain), [n for n, _ in categories].index(DECIDES)
+    get, d = shipped(docs.sparkSession, chain), [n for n, _ in categories].index(DECIDES)
 
     @F.pandas_udf("boolean")
     def fine(texts):
-        return texts.map(lambda t: held.value.probabilities(t)[d] < REJECT).astype(bool)
+        return texts.map(lambda t: get().probabilities(t)[d] < REJECT).astype(bool)
 
     return docs.where(fine(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
