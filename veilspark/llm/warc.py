@@ -253,7 +253,10 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("__sha1", F.sha1("payload")).withColumn("__size", F.length("payload"))
     groups = rows.groupBy("__sha1", "__size").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
-    groups = groups.where((F.col("n") > 1) & (F.col("__size") >= least)).drop("n")
+    # Written first, so that its size is known: Spark broadcasts it up to its own threshold, and else shuffles the pages.
+    path = work_dir(pages.sparkSession, "copies")
+    groups.where((F.col("n") > 1) & (F.col("__size") >= least)).drop("n").write.parquet(path)
+    groups = pages.sparkSession.read.parquet(path)
     rows = rows.join(groups, ["__sha1", "__size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return rows.select(
