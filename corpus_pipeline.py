@@ -14,8 +14,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of SimHash near-duplicates: that of the smallest id."""
-    return simhash.kept_rows(docs)
+    """Keep one document of each group of near-duplicates, Jaccard 0.8 over five-word shingles: that of the smallest id."""
+    return simhash.kept_of_similar(docs)
 
 
 def keep_untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,16 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "packing"]
     assert corpus_pipeline.run(spark, folder).count() == len(seen["packing"])
     assert decontam and mixing and packing
+
+
+def test_edited_copies_go(spark, tmp_path):
+    rng = random.Random(9)
+    docs = [" ".join(f"word{rng.randrange(800)}" for _ in range(200)) for _ in range(30)]
+    copies = []
+    for text in docs[:20]:
+        words = text.split()
+        words[50], words[120] = "edited", "changed"
+        copies.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(docs + copies)), "doc_id long, text string")
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(30))

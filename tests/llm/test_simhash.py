@@ -87,3 +87,44 @@ def test_one_of_alike_stays(spark):
 def test_no_rows(spark):
     assert rows(simhash.near_duplicates(empty_documents(spark))) == []
     assert rows(simhash.kept_rows(empty_documents(spark))) == []
+
+
+def test_similar_sets_against_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    shared = " ".join(rng.choice(words) for _ in range(12))
+    texts = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice((3, 7, 40, 150, 600)))]
+        texts.append(" ".join(base) + (" " + shared if i % 2 else ""))
+        for k in range(rng.randrange(4)):
+            copy = base[:]
+            for _ in range(rng.randrange(1, 2 + len(base) // 40)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy) + (" " + shared if i % 2 else ""))
+    texts += [None, "", "  ", texts[0].upper()]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    n = range(len(texts))
+    pairs = [(i, j) for i in n for j in n if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    bits = [simhash.set_fingerprint(simhash.shingle_set(t, 5)) for t in texts]
+    assert sum(bin((bits[i] ^ bits[j]) & (2**64 - 1)).count("1") > 3 for i, j in pairs) > 10  # what three bits leave
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {v for v, root in roots(n, pairs).items() if v == root}
+    for common in (simhash.COMMON, 2):
+        simhash.COMMON, was = common, simhash.COMMON
+        try:
+            assert sorted(r.doc_id for r in simhash.kept_of_similar(docs).collect()) == sorted(want)
+        finally:
+            simhash.COMMON = was
+
+
+def test_similar_odd_rows(spark):
+    df = odd_documents(spark)
+    got = simhash.kept_of_similar(df)
+    assert got.columns == df.columns and got.count() == simhash.kept_rows(df, radius=0).count()
+    assert simhash.kept_of_similar(empty_documents(spark)).collect() == []

@@ -11,6 +11,7 @@ work. Copies meet as one fingerprint before anything is compared.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, row_key
+from .common import checkpoint, components, row_key, shipped, work_dir
 
 BITS = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -28,6 +29,12 @@ PIECE = 4096
 ENTRIES = 1 << 18
 #: Shingles whose bits are counted at once.
 SHINGLES = 1 << 16
+#: Bits within which two sets of Jaccard similarity 0.8 lie: their shingles' cosine is 0.89, about 9.7 bits and 2.9 of deviation.
+WIDE = 24
+#: Pairs held at once.
+PAIRS = 1 << 21
+#: Texts of which common shingles are counted, how many must share one, and how many are kept.
+SAMPLE, COMMON, COMMON_KEPT = 10_000, 8, 100_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -214,6 +221,202 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return docs.select("*", *parts).join(keep, names).dropDuplicates(names).drop(*names)
 
 
+def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles: of a short text the one of all its words, without a word only zero."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(1, np.uint64)
+    parts = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in parts], np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingles, each counted once, as a signed long."""
+    total = np.zeros(BITS, np.int64)
+    for a in range(0, len(hashes), SHINGLES):
+        part = hashes[a : a + SHINGLES].view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def common_shingles(src: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts of a sample hold. They only order shingles; no result depends on them."""
+    near = src.select(F.xxhash64("text").alias("h"), "text")
+    part = max(1, near.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64))], names=["s"])
+
+    seen = near.where(F.pmod("h", F.lit(part)) == 0).dropDuplicates(["h"]).mapInArrow(run, "s long")
+    top = seen.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "s").limit(COMMON_KEPT)
+    return np.sort(np.array([r.s for r in top.select("s").collect()], np.int64).view(np.uint64))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in an order for all texts, common ones last, so many that two texts alike share one of theirs."""
+    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    late = np.isin(hashes, common, assume_unique=True)
+    return np.concatenate([hashes[~late], hashes[late]])[:size]
+
+
+def marks(src: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(__id, __hash, key, same, fp, n, prefix) of ``src(__id, __hash, key, text)``; texts of one set have one ``same``."""
+    common = shipped(src.sparkSession, common_shingles(src, words))
+    kind = src.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column(3)]
+            same = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+            first = pa.array([prefix(s, common(), similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            more = [same, pa.array(map(set_fingerprint, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), first]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=names)
+
+    names = ["__id", "__hash", "key", "same", "fp", "n", "prefix"]
+    schema = f"__id string, __hash long, key {kind}, same long, fp long, n long, prefix array<bigint>"
+    return src.select("__id", "__hash", "key", "text").mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
+    """Columns of longs as arrays that end where the first one, sorted, changes."""
+    held: list[np.ndarray] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)]))
+            if sum(x.shape[1] for x in held) < ENTRIES // 8:
+                continue
+        if not held:
+            continue
+        m = np.concatenate(held, axis=1)
+        new = np.flatnonzero(m[0, 1:] != m[0, :-1]) + 1
+        cut = m.shape[1] if b is None else int(new[-1]) if len(new) else 0  # the last group may go on
+        held = [m[:, cut:]]
+        if cut:
+            yield m[:, :cut]
+
+
+def met(nodes: DataFrame) -> DataFrame:
+    """(s, same, fp, n): the prefix shingles that more than one of ``nodes(same, fp, n, prefix)`` has."""
+    rows = nodes.select(F.explode("prefix").alias("s"), "same", "fp", "n").repartition("s").sortWithinPartitions("s", "same")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m in whole_groups(batches, 4):
+            equal = m[0, 1:] == m[0, :-1]
+            m = m[:, np.r_[False, equal] | np.r_[equal, False]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in m], names=["s", "same", "fp", "n"])
+
+    return rows.mapInArrow(run, "s long, same long, fp long, n long")
+
+
+def stars(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): what may be alike of the first row and each other one of a shingle, in ``rows`` of ``met`` as they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m in whole_groups(batches, 4):
+            start = np.flatnonzero(np.r_[True, m[0, 1:] != m[0, :-1]])
+            first = np.repeat(m[:, start], np.diff(np.r_[start, m.shape[1]]), axis=1)
+            ok = (m[1] != first[1]) & (np.bitwise_count((m[2] ^ first[2]).view(np.uint64)) <= WIDE)
+            ok &= np.minimum(m[3], first[3]) >= similarity * np.maximum(m[3], first[3]) - 1e-9
+            pairs = np.unique(np.stack([first[1, ok], m[1, ok]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs of ``rows(s, same, fp, n, part)`` that meet at a shingle, are of two parts and may be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m in whole_groups(batches, 5):
+            start = np.flatnonzero(np.r_[True, m[0, 1:] != m[0, :-1]])
+            sizes = np.diff(np.r_[start, m.shape[1]])
+            mixed = np.minimum.reduceat(m[4], start) != np.maximum.reduceat(m[4], start)
+            m, sizes = m[:, np.repeat(mixed, sizes)], sizes[mixed]
+            _, same, fp, n, part = m
+            # Within a group, rows are sorted by part, so a row is compared only with those of later parts.
+            end = np.repeat(np.cumsum(sizes), sizes)
+            own = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (m[0, 1:] != m[0, :-1])]) if len(part) else []
+            lo = np.repeat(np.r_[own[1:], len(part)], np.diff(np.r_[own, len(part)])) if len(part) else end
+            a = 0
+            while a < len(part):
+                b = a + max(1, int(np.searchsorted(np.cumsum((end - lo)[a:]), PAIRS, side="right")))
+                hi = np.where((np.arange(len(part)) >= a) & (np.arange(len(part)) < b), end, lo)
+                i, j = close_pairs(fp.view(np.uint64), lo, hi, WIDE)
+                ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+                u, v = same[i[ok]], same[j[ok]]
+                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+                a = b
+
+    rows = rows.select("s", "same", "fp", "n", "part").repartition("s").sortWithinPartitions("s", "part", "same")
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs(u, v)`` whose shingle sets in ``texts(same, text)`` have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, None
+        for b in batches:
+            keep = []
+            for i, (u, a, c) in enumerate(zip(b.column(0).to_pylist(), b.column(2), b.column(3))):
+                if u != last:
+                    last, left = u, shingle_set(a.as_py(), words)
+                right = shingle_set(c.as_py(), words)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                if both >= similarity * (len(left) + len(right) - both) - 1e-9:
+                    keep.append(i)
+            at = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["u", "v"])
+
+    for at in ("v", "u"):
+        pairs = pairs.join(texts.select(F.col("same").alias(at), F.col("text").alias(f"text_{at}")), at)
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+
+
+def kept_of_similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """One row of each group of ``docs`` that pairs of at least this Jaccard similarity of word shingles connect.
+
+    The row is that of the smallest id, null last, then of the smallest text hash, with all its columns. Pairs meet at a rare
+    shingle (prefix filter: none of the similarity is missed), must be within ``WIDE`` bits of SimHash, and are then compared
+    exactly. Each group at a shingle is first compared with one of its members; only what this leaves apart is compared in
+    pairs.
+    """
+    parts = row_key(docs, id_col, text_col)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *parts)
+    spark, src = docs.sparkSession, docs.select(*parts, key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    every = checkpoint(marks(src, words, similarity))
+    rows = checkpoint(met(every.select("same", "fp", "n", "prefix").dropDuplicates(["same"])))
+    low = checkpoint(every.groupBy("same").agg(F.min("key").alias("key")))
+
+    def written(df: DataFrame) -> DataFrame:
+        # A table of known size: joined by broadcast if small, so that the other side does not travel.
+        path = work_dir(spark, "similar")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = checkpoint(pairs)
+        used = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
+        names = written(low.join(used, "same").select("same", "key.__id", "key.__hash"))
+        texts = src.select("__id", "__hash", "text").join(names, ["__id", "__hash"]).select("same", "text")
+        return checkpoint(alike(pairs, texts.dropDuplicates(["same"]), words, similarity))
+
+    found = links_of(stars(rows, similarity))
+    roots = written(components(found).select(F.col("node").alias("same"), F.col("root").alias("part")))
+    labelled = rows.join(roots, "same", "left").withColumn("part", F.coalesce("part", "same"))
+    found = found.union(links_of(apart(labelled, similarity)))
+    roots = components(found).select(F.col("node").alias("same"), "root")
+    keep = low.join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("key").alias("key"))
+    keep = keep.select("key.__id", "key.__hash").distinct()
+    names = ["__id", "__hash"]
+    return docs.select("*", *parts).join(keep, names).dropDuplicates(names).drop(*names)
+
+
 def op9_simhash_bit_sliced(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     from .common import table
