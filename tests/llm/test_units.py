@@ -52,3 +52,18 @@ def test_odd_rows_and_hot_lines(spark):
 
 def test_no_rows(spark):
     assert units.deduplicate(empty_documents(spark)).collect() == []
+
+
+def test_short_lines_and_documents_against_a_dictionary_of_lines(spark):
+    texts = ["And ornd.\nFirst text has its own long line after the short one.", "Other words. And more\nand  ornd\nAnother line follows here", "Tiny text", "tiny text.", "And ornd.\nTiny text\nAnd ornd.", "Other words. And more", "---\nx", "---"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            plain = " ".join(line.lower().split())
+            key = plain.strip(units.EDGES) or plain
+            if key not in seen:
+                want.setdefault(i, []).append(line)
+            seen.add(key)
+    got = {r.doc_id: [x for x in r.kept_text.split("\n") if x] for r in units.deduplicate(docs).collect()}
+    assert got == {i: want.get(i, []) for i in range(len(texts))}

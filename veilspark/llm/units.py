@@ -3,7 +3,8 @@
 A text is cut into units: lines, and within lines sentences, as flowing text may hold a repeated passage anywhere in a line;
 or paragraphs. Units are normalised (case, white space, edge punctuation) and hashed to 128 bits. A unit of few words says
 little by itself, so it is hashed together with the units that follow it, or that stand before it at a text's end, up to
-``min_words`` words.
+``min_words`` words. Besides, a whole line is hashed by itself, whatever its length, and goes with all its units if it is not the
+earliest of its kind; only lines that hold a short unit need that, as in others each unit is hashed by itself anyway.
 
 Each task first settles the digests that it sees more than once, so a digest leaves a task once, however hot it is; then one
 shuffle by digest, sorted by rank, settles the rest as a stream. Only removed units travel back to their documents.
@@ -11,6 +12,7 @@ shuffle by digest, sorted by rank, settles the rest as a stream. Only removed un
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,6 +26,8 @@ from .common import row_key, table
 MIN_WORDS = 8
 #: Digests that a task holds before it passes them on.
 HELD = 200_000
+#: Added to the place of a line's first unit, where a whole line is meant.
+WHOLE = 1 << 30
 #: What ends a unit: a line's end, and for lines also a sentence's; and blank lines for paragraphs.
 ENDS = {"line": re.compile(r"\n|(?<=[.!?])[ \t]+"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
 EDGES = "\"'()[]{}.,;:!?*-_ "
@@ -59,8 +63,29 @@ def digests(text: str, spans: list[tuple[int, int]], min_words: int = MIN_WORDS)
     return out
 
 
+def lines_of(text: str, spans: list[tuple[int, int]], unit: str = "line") -> list[range]:
+    """The units of each whole line, or of each paragraph."""
+    if unit != "line":
+        return [range(i, i + 1) for i in range(len(spans))]
+    starts = [i for i, (a, _) in enumerate(spans) if not i or "\n" in text[spans[i - 1][1] : a]]
+    return [range(a, b) for a, b in zip(starts, [*starts[1:], len(spans)])]
+
+
+def line_digests(text: str, spans: list[tuple[int, int]], unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, bytes]]:
+    """(first unit, 16-byte digest) of the whole lines that hold a unit of fewer than ``min_words`` words."""
+    out = []
+    for r in lines_of(text, spans, unit):
+        units = [" ".join(text[a:b].lower().split()).strip(EDGES) for a, b in spans[r.start : r.stop]]
+        if min(p.count(" ") + 1 for p in units) >= min_words and all(units):
+            continue
+        whole = " ".join(text[spans[r.start][0] : spans[r.stop - 1][1]].lower().split())
+        out.append((r.start, xxhash.xxh3_128_digest(("line\0" + (whole.strip(EDGES) or whole)).encode("utf-8", "replace"))))
+    return out
+
+
 def removed_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __hash, unit): the units of ``docs(rank, __id, __hash, text)`` that are not the earliest of their digest.
+    """(__id, __hash, unit): the units of ``docs(rank, __id, __hash, text)`` that are not the earliest of their digest, and
+    ``WHOLE`` more than the first unit of each line that is not.
 
     ``rank`` is a struct that orders documents; units of one document rank by their place.
     """
@@ -88,7 +113,9 @@ def removed_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORD
 
             for i, text in enumerate(b.column(3)):
                 text = text.as_py() or ""
-                for u, d in enumerate(digests(text, units_of(text, unit), min_words)):
+                spans = units_of(text, unit)
+                whole = [(WHOLE + u, d) for u, d in line_digests(text, spans, unit, min_words)]
+                for u, d in itertools.chain(enumerate(digests(text, spans, min_words)), whole):
                     if d is None:
                         continue
                     mine, other = (order[i], u, i), best.get(d)
@@ -132,7 +159,7 @@ def deduplicate(
     """One row for each row of ``docs``: doc_id, n_units, n_removed, removed (start, end in code points), kept_text.
 
     Rank is the order of ids, null last, then of text hashes, then the place in the text. Null and empty texts have no unit
-    and an empty kept_text, and a text of fewer than ``min_words`` words is left whole. Rows alike in id and text are one
+    and an empty kept_text; of a text of fewer than ``min_words`` words only whole lines are compared. Rows alike in id and text are one
     document and get the same result each. ``kept_text`` is the original without the removed units and the white space that
     follows each. Other columns are not read.
     """
@@ -149,6 +176,9 @@ def deduplicate(
             for text, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 text = text or ""
                 spans = units_of(text, unit)
+                if drop and drop[-1] >= WHOLE:
+                    lines = {r.start: r for r in lines_of(text, spans, unit)}
+                    drop = sorted({k for u in drop for k in (lines[u - WHOLE] if u >= WHOLE else (u,))})
                 n.append(len(spans))
                 removed.append([dict(zip(("start", "end"), spans[u])) for u in drop or ()])
                 out, at = [], 0
