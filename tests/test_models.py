@@ -4,6 +4,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
+from veilspark.functions import parsers
 from veilspark.operators import ensemble, models, replace
 
 
@@ -49,6 +50,13 @@ def test_detect_judge_and_replace(spark, chat):
     assert [(r.original_value, r.anonymized_value) for r in replace.checked(offered, chunks).collect()] == [("Anna", "Eve")]
 
 
+def test_a_reader_of_replies_used_before_a_model(spark, chat):
+    replies = spark.createDataFrame([('so [{"a": 1}]',), (None,)], "reply string")
+    read = replies.select(parsers.best_list_column(replies.reply).alias("b"), parsers.json_like_column(replies.reply).alias("j"))
+    assert [(r.b, r.j) for r in read.collect()] == [('[{"a": 1}]', '{"result": [{"a": 1}]}'), ("[]", '{"error": "Empty text"}')]
+    test_detect_judge_and_replace(spark, chat)
+
+
 def test_replies():
     assert models.entities_of('{"spans": [{"value": "a", "entity_type": "B"}]}') == [("a", "b")]
     assert models.entities_of("nothing") == [] and models.entities_of('[{"text": "a", "label": "x"}]') == [("a", "x")]

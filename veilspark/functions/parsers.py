@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -137,11 +137,21 @@ def detected_in_prompt(prompt: Column) -> Column:
     return F.coalesce(F.from_json(F.get(lines, F.lit(0)), kind), F.array().cast(kind))
 
 
-@F.pandas_udf(StringType())
-def best_list_udf(replies: pd.Series) -> pd.Series:
-    return replies.map(best_list)
+def _by_row(reply: Column, read: Callable[[str | None], str]) -> Column:
+    """``read`` of every reply. The UDF is made here: a used one holds a JVM handle, and this module is pickled by value."""
 
+    @F.pandas_udf(StringType())
+    def run(replies: pd.Series) -> pd.Series:
+        return replies.map(read)
 
-@F.pandas_udf(StringType())
-def json_like_udf(replies: pd.Series) -> pd.Series:
-    return replies.map(json_like)
+    return run(reply)
+
+
+def best_list_column(reply: Column) -> Column:
+    """``best_list`` of every reply; a null reply has none."""
+    return _by_row(reply, best_list)
+
+
+def json_like_column(reply: Column) -> Column:
+    """``json_like`` of every reply; a null reply is an empty text."""
+    return _by_row(reply, json_like)

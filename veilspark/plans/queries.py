@@ -560,14 +560,14 @@ def parse_verdicts(spark, sf_dir):
 @query
 def parse_best_list(spark, sf_dir):
     reply = F.concat(F.lit('Thoughts [1] then [{"a":1}] or [{"text":"'), F.col("c_name"), F.lit('"},{"text":"b"}] done'))
-    return _replies(spark, sf_dir, reply).select("c_custkey", parsers.best_list_udf("reply").alias("best"))
+    return _replies(spark, sf_dir, reply).select("c_custkey", parsers.best_list_column(F.col("reply")).alias("best"))
 
 
 @query
 def parse_json_like(spark, sf_dir):
     k = F.col("c_custkey")
     reply = F.when(k % 3 == 0, F.lit('{"a": 1}')).when(k % 3 == 1, F.concat(F.lit("so [1, "), k, F.lit("] end"))).otherwise(F.lit("nothing"))
-    return _replies(spark, sf_dir, reply).select("c_custkey", parsers.json_like_udf("reply").alias("parsed"))
+    return _replies(spark, sf_dir, reply).select("c_custkey", parsers.json_like_column(F.col("reply")).alias("parsed"))
 
 
 @query
