@@ -5,7 +5,7 @@ from veilspark.conf import EngineConf, deep_merge
 from veilspark.functions import labels as lb
 from veilspark.functions import parsers, synthetic, vocab
 from veilspark.functions import text as tx
-from veilspark.operators import detect, ensemble, replace
+from veilspark.operators import detect, replace
 
 
 def one(spark, rows, schema, *columns):
@@ -53,8 +53,9 @@ def test_label_agreement_in_both_spellings(spark):
     assert [g[0] for g in got] == [r[2] for r in AGREE] == [g[1] for g in got]
     words = [*dict.fromkeys((*vocab.ZERO_SHOT_LABELS, *vocab.SLM_LABELS, "dob", "organization name"))]
     df = spark.createDataFrame([(x, y) for x in words for y in words], "a string, b string")
-    for r in df.select("a", "b", lb.agrees(a, b).alias("g"), lb.agrees(a, b, True).alias("e")).collect():
-        assert (r.g, r.e) == (ensemble.labels_agree(r.a, r.b), ensemble.labels_agree(r.a, r.b, True))
+    same = [lb.signatures_agree(lb.signature(a, e), lb.signature(b, e)).alias(f"s{e}") for e in (False, True)]
+    for r in df.select("a", "b", lb.agrees(a, b).alias("g"), lb.agrees(a, b, True).alias("e"), *same).collect():
+        assert (r.g, r.e) == (r.sFalse, r.sTrue)
     assert got[7][2] is False and got[4][2] is False
 
 

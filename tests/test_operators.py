@@ -1,10 +1,12 @@
 import io
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.conf import EngineConf
+from veilspark.functions import labels as lb
 from veilspark.operators import detect, ensemble, evaluate, filters, report
 from veilspark.plans.pipeline import process
 from veilspark.sources import files, store
@@ -35,8 +37,56 @@ def test_findings_fold(said):
     found = said.select("doc_id", "chunk_index", F.col("text").alias("value"), F.col("label").alias("pii_type"), "score", F.array("detector").alias("found_by"), (F.col("detector_ord") * 9 + F.col("pos")).alias("ord"))
     got = {(r.value, r.pii_type, r.score, tuple(r.found_by)) for r in ensemble.dedupe_findings(found).collect()}
     assert got == {("john smith", "person", 0.95, ("a", "b", "c")), ("2024-01-05", "date", 0.85, ("a",)), ("Acme", "organization", 0.8, ("b", "c"))}
-    rows = [{"low": v.lower(), "value": v, "pii_type": t, "score": s, "found_by": [str(s)], "ord": i} for i, (v, t, s) in enumerate([("John", "person", 0.5), ("John Smith", "name", 0.9), ("Smith", "person", 0.7), ("Rome", "city", 0.4)])]
-    assert [(r["value"], r["score"], r["found_by"]) for r in ensemble.cluster(rows)] == [("John Smith", 0.9, ["0.5", "0.7", "0.9"]), ("Rome", 0.4, ["0.4"])]
+    rows = [(1, 1, v, t, x, [str(x)], i) for i, (v, t, x) in enumerate([("John", "person", 0.5), ("John Smith", "name", 0.9), ("Smith", "person", 0.7), ("Rome", "city", 0.4)])]
+    df = said.sparkSession.createDataFrame(rows, FINDINGS)
+    got = {(r.value, r.score, tuple(r.found_by)) for r in ensemble.dedupe_findings(df).collect()}
+    assert got == {("John Smith", 0.9, ("0.5", "0.7", "0.9")), ("Rome", 0.4, ("0.4",))}
+
+
+FINDINGS = "doc_id long, chunk_index int, value string, pii_type string, score double, found_by array<string>, ord int"
+KINDS = ("person", "name", "city", "email address", "address", "dob", "date", "date of birth", "phone", "ssn", "organization", "organization name")
+WORDS = ("ann", "ann lee", "lee", "n", "rome", "rome 12", "12", "x12", "Ann")
+
+
+def test_folds_against_plain_loops(spark):
+    """Random findings and entities, grouped and matched by loops; labels agree as the expression has it."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(a, b) for a in KINDS for b in KINDS], "a string, b string")
+    agree = {(r.a, r.b): (r.g, r.e) for r in df.select("a", "b", lb.agrees(F.col("a"), F.col("b")).alias("g"), lb.agrees(F.col("a"), F.col("b"), True).alias("e")).collect()}
+    said = [(d, 1, rng.choice(WORDS), rng.choice(KINDS), rng.randrange(1, 9) / 10, [rng.choice("abc")], i) for d in range(60) for i in range(rng.randrange(1, 9))]
+    merged = ensemble.findings_by_value(spark.createDataFrame(said, FINDINGS)).collect()
+    want = set()
+    for d in {r.doc_id for r in merged}:
+        groups = []
+        for r in sorted((r for r in merged if r.doc_id == d), key=lambda r: r.ord):
+            home = next((g for g in groups if agree[g[0].pii_type, r.pii_type][0] and any(r.low in m.low or m.low in r.low for m in g)), None)
+            home.append(r) if home else groups.append([r])
+        for g in groups:
+            top = max(g, key=lambda m: (len(m.value), m.score))
+            want.add((d, top.value, top.pii_type, top.score, tuple(sorted({x for m in g for x in m.found_by})), g[0].ord))
+    found = ensemble.dedupe_findings(spark.createDataFrame(said, FINDINGS)).collect()
+    assert {(r.doc_id, r.value, r.pii_type, r.score, tuple(r.found_by), r.ord) for r in found} == want and len(found) == len(want)
+
+    sides = [{d: [(i, rng.choice(WORDS), rng.choice(KINDS)) for i in range(rng.randrange(6))] for d in range(60)} for _ in "ab"]
+    frames = [spark.createDataFrame([(d, *x) for d, xs in side.items() for x in xs], "k long, pos int, value string, label string") for side in sides]
+    got = {r.k: (r.our_entities, r.llm_entities, r.same) for r in evaluate.evaluate(*frames, "k").collect()}
+
+    def distinct(items):
+        groups = []
+        for _, v, la in items:
+            home = next((g for g in groups if g[0][1] == la and any(v in w or w in v for w, _ in g)), None)
+            home.append((v, la)) if home else groups.append([(v, la)])
+        return [max(g, key=lambda p: len(p[0])) for g in groups]
+
+    for d in range(60):
+        ours, theirs = (distinct(side[d]) for side in sides)
+        free, same = list(ours), 0
+        for v, la in theirs:
+            hit = next((x for x in free if agree[x[1], la][1] and (x[0] in v or v in x[0])), None)
+            if hit:
+                free.remove(hit)
+                same += 1
+        assert got.get(d, (0, 0, 0)) == (len(ours), len(theirs), same)
 
 
 def test_precision(spark):
@@ -49,9 +99,11 @@ def test_precision(spark):
 def test_rates_and_matching(spark):
     df = spark.createDataFrame([(4, 3, 2), (4, 0, 0)], "our_entities long, llm_entities long, same long")
     assert [(r.different_llm, r.recall_pct, r.precision_pct) for r in evaluate.with_rates(df).collect()] == [(1, 66.7, 50.0), (0, 0.0, 0.0)]
-    ours = [("john smith", "person"), ("rome", "city")]
-    assert evaluate.greedy_matches(ours, [("john", "name"), ("smith", "person"), ("rome italy", "address")]) == 2
-    assert evaluate.distinct_pairs([("john", "person"), ("john smith", "person"), ("john", "name")]) == [("john smith", "person"), ("john", "name")]
+    entity = "k int, pos int, value string, label string"
+    ours = spark.createDataFrame([(1, 0, "john smith", "person"), (1, 1, "rome", "city"), (2, 0, "x", "city")], entity)
+    theirs = spark.createDataFrame([(1, 0, "john", "name"), (1, 1, "smith", "person"), (1, 2, "rome italy", "address"), (3, 0, "x", "city")], entity)
+    got = {r.k: (r.our_entities, r.llm_entities, r.same) for r in evaluate.evaluate(ours, theirs, "k").collect()}
+    assert got == {1: (2, 3, 2), 2: (1, 0, 0), 3: (0, 1, 0)}
 
 
 class Words(detect.Detector):

@@ -48,6 +48,22 @@ def agrees(left: Column, right: Column, evaluator: bool = False) -> Column:
     return found
 
 
+def signature(label: Column, evaluator: bool = False) -> Column:
+    """``agrees`` made ready for many comparisons: the canonical form, and a bit for each rule that a label falls under."""
+    x = plain(F.coalesce(label, F.lit(""))) if evaluator else plain(label)
+    rules = [x.isin(*PERSONS), x.isin(*PLACES) | x.contains("address"), x.isin(*DATES)]
+    if not evaluator:
+        rules += [x.isin(*EMAILS), x.isin(*PHONES), x.contains("organization")]
+    bits = F.lit(0)
+    for i, rule in enumerate(rules):
+        bits = bits + F.when(rule, F.lit(1 << i)).otherwise(F.lit(0))
+    return F.struct(canonical(x, evaluator).alias("form"), bits.alias("rules"))
+
+
+def signatures_agree(left: Column, right: Column) -> Column:
+    return (left["form"] == right["form"]) | (left["rules"].bitwiseAND(right["rules"]) != 0)
+
+
 def is_person(label: Column) -> Column:
     return plain(label).isin(*PERSONS)
 

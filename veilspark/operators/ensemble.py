@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lb
 from ..functions import vocab
-from ..functions.text import span_context, strip
+from ..functions.text import let, span_context, strip
 from .detect import CHUNK_KEY
 
 
@@ -119,65 +119,64 @@ def findings_by_value(df: DataFrame, key: list[str] = CHUNK_KEY) -> DataFrame:
     return rows.select(*key, "low", "b.value", "b.pii_type", "b.score", "found_by", "ord")
 
 
-FAMILIES = (lb.PERSONS, lb.EMAILS, lb.PHONES, lb.DATES)
+def holds_either_way(a: Column, b: Column) -> Column:
+    return F.contains(a, b) | F.contains(b, a)
 
 
-def labels_agree(a: str, b: str, evaluator: bool = False) -> bool:
-    """``functions.labels.agrees`` for grouped Python code."""
-    table = {k: v for k, v in vocab.CANONICAL.items() if not (evaluator and k == "dob")}
-    a, b = a.strip().lower(), b.strip().lower()
-    places = lambda x: x in lb.PLACES or "address" in x
-    sets = (lb.PERSONS, lb.DATES) if evaluator else FAMILIES
-    return (
-        table.get(a, a) == table.get(b, b)
-        or (places(a) and places(b))
-        or any(a in s and b in s for s in sets)
-        or (not evaluator and "organization" in a and "organization" in b)
-    )
+def folded(items: Column, empty: Column, fits, new, joined) -> Column:
+    """Groups of an array's items, in order: an item joins the first group that it ``fits``, else begins a ``new`` one."""
+
+    def add(acc: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(acc, lambda g: fits(g, x)), F.lit(True))
+        grown = lambda i: F.transform(acc, lambda g, k: F.when(k + 1 == i, joined(g, x)).otherwise(g))
+        return let(at, lambda i: F.when(i == 0, F.concat(acc, F.array(new(x)))).otherwise(grown(i)))
+
+    return F.aggregate(items, empty, add)
 
 
-def cluster(rows: list[dict]) -> list[dict]:
-    """Findings grouped in order: one joins the first group whose first label agrees and one of whose values holds or is held.
+def cluster(items: Column) -> Column:
+    """Findings (low, value, pii_type, score, found_by, ord, sig) grouped in order, as an array.
 
-    A group gives its longest value, of equals that of the higher score, with that one's type and score and all of found_by.
+    One joins the first group whose first label agrees and one of whose values holds or is held. A group gives its longest
+    value, of equals that of the higher score, with that one's type and score, all of found_by, and its first ord.
     """
-    groups: list[list[dict]] = []
-    for row in rows:
-        for g in groups:
-            if labels_agree(g[0]["pii_type"], row["pii_type"]) and any(row["low"] in m["low"] or m["low"] in row["low"] for m in g):
-                g.append(row)
-                break
-        else:
-            groups.append([row])
-    out = []
-    for g in groups:
-        top = max(g, key=lambda m: (len(m["value"]), m["score"]))
-        by = sorted({s for m in g for s in m["found_by"]})
-        out.append({"value": top["value"], "pii_type": top["pii_type"], "score": round(top["score"], 4), "found_by": by, "ord": g[0]["ord"]})
-    return out
+    top = "struct<n:int,score:double,value:string,pii_type:string>"
+    group = f"array<struct<sig:struct<form:string,rules:int>,lows:array<string>,top:{top},found_by:array<string>,ord:int>>"
+
+    def of(x: Column) -> Column:
+        return F.struct(F.length(x["value"]).alias("n"), x["score"].alias("score"), x["value"].alias("value"), x["pii_type"].alias("pii_type"))
+
+    def new(x: Column) -> Column:
+        return F.struct(x["sig"].alias("sig"), F.array(x["low"]).alias("lows"), of(x).alias("top"), x["found_by"].alias("found_by"), x["ord"].alias("ord"))
+
+    def joined(g: Column, x: Column) -> Column:
+        n, t = F.length(x["value"]), g["top"]
+        better = (n > t["n"]) | ((n == t["n"]) & (x["score"] > t["score"]))
+        return F.struct(
+            g["sig"].alias("sig"),
+            F.concat(g["lows"], F.array(x["low"])).alias("lows"),
+            F.when(better, of(x)).otherwise(t).alias("top"),
+            F.concat(g["found_by"], x["found_by"]).alias("found_by"),
+            g["ord"].alias("ord"),
+        )
+
+    def fits(g: Column, x: Column) -> Column:
+        return lb.signatures_agree(g["sig"], x["sig"]) & F.exists(g["lows"], lambda m: holds_either_way(m, x["low"]))
+
+    return folded(items, F.array().cast(group), fits, new, joined)
 
 
 def dedupe_findings(df: DataFrame, key: list[str] = CHUNK_KEY) -> DataFrame:
     """Findings merged by value, then values that hold each other under agreeing labels, in the order of ord.
 
-    Grouping depends on that order, so each chunk's findings, few after the first step, are grouped in one place; a chunk of
-    one finding skips that.
+    Grouping depends on that order, so the findings of one key, few after the first step, are folded as one array.
     """
-    by_value = findings_by_value(df, key)
-    n = F.count("*").over(Window.partitionBy(*key))
-    by_value = by_value.withColumn("n", n)
-    columns = [*key, "value", "pii_type", "score", "found_by", "ord"]
-    alone = by_value.where("n = 1").withColumn("score", F.bround("score", 4)).select(*columns)
-    schema = by_value.select(*columns).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ord", "low"]).to_dict("records")
-        made = pd.DataFrame(cluster(rows))
-        for c in key:
-            made[c] = pdf[c].iloc[0]
-        return made[columns]
-
-    return alone.unionByName(by_value.where("n > 1").drop("n").groupBy(*key).applyInPandas(run, schema))
+    by_value = findings_by_value(df, key).withColumn("sig", lb.signature(F.col("pii_type")))
+    item = F.struct(F.col("ord").cast("int").alias("ord"), "low", "value", "pii_type", "score", "found_by", "sig")
+    groups = by_value.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    rows = groups.select(*key, F.explode(cluster(F.col("items"))).alias("g"))
+    by = F.array_sort(F.array_distinct("g.found_by"))
+    return rows.select(*key, "g.top.value", "g.top.pii_type", F.bround("g.top.score", 4).alias("score"), by.alias("found_by"), "g.ord")
 
 
 def judge_batches(df: DataFrame, chunks: DataFrame, size: int = 8, radius: int = 72) -> DataFrame:

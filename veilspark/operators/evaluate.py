@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import agrees
-from .ensemble import labels_agree
+from ..functions.labels import agrees, signature, signatures_agree
+from ..functions.text import let
+from .ensemble import folded, holds_either_way
 
 
-def distinct_pairs(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """(value, label) pairs in order, grouped where labels are equal and one value holds the other; the longest of each group."""
-    groups: list[list[tuple[str, str]]] = []
-    for value, label in pairs:
-        home = next((g for g in groups if g[0][1] == label and any(value in v or v in value for v, _ in g)), None)
-        if home is None:
-            groups.append([(value, label)])
-        else:
-            home.append((value, label))
-    return [max(g, key=lambda p: len(p[0])) for g in groups]
+def distinct_entities(items: Column) -> Column:
+    """Entities (pos, value, label) in order, grouped where labels are equal and one value holds the other.
 
+    Of each group the longest value, the first of equals, with its label made ready for comparison.
+    """
+    kind = "array<struct<label:string,values:array<string>,top:string>>"
+
+    def fits(g: Column, x: Column) -> Column:
+        return g["label"].eqNullSafe(x["label"]) & F.exists(g["values"], lambda v: holds_either_way(v, x["value"]))
+
+    def new(x: Column) -> Column:
+        return F.struct(x["label"].alias("label"), F.array(x["value"]).alias("values"), x["value"].alias("top"))
+
+    def joined(g: Column, x: Column) -> Column:
+        top = F.when(F.length(x["value"]) > F.length(g["top"]), x["value"]).otherwise(g["top"])
+        return F.struct(g["label"].alias("label"), F.concat(g["values"], F.array(x["value"])).alias("values"), top.alias("top"))
+
+    groups = folded(items, F.array().cast(kind), fits, new, joined)
+    return F.transform(groups, lambda g: F.struct(g["top"].alias("value"), signature(g["label"], True).alias("sig")))
 
-def greedy_matches(ours: list[tuple[str, str]], theirs: list[tuple[str, str]]) -> int:
+
+def greedy_matches(ours: Column, theirs: Column) -> Column:
     """How many of ``theirs`` find, in order, an unused one of ``ours`` whose label agrees and that holds or is held."""
-    free, same = list(ours), 0
-    for value, label in theirs:
-        for i, (v, la) in enumerate(free):
-            if labels_agree(la, label, evaluator=True) and (v in value or value in v):
-                del free[i]
-                same += 1
-                break
-    return same
+
+    def take(acc: Column, x: Column) -> Column:
+        fit = F.transform(acc["free"], lambda o: signatures_agree(o["sig"], x["sig"]) & holds_either_way(o["value"], x["value"]))
+        rest = lambda i: F.filter(acc["free"], lambda _, k: k + 1 != i)
+        used = lambda i: F.struct(rest(i).alias("free"), (acc["same"] + 1).alias("same"))
+        return let(F.array_position(fit, F.lit(True)), lambda i: F.when(i == 0, acc).otherwise(used(i)))
+
+    start = F.struct(ours.alias("free"), F.lit(0).cast("long").alias("same"))
+    return F.aggregate(theirs, start, take, lambda acc: acc["same"])
 
 
 def candidates(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
@@ -44,18 +54,15 @@ def candidates(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
 def evaluate(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     """(key, our_entities, llm_entities, same, different_llm, recall_pct, precision_pct) of entities ``(key, pos, value, label)``.
 
-    Matching depends on the order, so the few entities of a file are matched in one place.
+    Matching depends on the order, so the entities of one key are folded as arrays. Rows without a value or place are left out.
     """
-    both = ours.select(key, F.lit(0).alias("side"), "pos", "value", "label").unionByName(theirs.select(key, F.lit(1).alias("side"), "pos", "value", "label"))
-    kind = both.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "pos"])
-        a, b = (distinct_pairs(list(zip(p["value"], p["label"]))) for p in (pdf[pdf.side == 0], pdf[pdf.side == 1]))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "our_entities": [len(a)], "llm_entities": [len(b)], "same": [greedy_matches(a, b)]})
-
-    found = both.groupBy(key).applyInPandas(run, f"{key} {kind}, our_entities long, llm_entities long, same long")
-    return with_rates(found)
+    sides = [df.where("value IS NOT NULL AND pos IS NOT NULL").select(key, F.lit(i).alias("side"), "pos", "value", "label") for i, df in enumerate((ours, theirs))]
+    item = F.struct("pos", "value", "label")
+    lists = [F.sort_array(F.collect_list(F.when(F.col("side") == i, item))).alias(name) for i, name in enumerate(("ours", "theirs"))]
+    rows = sides[0].unionByName(sides[1]).groupBy(key).agg(*lists)
+    rows = rows.select(key, distinct_entities(F.col("ours")).alias("ours"), distinct_entities(F.col("theirs")).alias("theirs"))
+    n = [F.size(c).cast("long").alias(f"{name}_entities") for c, name in (("ours", "our"), ("theirs", "llm"))]
+    return with_rates(rows.select(key, *n, greedy_matches(F.col("ours"), F.col("theirs")).alias("same")))
 
 
 def rate(part: Column, whole: Column) -> Column:

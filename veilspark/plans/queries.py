@@ -321,8 +321,9 @@ def likely_medication(spark, sf_dir):
 
 @query
 def partial_mask(spark, sf_dir):
-    cut = F.substring("text", 1, F.col("doc_id").cast("int") % 80)
-    return docs(spark, sf_dir).select("doc_id", tx.partial_mask(cut).alias("masked"))
+    whole = docs(spark, sf_dir).select("doc_id", F.lit(0).alias("kind"), F.col("text").alias("value"))
+    rows = whole.unionByName(values(spark, sf_dir).select("doc_id", (F.col("kind") + 1).alias("kind"), "value"))
+    return rows.select("doc_id", "kind", F.md5(tx.partial_mask(F.col("value"))).alias("masked"))
 
 
 @query
@@ -438,8 +439,9 @@ def stage_state(spark, sf_dir):
 @query
 def positional_join(spark, sf_dir):
     rows = docs(spark, sf_dir)
-    left = rows.select("doc_id", F.slice(F.split("text", " "), 1, 6).alias("word"))
-    right = rows.select("doc_id", F.slice(F.split(F.reverse("text"), " "), 3, 4).alias("later"))
+    left = rows.select("doc_id", F.split("text", " ").alias("word"))
+    back = F.split(F.reverse("text"), " ")
+    right = rows.select("doc_id", F.slice(back, 3, F.greatest(F.size(back), F.lit(1))).alias("later"))
     return report.positional_join(left, right, "doc_id", "word", "later")
 
 

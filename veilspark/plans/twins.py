@@ -197,6 +197,32 @@ ORACLE_SQL["audit_not_detected"] = "SELECT DISTINCT a.doc_id, a.chunk_index, a.t
 ORACLE_SQL["findings_exact"] = f"""SELECT doc_id, chunk_index, b.value AS value, b.kind AS pii_type, b.score AS score, found_by, ord::INT AS ord FROM (
   SELECT doc_id, chunk_index, lower(trim(text)) AS low, arg_max({{'value': trim(text), 'kind': {canonical('label')}, 'score': score}}, (score, length(trim(text)), -(detector_ord * 10 + pos))) AS b,
     string_agg(DISTINCT detector, '|' ORDER BY detector) AS found_by, min(detector_ord * 10 + pos) AS ord FROM {DET} GROUP BY ALL)"""
+def holds(a: str, b: str) -> str:
+    return f"(contains({a}, {b}) OR contains({b}, {a}))"
+
+
+def grouped(items: str, key: str, fits: str, first: str, more: str) -> str:
+    """{key}, gs: items(key, n, x) folded in order: ``x`` joins the first group ``g`` it fits, else makes a new one."""
+    return f"""WITH RECURSIVE i AS ({items}),
+s AS (SELECT {key}, 0::BIGINT AS n, list_filter([{first}], lambda g: false) AS gs FROM i WHERE n = 1
+  UNION ALL SELECT {key}, n, CASE WHEN coalesce(spot, 0) = 0 THEN list_append(gs, {first}) ELSE list_transform(gs, lambda g, k: CASE WHEN k = spot THEN {more} ELSE g END) END
+  FROM (SELECT s.{key}, i.n, i.x, s.gs, list_position(list_transform(s.gs, lambda g: {fits}), true) AS spot FROM s JOIN i ON i.{key} = s.{key} AND i.n = s.n + 1))
+SELECT {key}, arg_max(gs, n) AS gs FROM s GROUP BY {key}"""
+
+
+def findings_folded(exact: str) -> str:
+    """Findings of ``exact(doc_id, chunk_index, value, pii_type, score, found_by, ord)``, merged by value, folded to groups."""
+    items = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord, lower(value)) AS n,
+      {{'kind': pii_type, 'lows': [lower(value)], 'value': value, 'top': pii_type, 'score': score, 'by': string_split(found_by, '|'), 'ord': ord}} AS x FROM ({exact})"""
+    fits = f"{agrees('g.kind', 'x.kind')} AND len(list_filter(g.lows, lambda m: {holds('m', 'x.lows[1]')})) > 0"
+    better = "(length(x.value) > length(g.value) OR (length(x.value) = length(g.value) AND x.score > g.score))"
+    top = ", ".join(f"'{c}': CASE WHEN {better} THEN x.{c} ELSE g.{c} END" for c in ("value", "top", "score"))
+    more = f"{{'kind': g.kind, 'lows': list_concat(g.lows, x.lows), {top}, 'by': list_concat(g.by, x.by), 'ord': g.ord}}"
+    return f"""SELECT doc_id, g.value AS value, g.top AS pii_type, round_even(g.score, 4) AS score, array_to_string(list_sort(list_distinct(g.by)), '|') AS found_by, g.ord AS ord
+FROM (SELECT doc_id, unnest(gs) AS g FROM ({grouped(items, 'doc_id', fits, 'x', more)}))"""
+
+
+ORACLE_SQL["dedupe_findings"] = f"SELECT doc_id, 1::INT AS chunk_index, value, pii_type, score, found_by, ord FROM ({findings_folded(ORACLE_SQL['findings_exact'])})"
 ORACLE_SQL["judge_batches"] = f"""SELECT doc_id, chunk_index, ((n - 1) // 4)::INT AS batch, ((n - 1) % 4)::INT AS id, value, pii_type, score FROM (
   SELECT doc_id, chunk_index, trim(text) AS value, trim(label) AS pii_type, max(score) AS score,
     row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY length(trim(text)) DESC, lower(trim(text)), trim(text), trim(label)) AS n
@@ -240,7 +266,7 @@ def mask(c: str) -> str:
     return f"CASE WHEN {s} = '' THEN '#####' WHEN length({s}) <= 2 THEN repeat('#', length({s})) ELSE substr({s}, 1, ({k})::INT) || repeat('#', (length({s}) - 2 * ({k}))::INT) || right({s}, ({k})::INT) END"
 
 
-ORACLE_SQL["partial_mask"] = f"SELECT doc_id, {mask('t')} AS masked FROM (SELECT doc_id, substr(text, 1, (doc_id % 80)::INT) AS t FROM documents)"
+ORACLE_SQL["partial_mask"] = f"SELECT doc_id, 0 AS kind, md5({mask('text')}) AS masked FROM documents UNION ALL SELECT doc_id, kind + 1, md5({mask('value')}) FROM {VAL}"
 
 
 def date_format(c: str) -> str:
@@ -357,7 +383,7 @@ ORACLE_SQL["stage_state"] = f"""WITH t(ord, label) AS (VALUES {values(_stages)})
 SELECT a.label, b.label AS current, CASE WHEN a.ord < b.ord THEN 'done' WHEN a.ord = b.ord THEN 'active' ELSE 'pending' END AS state FROM t a CROSS JOIN t b"""
 ORACLE_SQL["positional_join"] = """SELECT doc_id, i::INT AS pos, a[i + 1] AS word, b[i + 1] AS later FROM (
   SELECT doc_id, a, b, unnest(range(0, least(len(a), len(b)))) AS i FROM (
-    SELECT doc_id, string_split(text, ' ')[1:6] AS a, string_split(reverse(text), ' ')[3:6] AS b FROM documents))"""
+    SELECT doc_id, string_split(text, ' ') AS a, string_split(reverse(text), ' ')[3:] AS b FROM documents))"""
 SCANS, EVALS, GONE, WANT, OURS, THEIRS = (f"({duck(x)})" for x in (dv.SCANS, dv.EVALUATIONS, dv.DELETED, dv.WANTED, dv.OURS, dv.THEIRS))
 LATEST = f"SELECT file_name, max(run_id) AS last_run_id, arg_max(created_at, run_id) AS last_scanned_at FROM {SCANS} GROUP BY file_name"
 ORACLE_SQL["latest_scan_per_file"] = LATEST
@@ -387,6 +413,23 @@ ORACLE_SQL["precision_recall"] = f"""SELECT *, llm_entities - same AS different_
   SELECT o_orderkey, o_orderkey % 97 AS our_entities, o_custkey % 61 AS llm_entities, least(o_orderkey % 97, o_custkey % 61, o_orderkey % 23) AS same FROM orders)"""
 ORACLE_SQL["evaluate_pairs"] = f"""SELECT a.doc_id, a.pos AS our_pos, b.pos AS their_pos FROM {OURS} a JOIN {THEIRS} b ON a.doc_id = b.doc_id
 WHERE (contains(a.value, b.value) OR contains(b.value, a.value)) AND {agrees('a.label', 'b.label', True)}"""
+
+
+def distinct_entities(source: str) -> str:
+    items = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, {{'label': label, 'vals': [value], 'top': value}} AS x FROM {source}"""
+    fits = f"g.label = x.label AND len(list_filter(g.vals, lambda v: {holds('v', 'x.top')})) > 0"
+    more = "{'label': g.label, 'vals': list_concat(g.vals, x.vals), 'top': CASE WHEN length(x.top) > length(g.top) THEN x.top ELSE g.top END}"
+    return grouped(items, "doc_id", fits, "x", more)
+
+
+ORACLE_SQL["evaluate_greedy"] = f"""WITH RECURSIVE o AS ({distinct_entities(OURS)}), t AS ({distinct_entities(THEIRS)}),
+m AS (SELECT t.doc_id, t.gs AS todo, coalesce(o.gs, list_filter(t.gs, lambda g: false)) AS free, 0::BIGINT AS same, 0::BIGINT AS n FROM t LEFT JOIN o USING (doc_id)
+  UNION ALL SELECT doc_id, todo[2:], CASE WHEN spot > 0 THEN list_concat(free[1:spot - 1], free[spot + 1:]) ELSE free END, same + CASE WHEN spot > 0 THEN 1 ELSE 0 END, n + 1
+  FROM (SELECT *, coalesce(list_position(list_transform(free, lambda g: {agrees('g.label', 'todo[1].label', True)} AND {holds('g.top', 'todo[1].top')}), true), 0) AS spot FROM m WHERE len(todo) > 0)),
+e AS (SELECT doc_id, arg_max(same, n) AS same FROM m GROUP BY doc_id),
+f AS (SELECT doc_id, coalesce(len(o.gs), 0)::BIGINT AS our_entities, coalesce(len(t.gs), 0)::BIGINT AS llm_entities, coalesce(e.same, 0)::BIGINT AS same
+  FROM o FULL JOIN t USING (doc_id) LEFT JOIN e USING (doc_id))
+SELECT *, llm_entities - same AS different_llm, {rates('same', 'llm_entities', 'our_entities')} FROM f"""
 ORACLE_SQL["parse_verdicts"] = "SELECT c_custkey, i::INT AS id, i = 0 OR c_custkey % 2 = 0 AS is_pii FROM customer CROSS JOIN range(0, 2) t(i)"
 ORACLE_SQL["detected_in_prompt"] = "SELECT c_custkey, c_name AS value, 'person' AS pii_type, 0.5::DOUBLE AS confidence FROM customer"
 ORACLE_SQL["parse_prose"] = """SELECT c_custkey, n::INT AS n, CASE n WHEN 0 THEN c_name WHEN 1 THEN 'ABCDE' || c_custkey ELSE '1990-01-01' END AS text,
