@@ -1,7 +1,8 @@
 """Inputs that queries share, made from the test tables by SQL that Spark and DuckDB both run.
 
-``{name}`` stands for a table. Every row of a table is used; remainders of ids only deal out which detector says what, or which
-run has seen a file.
+``{name}`` stands for a table. Every row of a table is used: the first run holds every document, and remainders of ids only deal
+out which detector says what, or which later run has seen a file again. That some files were deleted or never evaluated is what
+the operators over runs are for; there the language or the length decides.
 """
 
 from __future__ import annotations
@@ -68,18 +69,21 @@ VALUES = f"""SELECT CAST({_K} AS BIGINT) AS doc_id, p AS kind,
     WHEN 18 THEN 'udyam_number' ELSE 'name' END AS label,
   CAST(({_K} * 37 + p * 11) % 101 AS DOUBLE) / 100 AS score
 FROM {{customer}} CROSS JOIN (SELECT CAST(r_regionkey * 4 + o AS INT) AS p FROM {{region}} CROSS JOIN (SELECT 0 AS o UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS four) AS kinds"""
-#: Runs over the documents: three of them, each over its own part, with findings counted by length.
+#: Runs over the documents: one over all of them, then three over parts, with findings counted by length.
 SCANS = " UNION ALL ".join(
     f"""SELECT '2026-03-1{r}_10-00-00' AS run_id, '2026-03-1{r}T10:00:00' AS created_at, source || '/' || CAST(doc_id AS STRING) || '.txt' AS file_name,
   CAST((n_chars + {r}) % 17 AS BIGINT) AS our_entities FROM {{documents}} WHERE doc_id % {m} = 0"""
-    for r, m in ((5, 2), (6, 3), (7, 5))
+    for r, m in ((4, 1), (5, 2), (6, 3), (7, 5))
 )
 _FILE = "source || '/' || CAST(doc_id AS STRING) || '.txt' AS file_name"
+#: Of all documents but the Spanish ones, which no one has evaluated.
 EVALUATIONS = f"""SELECT {_FILE}, CAST(n_chars % 13 AS BIGINT) AS llm_entities, CAST(n_chars % 13 - n_chars % 4 % (n_chars % 13 + 1) AS BIGINT) AS same,
   CAST(n_chars % 4 % (n_chars % 13 + 1) AS BIGINT) AS different_llm, CAST(50 AS DOUBLE) AS recall_pct, CAST(25 AS DOUBLE) AS precision_pct,
-  CASE WHEN doc_id % 28 = 0 THEN 'timeout' WHEN doc_id % 21 = 0 THEN '' END AS llm_error FROM {{documents}} WHERE doc_id % 7 = 0"""
-DELETED = f"SELECT {_FILE} FROM {{documents}} WHERE doc_id % 30 = 0"
-WANTED = f"SELECT {_FILE} FROM {{documents}} WHERE doc_id % 10 < 2"
+  CASE WHEN doc_id % 28 = 0 THEN 'timeout' WHEN doc_id % 21 = 0 THEN '' END AS llm_error FROM {{documents}} WHERE lang != 'es'"""
+#: Files of over 9,000 characters were deleted.
+DELETED = f"SELECT {_FILE} FROM {{documents}} WHERE n_chars > 9000"
+#: Every file, and of each a copy that no run has seen.
+WANTED = f"SELECT {_FILE} FROM {{documents}} UNION ALL SELECT source || '/' || CAST(doc_id AS STRING) || '.bak' AS file_name FROM {{documents}}"
 #: Entities of two detectors on customers, in order.
 _E = "CAST(c_custkey AS BIGINT) AS doc_id"
 OURS = " UNION ALL ".join(
