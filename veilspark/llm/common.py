@@ -7,7 +7,7 @@ import os
 import pickle
 import uuid
 
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +54,36 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
+def attempt_name(root: str, name: str) -> str:
+    """The hidden name under which this attempt of a task writes a file."""
+    context = TaskContext.get()
+    return f"{root}/.{name}.{context.taskAttemptId() if context else 0}"
+
+
+def settle(fs, part: str, path: str) -> None:
+    """Give a whole file its name. If it is there already, an attempt that was lost has written the same, and that one stays."""
+    from pyarrow.fs import FileType
+
+    if fs.get_file_info(path).type == FileType.NotFound:
+        try:
+            fs.move(part, path)
+            return
+        except OSError:
+            if fs.get_file_info(path).type == FileType.NotFound:
+                raise
+    fs.delete_file(part)
+
+
+def publish(folder: str, name: str, data: bytes) -> None:
+    """Write a file of the shared folder that appears under its name only when it is whole."""
+    fs, root = filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    part = attempt_name(root, name)
+    with fs.open_output_stream(part) as f:
+        f.write(data)
+    settle(fs, part, f"{root}/{name}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)``: (node, root), the root being the component's smallest node.
 

@@ -1,38 +1,50 @@
 """Benchmark decontamination with a BM25 inverted index of the test items and block-max WAND.
 
-The index holds the items; the training passages are the queries. A passage is a window of words, twice as wide as the
-longest item and moved by half its width, so every item-long stretch of a document lies whole in some passage. Impacts are
-BM25 scores divided by what the item scores against itself, so one threshold suits items of any length. Items are laid out in
-small blocks, and for every term and block the largest impact is kept. All passages of a document are first held against the
-sums of these maxima. Hardly a passage can reach the threshold in any block, and that is walked document at a time by
-block-max WAND. Each item retrieved is verified on its words: the shingles of its question and of its answer must both be in
-the passage.
+The index holds the items; the training passages are the queries. Items are taken by length, in classes up to 16, 32, 64, ...
+words, and the passages for a class are windows of twice so many words, moved by half their width: every item-long stretch
+of a document lies whole in some passage, and a long item does not widen the passages of a short one. Impacts are BM25
+scores, of counts over all items, divided by what the item scores against itself, so one threshold suits items of any length.
+Items are laid out in small blocks, and for every term and block the largest impact is kept. All passages of a document are
+first held against the sums of these maxima. Hardly a passage can reach the threshold in any block, and that is walked
+document at a time by block-max WAND. Each item retrieved is verified on its words: the shingles of its question and of its
+answer must both be in the passage.
+
+A large benchmark makes several indexes, dealt by a hash of the item and built where the items are; each is a file in the shared
+folder, and tasks hold a few at a time. As an item's score and passages depend on no other item of its index, neither does any
+result depend on how many there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import pickle
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped, table
+from .common import checkpoint, filesystem, publish, table, work_dir
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage retrieves it, and share of shingles that verifies it.
 RETRIEVE, VERIFY = 0.5, 0.8
 SHINGLE = 5
-#: Items in a block; bytes of item text in one index. More text makes more indexes; a pass over the documents takes so many.
+#: Items in a block; bytes of item text in an index, on average; indexes that a task holds at once.
 BLOCK = 2
-#: Block maxima are whole numbers of this fraction, rounded up; a passage's sum of them fits 16 bits.
-UNITS = 1000
 INDEX_BYTES = 128 << 10
 INDEXES = 4
+#: Block maxima are whole numbers of this fraction, rounded up.
+UNITS = 1000
+#: Words of the shortest class of items.
+SHORTEST = 16
+#: Block sums that are made at once.
+SUMS = 1 << 22
 #: ASCII punctuation and capitals, for words that ignore both.
 PLAIN = bytes.maketrans(
     b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * 32 + b"abcdefghijklmnopqrstuvwxyz"
@@ -63,35 +75,41 @@ def shingles(words: list, n: int = SHINGLE) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
-class Index:
-    """Inverted BM25 index of (item_id, text) with block maxima. Items without a word are in no index."""
+def width_of(n_words: int) -> int:
+    """The most words of an item's class; its passages are twice as wide."""
+    return max(SHORTEST, 1 << (n_words - 1).bit_length())
+
+
+def passages_of(n_words: int, width: int) -> int:
+    """How many passages a text of so many words has for a class."""
+    return max(1, -(-n_words // width) - 1) if n_words else 0
 
-    def __init__(self, items: list[tuple], block: int = BLOCK):
-        kept = [(i, *parts_of(t)) for i, t in items]
+
+class Shelf:
+    """The items of one class in an index: postings of (ordinal, impact) for each term, and block maxima."""
+
+    def __init__(self, items: list[tuple], width: int, idf: dict[bytes, float], mean: float, terms: dict[bytes, int], block: int):
         # Items that share their frequent words stand together, which keeps block maxima tight.
-        count = Counter(w for _, q, a in kept for w in set(q + a))
-        kept = [x for x in kept if x[1] or x[2]]
-        kept.sort(key=lambda x: (sorted({*x[1], *x[2]}, key=lambda w: (-count[w], w))[:3], str(x[0])))
-        self.items, self.block = kept, block
-        texts = [q + a for _, q, a in kept]
-        self.longest = max(map(len, texts), default=0)
-        mean = sum(map(len, texts)) / max(1, len(texts))
-        self.terms = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
-        df = Counter(w for t in texts for w in set(t))
-        idf = {w: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
-        self.block_max = np.zeros((len(self.terms), -(-len(kept) // block)), np.uint16)
-        for d, t in enumerate(texts):
-            tf = Counter(t)
-            raw = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(t) / mean)) for w, n in tf.items()}
-            own = sum(raw.values())
+        count = Counter(w for _, q, a in items for w in set(q + a))
+        items = sorted(items, key=lambda x: (sorted({*x[1], *x[2]}, key=lambda w: (-count[w], w))[:3], str(x[0]), x[1:]))
+        self.width, self.block, self.ids = width, block, [i for i, _, _ in items]
+        self.wanted = [(shingles(q), shingles(a)) for _, q, a in items]
+        own_terms = sorted(count)
+        self.local = np.full(len(terms), -1, np.int32)
+        self.local[[terms[w] for w in own_terms]] = np.arange(len(own_terms))
+        number = {w: k for k, w in enumerate(own_terms)}
+        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in own_terms]
+        self.block_max = np.zeros((len(own_terms), -(-len(items) // block)), np.uint32)
+        for d, (_, q, a) in enumerate(items):
+            n = len(q) + len(a)
+            raw = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for w, f in Counter(q + a).items()}
+            own = math.fsum(raw.values())
             for w, x in raw.items():
-                k = self.terms[w]
+                k = number[w]
                 self.postings[k][0].append(d)
                 self.postings[k][1].append(x / own)
                 self.block_max[k, d // block] = max(self.block_max[k, d // block], math.ceil(x / own * UNITS))
         self.max = self.block_max.max(axis=1, initial=0) / UNITS
-        self.wanted = [(shingles(q), shingles(a)) for _, q, a in kept]
 
     def search(self, ids: list[int], least: float) -> list[tuple[int, float]]:
         """All (item ordinal, score) of at least ``least`` for the distinct term ids of a passage, by block-max WAND."""
@@ -116,7 +134,7 @@ class Index:
                 if p + 1 < len(lists):
                     to = min(to, lists[p + 1][0][lists[p + 1][4]])
             elif lists[0][0][lists[0][4]] == pivot:
-                score = sum(x[1][x[4]] for x in lists[: p + 1])
+                score = math.fsum(x[1][x[4]] for x in lists[: p + 1])
                 if score >= slack:
                     out.append((pivot, score))
                 to = pivot + 1
@@ -130,71 +148,159 @@ class Index:
             lists = [x for x in lists if x[4] < len(x[0])]
         return out
 
-    def hits(self, text: str | None, retrieve: float = RETRIEVE, verify: float = VERIFY) -> tuple[int, int, dict]:
-        """Passages of a text, items retrieved, and {item_id: (score, question share, answer share)} of those verified."""
-        words = words_of(text)
-        if not words or not self.items:
-            return int(bool(words)), 0, {}
-        step = self.longest
-        ids = np.array([*map(self.terms.get, words, repeat(-1))], np.int32)
+    def reach(self, t: np.ndarray, s: np.ndarray, fresh: np.ndarray, again: np.ndarray, first: int, last: int, least: float) -> np.ndarray:
+        """Which passages from ``first`` to before ``last`` may hold an item, of terms t in steps s.
+
+        A passage is two steps; a term counts once: where it is new to its step, less where the step before has it too.
+        """
+        starts = np.searchsorted(s, np.arange(first, last + 2))
+        sums = []
+        for use in (fresh, again):
+            at = starts[0] + np.flatnonzero(use[starts[0] : starts[-1]])
+            cut = np.searchsorted(at, starts)
+            into = np.zeros((last - first + 1, self.block_max.shape[1]), np.uint32)
+            if len(at):
+                full = np.flatnonzero(cut[1:] > cut[:-1])
+                into[full] = np.add.reduceat(self.block_max.take(t[at], axis=0), cut[full], axis=0, dtype=np.uint32)
+            sums.append(into)
+        n = last - first
+        return first + np.flatnonzero((sums[0][:n] + sums[0][1 : n + 1] - sums[1][1 : n + 1] >= int(least * UNITS)).any(axis=1))
+
+    def hits(self, words: list[bytes], ids: np.ndarray, retrieve: float, verify: float, found: dict) -> int:
+        """Items retrieved for all passages of a text, by the index's term ids of its words; ``found`` gets those verified."""
         at = np.flatnonzero(ids >= 0)
-        n_steps = -(-len(words) // step)
-        passages = max(1, n_steps - 1)
+        t = self.local[ids[at]]
+        at, t = at[t >= 0], t[t >= 0]
         if not at.size:
-            return passages, 0, {}
-        t, s = ids[at], at // step
+            return 0
+        width, passages = self.width, passages_of(len(words), self.width)
+        s = at // width
         order = np.argsort(t, kind="stable")
-        gap = np.full(len(t), n_steps + 2)
+        gap = np.full(len(t), passages + 3)
         same = np.flatnonzero(t[order][1:] == t[order][:-1])
         gap[order[same + 1]] = s[order[same + 1]] - s[order[same]]  # steps since the term came last
-        # A passage is two steps; a term counts once: where it is new to its step, less where the step before has it too.
-        starts = np.searchsorted(s, np.arange(n_steps + 2))
-        sums, nothing = [], np.zeros(1, int)
-        for use in (gap >= 1, gap == 1):
-            cut = np.concatenate([nothing, use.cumsum()])[starts]
-            into = np.zeros((n_steps + 1, self.block_max.shape[1]), np.uint16)
-            if cut[-1]:
-                full = np.flatnonzero(cut[1:] > cut[:-1])
-                into[full] = np.add.reduceat(self.block_max.take(t[use], axis=0), cut[full], axis=0, dtype=np.uint16)
-            sums.append(into)
-        bound = sums[0][:passages] + sums[0][1 : passages + 1] - sums[1][1 : passages + 1]
-        reach = bound >= int(retrieve * UNITS)
+        fresh, again, retrieved = gap >= 1, gap == 1, 0
+        some = max(1, SUMS // (width * max(1, self.block_max.shape[1])))
+        for first in range(0, passages, some):
+            for p in self.reach(t, s, fresh, again, first, min(passages, first + some), retrieve).tolist():
+                a, z = np.searchsorted(s, (p, p + 2))
+                got = self.search(np.unique(t[a:z]).tolist(), retrieve)
+                retrieved += len(got)
+                if not got:
+                    continue
+                window = words[p * width : (p + 2) * width]
+                there = {k: shingles(window, k) for k in {len(x) for d, _ in got for part in self.wanted[d] for x in part}}
+                for d, score in got:
+                    shares = [sum(x in there[len(x)] for x in part) / len(part) if part else 1.0 for part in self.wanted[d]]
+                    if min(shares) >= verify:
+                        item = self.ids[d]
+                        found[item] = max(found.get(item, (0.0,)), (score, *shares))
+        return retrieved
+
+
+class Index:
+    """Inverted BM25 index of (item_id, text), by classes of length. Items without a word are in no index.
+
+    ``counts`` has the number of all items with a word, their mean length, and how many of them have each word; by default
+    these are counted over the given items.
+    """
+
+    def __init__(self, items: list[tuple], counts: tuple[int, float, dict[bytes, int]] | None = None, block: int = BLOCK):
+        kept = [x for x in ((i, *parts_of(t)) for i, t in items) if x[1] or x[2]]
+        if counts is None:
+            df = Counter(w for _, q, a in kept for w in set(q + a))
+            counts = len(kept), sum(len(q) + len(a) for _, q, a in kept) / max(1, len(kept)), df
+        n, mean, df = counts
+        self.terms = {w: k for k, w in enumerate(sorted({w for _, q, a in kept for w in q + a}))}
+        idf = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) for w in self.terms}
+        classes: dict[int, list[tuple]] = {}
+        for x in kept:
+            classes.setdefault(width_of(len(x[1]) + len(x[2])), []).append(x)
+        self.shelves = [Shelf(x, w, idf, mean, self.terms, block) for w, x in sorted(classes.items())]
+
+    def hits(self, words: list[bytes], retrieve: float = RETRIEVE, verify: float = VERIFY) -> tuple[int, dict]:
+        """Items retrieved for the passages of a text, and {item_id: (score, question share, answer share)} of those verified."""
         found: dict = {}
-        retrieved = 0
-        for p in np.flatnonzero(reach.any(axis=1)):
-            inside = np.unique(t[starts[p] : starts[p + 2]])
-            got = self.search(inside.tolist(), retrieve)
-            retrieved += len(got)
-            if not got:
-                continue
-            window = words[p * step : (p + 2) * step]
-            there = {k: shingles(window, k) for k in {len(x) for d, _ in got for part in self.wanted[d] for x in part}}
-            for d, score in got:
-                shares = [
-                    sum(x in there[len(x)] for x in part) / len(part) if part else 1.0 for part in self.wanted[d]
-                ]
-                if min(shares) >= verify:
-                    item = self.items[d][0]
-                    found[item] = max(found.get(item, (0.0,)), (score, *shares))
+        if not words:
+            return 0, found
+        ids = np.array([*map(self.terms.get, words, repeat(-1))], np.int32)
+        return sum(shelf.hits(words, ids, retrieve, verify, found) for shelf in self.shelves), found
+
+
+class Indexes:
+    """The indexes of all items, as files; those used last are held, ``INDEXES`` at most."""
+
+    def __init__(self, folder: str, names: list[str], widths: list[int]):
+        self.folder, self.names, self.widths, self.held = folder, names, widths, OrderedDict()
+
+    def __getstate__(self):
+        return self.__dict__ | {"held": OrderedDict()}
+
+    def __iter__(self) -> Iterator[Index]:
+        # Those still held first: with more files than places, every turn then reads some less.
+        for name in sorted(self.names, key=lambda n: n not in self.held):
+            if name not in self.held:
+                fs, root = filesystem(self.folder)
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    made = pickle.loads(f.read())
+                while len(self.held) >= INDEXES:
+                    self.held.popitem(last=False)
+                self.held[name] = made
+            yield self.held[name]
+
+    def judge(self, texts: list[str | None], retrieve: float, verify: float) -> tuple[list[int], list[int], list[dict]]:
+        """Of each text the number of passages, over all classes, of items retrieved, and the items verified with their shares."""
+        words = [words_of(t) for t in texts]
+        passages = [sum(passages_of(len(w), width) for width in self.widths) for w in words]
+        retrieved, found = [0] * len(texts), [{} for _ in texts]
+        for index in self:
+            for i, w in enumerate(words):
+                n, got = index.hits(w, retrieve, verify)
+                retrieved[i] += n
+                for item, x in got.items():
+                    found[i][item] = max(found[i].get(item, (0.0,)), x)
         return passages, retrieved, found
 
 
-def turns(items: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = INDEX_BYTES):
-    """Lists of at most ``INDEXES`` indexes of all items, each of about ``limit`` bytes of text at most."""
-    held, size, ready = [], 0, []
-    for i, text in items.select(id_col, F.col(text_col).cast("string")).toLocalIterator():
-        held.append((i, text))
-        size += len((text or "").encode("utf-8", "replace"))
-        if size >= limit:
-            ready.append(Index(held))
-            held, size = [], 0
-        if len(ready) == INDEXES:
-            yield ready
-            ready = []
-    if held:
-        ready.append(Index(held))
-    if ready:
-        yield ready
+def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> Indexes:
+    """Index all items; each index is built by a task and written to the shared folder.
+
+    Ids are numbers; a null one stands for -1. Items without a word are in no index. Repeated items count each. A single long
+    item makes its index as large as it needs. Of no items come no indexes.
+    """
+    spark = items.sparkSession
+    src = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(t.as_py()) for t in b.column(1)]
+            n, distinct = pa.array(map(len, words), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, n, distinct], names=["id", "text", "n", "words"])
+
+    parsed = src.mapInArrow(parse, "id long, text string, n long, words array<binary>").where("n > 0")
+    total = parsed.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if not total.items:
+        return Indexes("", [], [])
+    slices = -(-total.bytes // index_bytes)
+    parsed = checkpoint(parsed.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices))))
+    widths = sorted({width_of(r.n) for r in parsed.select("n").distinct().collect()})  # one row for each length of an item
+    held = parsed.select("slice", F.explode("words").alias("word"))
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    df = held.distinct().join(df, "word").groupBy("slice").agg(F.collect_list(F.struct("word", "df")).alias("df"))
+    rows = parsed.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("items")).join(df, "slice")
+    folder, n_items, mean = work_dir(spark, "indexes"), total["items"], total["mean"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = []
+            for part, some, df in zip(*(c.to_pylist() for c in b.columns)):
+                index = Index([(x["id"], x["text"]) for x in some], (n_items, mean, {x["word"]: x["df"] for x in df}))
+                names.append(f"{part:08d}.index")
+                publish(folder, names[-1], cloudpickle.dumps(index))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    made = rows.select("slice", "items", "df").mapInArrow(write, "name string")
+    return Indexes(folder, sorted(r.name for r in made.collect()), widths)
 
 
 def decontaminate(
@@ -204,55 +310,43 @@ def decontaminate(
     text_col: str = "text",
     retrieve: float = RETRIEVE,
     verify: float = VERIFY,
+    index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_passages, n_retrieved, n_items, item_ids (sorted), best_score, contaminated.
 
     Null and empty texts have no passage and are clean, as is every text if there are no items or none with a word. Items of
-    equal text are all reported; a null item id is reported as -1. Repeated rows are each judged. Other columns are not read.
-    What is broadcast is bounded: ``INDEXES`` indexes of ``INDEX_BYTES`` of text; larger benchmarks take further turns over
-    the documents, with the next indexes.
+    equal text are all reported; a null item id is reported as -1. n_passages counts the passages of every class of items.
+    Repeated rows are each judged. Very long texts are held against the block maxima in slices. Other columns are not read.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    none = [F.lit(0).cast("long").alias(c) for c in ("n_passages", "n_retrieved")]
-    none += [F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best_score")]
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *none)
-    for held in turns(items):
-        get = shipped(spark, held)
-
-        def run(batches: Iterator[pa.RecordBatch], get=get) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n, m, every, best = (c.to_pylist() for c in b.columns[2:])
-                for i, text in enumerate(b.column(1)):
-                    for index in get():
-                        p, r, got = index.hits(text.as_py(), retrieve, verify)
-                        n[i], m[i] = max(n[i], p), m[i] + r
-                        every[i] = sorted({*every[i], *(-1 if k is None else int(k) for k in got)})
-                        best[i] = max([best[i], *(x[0] for x in got.values())])
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
-                columns = [*b.columns[:2], *map(pa.array, (n, m, every, best), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
-
-        one = "n_passages long, n_retrieved long, item_ids array<long>, best_score double"
-        found = found.mapInArrow(run, f"doc_id {kind}, text string, {one}")
+    kind, indexes = docs.schema[id_col].dataType.simpleString(), build(items, index_bytes=index_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            passages, retrieved, found = indexes.judge([t.as_py() for t in b.column(1)], retrieve, verify)
+            every, best = [sorted(x) for x in found], [max((s[0] for s in x.values()), default=0.0) for x in found]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
+            columns = [b.column(0), *map(pa.array, (passages, retrieved, every, best), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_passages", "n_retrieved", "item_ids", "best_score"])
+
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = src.mapInArrow(run, f"doc_id {kind}, n_passages long, n_retrieved long, item_ids array<long>, best_score double")
     n = F.size("item_ids").cast("long")
-    return found.select(
-        "doc_id", "n_passages", "n_retrieved", n.alias("n_items"), "item_ids", "best_score", (n > 0).alias("contaminated")
-    )
+    return found.select("doc_id", "n_passages", "n_retrieved", n.alias("n_items"), "item_ids", "best_score", (n > 0).alias("contaminated"))
 
 
-def clean_udf(get):
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda t: not any(x.hits(t)[2] for x in get())).astype(bool)
+def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; judged in place, without a shuffle.
 
-    return clean
+    Null and empty texts stay, as does every row if there are no items; repeated rows stay or go together. Other columns may
+    have any name. Texts of any length are judged whole. Of no rows come no rows.
+    """
+    indexes = build(items)
 
+    @F.pandas_udf("boolean")
+    def clean(texts):
+        return pd.Series([not x for x in indexes.judge(list(texts), RETRIEVE, VERIFY)[2]], dtype=bool)
 
-def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; judged in place, without a shuffle."""
-    for held in turns(items):
-        docs = docs.where(clean_udf(shipped(docs.sparkSession, held))(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return docs
+    return docs.where(clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, table, work_dir
+from .common import filesystem, publish, table, work_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The pre-tokeniser pattern that the vocabulary was made with, and its free id for the end of a text.
@@ -31,6 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 END = 50256
 WIDTH = 2048
 SHARD_TOKENS = 4_000_000
+#: Documents in a shard at most; those without a token fill no rows.
+SHARD_DOCS = 100_000
 
 
 class CapacityTree:
@@ -103,13 +105,9 @@ def pack_shard(docs: list[np.ndarray], width: int, pad: int, dtype) -> dict[str,
 
 def write_shard(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Write under a name of this attempt, then rename; a second attempt writes the same."""
-    fs, root = filesystem(folder)
-    fs.create_dir(root, recursive=True)
-    context = TaskContext.get()
-    part = f"{root}/.{name}.{context.taskAttemptId() if context else 0}"
-    with fs.open_output_stream(part) as f:
-        np.savez(f, **arrays)
-    fs.move(part, f"{root}/{name}.npz")
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    publish(folder, name + ".npz", held.getvalue())
 
 
 def read_shard(folder: str, name: str) -> dict[str, np.ndarray]:
@@ -148,7 +146,9 @@ def pack(
 
     doc_id, n_tokens (ids of the text, without the end mark), n_pieces, shard, and pieces: (row, start, length), in the
     order of the text. A null or empty text has no ids and no piece, and its shard is null. Repeated rows are packed again;
-    rows with a null id are packed too. Other columns are not read. Of no rows come no rows and no files.
+    rows with a null id are packed too. Pieces of equal length keep the order of their documents. A text of any length is cut
+    into whole rows and a rest, none of it is left out; it is tokenised as a whole, in the memory of one task. Other columns
+    are not read. Of no rows come no rows and no files.
     """
     with open(vocabulary, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under a MB
@@ -190,7 +190,7 @@ def pack(
                 sizes.append(len(got))
                 buffer.append(np.concatenate([got, tail]) if len(got) else got)
                 held_tokens += len(got)
-                if held_tokens >= shard_tokens:
+                if held_tokens >= shard_tokens or len(ids) >= SHARD_DOCS:
                     yield flush()
                     held_tokens = 0
         if ids:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, filesystem, table, work_dir
+from .common import attempt_name, checkpoint, filesystem, settle, table, work_dir
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,8 +110,7 @@ class Output:
     def __init__(self, folder: str, name: str):
         self.fs, root = filesystem(folder)
         self.fs.create_dir(root, recursive=True)
-        context = TaskContext.get()
-        self.part, self.path = f"{root}/.{name}.{context.taskAttemptId() if context else 0}", f"{root}/{name}"
+        self.part, self.path = attempt_name(root, name), f"{root}/{name}"
         self.stream, self.size = self.fs.open_output_stream(self.part), 0
 
     def write(self, data: bytes) -> None:
@@ -120,7 +119,7 @@ class Output:
 
     def done(self) -> None:
         self.stream.close()
-        self.fs.move(self.part, self.path)
+        settle(self.fs, self.part, self.path)
 
 
 def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
