@@ -43,6 +43,8 @@ INDEXES = 4
 UNITS = 1000
 #: Words of the shortest class of items.
 SHORTEST = 16
+#: Characters of documents whose words are held at once.
+CHARS = 1 << 21
 #: Block sums that are made at once.
 SUMS = 1 << 22
 #: ASCII punctuation and capitals, for words that ignore both.
@@ -250,15 +252,23 @@ class Indexes:
 
     def judge(self, texts: list[str | None], retrieve: float, verify: float) -> tuple[list[int], list[int], list[dict]]:
         """Of each text the number of passages, over all classes, of items retrieved, and the items verified with their shares."""
-        words = [words_of(t) for t in texts]
-        passages = [sum(passages_of(len(w), width) for width in self.widths) for w in words]
-        retrieved, found = [0] * len(texts), [{} for _ in texts]
-        for index in self:
-            for i, w in enumerate(words):
-                n, got = index.hits(w, retrieve, verify)
-                retrieved[i] += n
-                for item, x in got.items():
-                    found[i][item] = max(found[i].get(item, (0.0,)), x)
+        passages, retrieved, found = [0] * len(texts), [0] * len(texts), [{} for _ in texts]
+        first = 0
+        while first < len(texts):
+            # So many texts at once as their words may be held; a longer one by itself.
+            words, size = [], 0
+            while first + len(words) < len(texts) and (not words or size + len(texts[first + len(words)] or "") <= CHARS):
+                size += len(texts[first + len(words)] or "")
+                words.append(words_of(texts[first + len(words)]))
+            for index in self:
+                for i, w in enumerate(words, first):
+                    n, got = index.hits(w, retrieve, verify)
+                    retrieved[i] += n
+                    for item, x in got.items():
+                        found[i][item] = max(found[i].get(item, (0.0,)), x)
+            for i, w in enumerate(words, first):
+                passages[i] = sum(passages_of(len(w), width) for width in self.widths)
+            first += len(words)
         return passages, retrieved, found
 
 
