@@ -1,18 +1,22 @@
 """Licence scans, in DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Lines of documents, and licence files as wholes, are compared with short licence notices. Weights are TF-IDF: a template
-term's frequency is counted over all documents; terms of no template weigh as much as a term that no document has, so a line
-is like a template only if it says little else. Which lines can reach the threshold at all is known beforehand: of each
-template the heaviest terms are anchors, so many that what is left of it falls short of the threshold by itself. Only lines
-with an anchor are compared, and by its anchors a line meets only few templates; nothing is lost by that.
-
-A document that opens with a licence stands for the licence file of its directory. Documents without a licence of their own
-inherit from the nearest directory above them that has one: every directory is joined with the paths of its ancestors, and
-the longest match wins.
+Units of documents are compared with licence notices, file headers and whole licence texts: every line; every paragraph of
+several lines, so that a wrapped notice or a comment block is one unit; and, if it has several paragraphs, the whole document. Weights
+are TF-IDF, with document frequencies counted over all documents for every term. Which units can reach the threshold at all
+is known beforehand: of each template the heaviest terms are anchors, so many that what is left of it falls short of the
+threshold by itself. Only units with an anchor are looked at, and of these only those whose terms in common with a template
+could reach the threshold if there were nothing else; nothing is lost by that. Texts are read twice, once to count terms and
+once to take such units out.
+
+A document that opens with a licence, or is one as a whole, stands for the licence file of its directory. Documents without a
+licence of their own inherit from the nearest directory above them that has one: every directory is joined with the paths of
+its ancestors, and the longest match wins.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,7 @@ from .common import checkpoint, table
 
 THRESHOLD = 0.8
 #: Short notices by SPDX identifier. A template may have several.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -34,7 +38,49 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("All-Rights-Reserved", "All rights reserved."),
 )
+#: The headers that licences ask for in source files.
+HEADERS = (
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+        'law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES '
+        "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License.",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "License. You may obtain a copy of the License at",
+    ),
+    (
+        "GPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+)
+
+
+def licence_texts() -> tuple[tuple[str, str], ...]:
+    """(SPDX identifier, text) of the whole licence texts beside this module, read on the driver."""
+    files = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return tuple((f.stem, f.read_text("utf-8")) for f in files)
+
+
+TEMPLATES = NOTICES + HEADERS + licence_texts()
 TERM = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
+#: What parts paragraphs: line ends with nothing but white space between them.
+GAP = r"\n[\x09-\x0D\x20]*\n"
 
 
 def terms(text: Column) -> Column:
@@ -42,59 +88,67 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"))
 
 
-def weighted_templates(docs: DataFrame, templates: tuple = TEMPLATES, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(template, licence, term, tf, idf, weight, anchor) of the templates' terms; weight is the share of a unit vector.
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, n): in how many of ``docs(text)`` each term is; the empty term is in all. Sums are partial before they travel."""
+    every = F.concat(F.array(F.lit("")), F.array_distinct(terms(F.col("text"))))
+    return docs.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
 
-    Documents are counted per term, over all of ``docs``. The templates are few and fixed, so their terms are too.
+def weighted_templates(counted: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(template, licence, term, weight, anchor, total) of the templates' terms; weight is the share of a unit vector.
+
+    The templates are few and fixed, so their terms are too. ``total`` is the number of documents.
     """
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, notice string")
+    rows = counted.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, notice string")
     rows = rows.select("template", "licence", F.explode(terms(F.col("notice"))).alias("term"))
     rows = rows.groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
-    vocabulary = F.lit(sorted({t for _, n in templates for t in python_terms(n)}))
-    # One row with the number of documents and one array of counts: a partial sum over the fixed vocabulary.
-    seen = F.array_intersect(terms(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), vocabulary)
-    counted = docs.select(F.explode(F.concat(F.array(F.lit("")), seen)).alias("term")).groupBy("term").count()
-    counted = checkpoint(counted)
-    total = counted.where("term = ''").select(F.col("count").alias("n"))
-    rows = rows.join(counted, "term", "left").join(F.broadcast(total), F.lit(True), "left")
-    idf = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("count", F.lit(0)) + 1)) + 1
-    rows = rows.withColumn("idf", idf).withColumn("w", F.col("tf") * F.col("idf"))
+    known = counted.join(F.broadcast(rows.select("term").distinct()), "term", "left_semi")  # no more than the templates have
+    total = counted.where("term = ''").select(F.col("n").alias("total"))  # one row
+    rows = rows.join(F.broadcast(known), "term", "left").join(F.broadcast(total), F.lit(True), "left")
+    rows = rows.withColumn("total", F.coalesce("total", F.lit(0)))
+    rows = rows.withColumn("w", F.col("tf") * idf(F.col("total"), F.coalesce("n", F.lit(0))))
     own = Window.partitionBy("template")
     rows = rows.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
     # What the lighter terms can give by themselves, their own length: if it reaches the threshold, this term is an anchor.
     lighter = own.orderBy(F.col("weight"), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
     rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(lighter))
-    none = F.log(F.coalesce("n", F.lit(0)) + 1) + 1
-    return rows.select(
-        "template", "licence", "term", "idf", "weight", (rest >= threshold - 1e-9).alias("anchor"), none.alias("other_idf")
-    )
+    return rows.select("template", "licence", "term", "weight", (rest >= threshold - 1e-9).alias("anchor"), "total")
 
 
-def python_terms(text: str) -> list[str]:
-    """``terms`` of a template, to state the fixed vocabulary in a plan."""
-    import regex
+def idf(total: Column, n: Column) -> Column:
+    return F.log((total + 1) / (n + 1)) + 1
 
-    return regex.findall(TERM, text.lower())
 
+def units(text: Column, anchors: Column) -> Column:
+    """The lines (kind 0), paragraphs of several lines (1) and the whole of several paragraphs (2) that hold an anchor."""
 
-def matches(lines: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, line, template, licence, score) of ``lines(doc, line, text)`` at ``threshold`` or above, the best for each line."""
-    known = templates.groupBy("term").agg(F.first("idf").alias("idf"))
-    other = templates.agg(F.max("other_idf").alias("other_idf"))
-    parts = lines.select("doc", "line", F.explode(terms(F.col("text"))).alias("term"))
-    parts = parts.groupBy("doc", "line", "term").agg(F.count("*").alias("tf"))
-    parts = parts.join(F.broadcast(known), "term", "left").join(F.broadcast(other), F.lit(True), "left")
-    parts = parts.withColumn("w", F.col("tf") * F.coalesce("idf", "other_idf")).where("w > 0")
-    norms = parts.groupBy("doc", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = parts.where("idf IS NOT NULL").join(F.broadcast(templates), "term")
-    dots = dots.groupBy("doc", "line", "template", "licence").agg(
-        F.sum(F.col("w") * F.col("weight")).alias("dot"), F.max("anchor").alias("anchor")
-    )
-    scored = dots.where("anchor").join(norms, ["doc", "line"])
-    scored = scored.select("doc", "line", "template", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    def some(texts: Column, kind: int, several: str | None) -> Column:
+        rows = F.transform(texts, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), t.alias("text")))
+        hit = lambda u: F.arrays_overlap(terms(u["text"]), anchors)
+        return F.filter(rows, hit if several is None else lambda u: u["text"].contains(several) & hit(u))
+
+    paragraphs = F.split(text, GAP, -1)
+    whole = F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+    found = F.concat(some(F.split(text, "\n", -1), 0, None), some(paragraphs, 1, "\n"), some(whole, 2, None))
+    return F.when(F.arrays_overlap(terms(text), anchors), found).otherwise(F.array().cast("array<struct<kind:int,no:int,text:string>>"))
+
+
+def matches(found: DataFrame, templates: DataFrame, counted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc, kind, no, template, licence, score) of units ``found(doc, kind, no, text)`` at ``threshold`` or above, the best for each."""
+    unit, few = ["doc", "kind", "no"], F.broadcast(templates.select("template", "licence", "term", "weight"))
+    parts = found.select(*unit, F.explode(terms(F.col("text"))).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
+    # Were there nothing else in a unit, this is what its terms could reach.
+    share = F.sum(F.col("weight") * F.col("weight"))
+    near = parts.join(few, "term").groupBy(*unit, "template").agg(share.alias("share")).where(F.col("share") >= threshold**2 - 1e-6)
+    parts = checkpoint(parts.join(near.select(*unit).distinct(), unit, "left_semi"))
+    total = F.broadcast(templates.agg(F.max("total").alias("total")))  # one row
+    parts = parts.join(counted, "term", "left").join(total, F.lit(True), "left")
+    parts = parts.withColumn("w", F.col("tf") * idf(F.col("total"), F.coalesce("n", F.lit(0)))).select(*unit, "term", "w")
+    norms = parts.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = parts.join(few, "term").groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, unit).select(*unit, "template", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
     best = F.max_by(F.struct("licence", "template", "score"), F.struct("score", -F.col("template"))).alias("b")
-    return scored.where(F.col("score") >= threshold).groupBy("doc", "line").agg(best).select("doc", "line", "b.*")
+    return scored.where(F.col("score") >= threshold).groupBy(*unit).agg(best).select(*unit, "b.*")
 
 
 def scan(
@@ -105,41 +159,47 @@ def scan(
     templates: tuple = TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, directory, own_licence, own_score, n_lines (of licence), licence,
-    inherited_from (a directory, null if the licence is its own or there is none).
+    """One row for each row of ``docs``: doc_id, directory, own_licence, own_score, n_lines and n_blocks (lines, and paragraphs
+    or the whole, that are a licence), licence, inherited_from (a directory, null if the licence is its own or there is none).
 
     ``path`` is a document's path, by default a column of that name; what follows its last slash is not of the directory. A
-    null path lies in the root, ''. Of several lines of licence in a document the best counts, then the first; of several
-    licence files in a directory that of the smallest id, then of the first licence by name. Null and empty texts have no
-    licence but inherit. Rows alike in id, path and text are one document in several rows. Of no rows come no rows.
+    null path lies in the root, ''. Of several licences in a document the best counts, of equals a line, then a paragraph, then
+    the first; of several licence files in a directory that of the smallest id, then of the first licence by name. Null and
+    empty texts have no licence but inherit. Very long texts are compared by line, by paragraph and as wholes like others.
+    Rows alike in id, path and text are one document in several rows. Other columns are not read. Of no rows come no rows.
     """
     where = F.coalesce(F.regexp_replace(F.coalesce(path, F.lit("")) if path is not None else F.coalesce("path", F.lit("")), "/?[^/]*$", ""), F.lit(""))
     src = docs.select(F.col(id_col).alias("doc_id"), where.alias("directory"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    src = src.withColumn("doc", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"), "directory", F.xxhash64("text").alias("hash")))
-    weights = checkpoint(weighted_templates(src, templates, "text", threshold))
-    # The anchors, a few words of fixed templates, are written into the plan as one pattern.
-    words = sorted(r[0] for r in weights.where("anchor").select("term").distinct().collect())
-    anchor = r"(?<![\p{L}\p{N}])(?:" + "|".join(w.replace(".", r"\.") for w in words) + r")(?![\p{L}\p{N}])"
-    some = src.where(F.lower("text").rlike(anchor)).select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    found = matches(some.where(F.lower("text").rlike(anchor)).distinct(), weights, threshold)
-    first = F.struct("score", -F.col("line"))
+    counted = checkpoint(document_frequencies(src))
+    weights = checkpoint(weighted_templates(counted, templates, threshold))
+    # The anchors, some words of fixed templates, are written into the plan.
+    anchors = F.lit(sorted(r.term for r in weights.where("anchor").select("term").distinct().collect()))
+    doc = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"), "directory", F.xxhash64("text").alias("hash"))
+    slim = checkpoint(src.select("doc_id", "directory", doc.alias("doc"), units(F.col("text"), anchors).alias("units")))
+    some = slim.where(F.size("units") > 0).dropDuplicates(["doc"]).select("doc", F.explode("units").alias("u")).select("doc", "u.*")
+    found = matches(some, weights, counted, threshold)
+    first = F.struct("score", -F.col("kind"), -F.col("no"))
+    opens = (F.col("no") == 0) & (F.col("score") >= threshold)
     own = found.groupBy("doc").agg(
         F.max_by("licence", first).alias("own_licence"),
         F.max("score").alias("own_score"),
-        F.count("*").alias("n_lines"),
-        F.max(F.when(F.col("line") == 0, F.col("licence"))).alias("opens"),
+        F.count_if(F.col("kind") == 0).alias("n_lines"),
+        F.count_if(F.col("kind") > 0).alias("n_blocks"),
+        F.max_by(F.when(opens, F.col("licence")), F.when(opens, first)).alias("opens"),
     )
     own = checkpoint(own)
-    ids = src.select("doc_id", "doc").distinct().join(own.where("opens IS NOT NULL"), "doc")
+    ids = slim.select("doc_id", "doc").distinct().join(own.where("opens IS NOT NULL"), "doc")
     files = ids.groupBy("doc.directory").agg(F.min_by("opens", F.struct(F.col("doc_id").isNull(), "doc_id", "opens")).alias("file_licence"))
-    given = inherited(src.select("directory").distinct(), files)
-    rows = src.select("doc_id", "directory", "doc").join(own, "doc", "left").join(given, "directory", "left")
+    # Made first, so that its size is known where the ancestors meet it; '' is above every directory.
+    given = inherited(slim.select("directory").distinct(), checkpoint(files))
+    rows = slim.select("doc_id", "directory", "doc").join(own, "doc", "left").join(given, "directory", "left")
     return rows.select(
         "doc_id",
         "directory",
         "own_licence",
         "own_score",
         F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce("n_blocks", F.lit(0)).cast("long").alias("n_blocks"),
         F.coalesce("own_licence", "file_licence").alias("licence"),
         F.when(F.col("own_licence").isNull(), F.col("from")).alias("inherited_from"),
     )
@@ -162,34 +222,35 @@ def op5_licence_scan(spark, sf_dir: str) -> DataFrame:
     return scan(docs, path=path)
 
 
+_TEXTS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+_TERMS = f"regexp_extract_all(lower(text), '{TERM}')"
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
         concat_ws('/', coalesce(source, ''), doc_id // 1000, doc_id // 50) AS directory FROM documents),
-t0(template, licence, notice) AS (VALUES {", ".join(f"({i}, '{l}', '{n}')" for i, (l, n) in enumerate(TEMPLATES))}),
-t1 AS (SELECT template, licence, term, count(*) AS tf FROM (
-        SELECT template, licence, unnest(regexp_extract_all(lower(notice), '{TERM}')) AS term FROM t0) GROUP BY ALL),
-c AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM d)
-      WHERE term IN (SELECT term FROM t1) GROUP BY term),
+t0(template, licence, text) AS (VALUES {_TEXTS}),
+t1 AS (SELECT template, licence, term, count(*) AS tf FROM (SELECT template, licence, unnest({_TERMS}) AS term FROM t0) GROUP BY ALL),
+c AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({_TERMS}) AS term FROM d) GROUP BY term),
 w AS (SELECT t1.*, ln(((SELECT count(*) FROM d) + 1) / (coalesce(c.n, 0) + 1)) + 1 AS idf FROM t1 LEFT JOIN c USING (term)),
 u AS (SELECT *, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM w),
-l AS (SELECT doc_id, directory, i - 1 AS line, regexp_extract_all(lower(lines[i]), '{TERM}') AS terms
-      FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d))
-      WHERE len(list_intersect(regexp_extract_all(lower(lines[i]), '{TERM}'), (SELECT list(DISTINCT term) FROM t1))) > 0),
-p AS (SELECT doc_id, directory, line, term, count(*) AS tf FROM (SELECT doc_id, directory, line, unnest(terms) AS term FROM l) GROUP BY ALL),
-x AS (SELECT p.*, p.tf * coalesce(k.idf, ln((SELECT count(*) FROM d) + 1) + 1) AS w
-      FROM p LEFT JOIN (SELECT DISTINCT term, idf FROM u) k USING (term)),
-n AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM x GROUP BY ALL),
-s AS (SELECT x.doc_id, x.directory, x.line, u.template, u.licence, round(sum(x.w * u.weight) / any_value(n.norm), 6) AS score
-      FROM x JOIN u USING (term) JOIN n ON n.doc_id = x.doc_id AND n.line = x.line GROUP BY ALL
+g AS (SELECT *, string_split(text, chr(10)) AS lines, string_split_regex(text, '{GAP}') AS blocks FROM d),
+l AS (SELECT doc_id, 0 AS kind, i - 1 AS no, lines[i] AS text FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM g)
+      UNION ALL SELECT doc_id, 1, i - 1, blocks[i] FROM (SELECT *, unnest(range(1, len(blocks) + 1)) AS i FROM g) WHERE contains(blocks[i], chr(10))
+      UNION ALL SELECT doc_id, 2, 0, text FROM g WHERE len(blocks) > 1),
+p AS (SELECT doc_id, kind, no, term, count(*) AS tf FROM (SELECT doc_id, kind, no, unnest({_TERMS}) AS term FROM l) GROUP BY ALL),
+x AS (SELECT p.*, p.tf * (ln(((SELECT count(*) FROM d) + 1) / (c.n + 1)) + 1) AS w FROM p JOIN c USING (term)),
+n AS (SELECT doc_id, kind, no, sqrt(sum(w * w)) AS norm FROM x GROUP BY ALL),
+s AS (SELECT x.doc_id, x.kind, x.no, u.template, u.licence, round(sum(x.w * u.weight) / any_value(n.norm), 6) AS score
+      FROM x JOIN u USING (term) JOIN n ON n.doc_id = x.doc_id AND n.kind = x.kind AND n.no = x.no GROUP BY ALL
       HAVING round(sum(x.w * u.weight) / any_value(n.norm), 6) >= {THRESHOLD}),
-b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY score DESC, template) = 1),
-o AS (SELECT doc_id, directory, arg_max(licence, (score, -line)) AS own_licence, max(score) AS own_score, count(*) AS n_lines,
-        max(CASE WHEN line = 0 THEN licence END) AS opens FROM b GROUP BY ALL),
-f AS (SELECT directory, arg_min(opens, doc_id) AS file_licence FROM o WHERE opens IS NOT NULL GROUP BY directory),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, kind, no ORDER BY score DESC, template) = 1),
+o AS (SELECT doc_id, arg_max(licence, (score, -kind, -no)) AS own_licence, max(score) AS own_score,
+        count(*) FILTER (kind = 0) AS n_lines, count(*) FILTER (kind > 0) AS n_blocks,
+        arg_max(licence, (score, -kind, -no)) FILTER (no = 0) AS opens FROM b GROUP BY ALL),
+f AS (SELECT directory, arg_min(opens, doc_id) AS file_licence FROM o JOIN d USING (doc_id) WHERE opens IS NOT NULL GROUP BY directory),
 i AS (SELECT a.directory, arg_max(f.file_licence, length(f.directory)) AS file_licence, max_by(f.directory, length(f.directory)) AS source_dir
       FROM (SELECT DISTINCT directory FROM d) a JOIN f ON a.directory = f.directory OR starts_with(a.directory, f.directory || '/')
       GROUP BY a.directory)
-SELECT d.doc_id, d.directory, own_licence, own_score, coalesce(n_lines, 0)::BIGINT AS n_lines,
+SELECT d.doc_id, d.directory, own_licence, own_score, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_blocks, 0)::BIGINT AS n_blocks,
   coalesce(own_licence, file_licence) AS licence, CASE WHEN own_licence IS NULL THEN source_dir END AS inherited_from
 FROM d LEFT JOIN o USING (doc_id) LEFT JOIN i ON i.directory = d.directory
 """
