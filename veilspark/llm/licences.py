@@ -4,9 +4,9 @@ Units of documents are compared with licence notices, file headers and whole lic
 several lines, so that a wrapped notice or a comment block is one unit; and, if it has several paragraphs, the whole document. Weights
 are TF-IDF, with document frequencies counted over all documents for every term. Which units can reach the threshold at all
 is known beforehand: of each template the heaviest terms are anchors, so many that what is left of it falls short of the
-threshold by itself. Only units with an anchor are looked at, and of these only those whose terms in common with a template
-could reach the threshold if there were nothing else; nothing is lost by that. Texts are read twice, once to count terms and
-once to take such units out.
+threshold by itself. Only documents with an anchor are looked at, and of their units only those whose terms in common with a
+template could reach the threshold if there were nothing else; nothing is lost by that. Texts are read twice, once to count
+terms and once to take such units out.
 
 A document that opens with a licence, or is one as a whole, stands for the licence file of its directory. Documents without a
 licence of their own inherit from the nearest directory above them that has one: every directory is joined with the paths of
@@ -17,12 +17,15 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import checkpoint, table
 
 THRESHOLD = 0.8
+#: Of a template's squared length what its light terms may have; a unit is held against the heavy ones first.
+LIGHT = 0.2
 #: Short notices by SPDX identifier. A template may have several.
 NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -94,10 +97,11 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def weighted_templates(counted: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(template, licence, term, weight, anchor, total) of the templates' terms; weight is the share of a unit vector.
+def weighted_templates(counted: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
+    """(template, licence, total, term, weight, rest) of the templates' terms; weight is the share of a unit vector.
 
-    The templates are few and fixed, so their terms are too. ``total`` is the number of documents.
+    ``rest`` is the squared length of a term and all lighter ones together, ``total`` the number of documents. The templates are
+    few and fixed, so their terms are too.
     """
     rows = counted.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, notice string")
     rows = rows.select("template", "licence", F.explode(terms(F.col("notice"))).alias("term"))
@@ -107,25 +111,47 @@ def weighted_templates(counted: DataFrame, templates: tuple = TEMPLATES, thresho
     rows = rows.join(F.broadcast(known), "term", "left").join(F.broadcast(total), F.lit(True), "left")
     rows = rows.withColumn("total", F.coalesce("total", F.lit(0)))
     rows = rows.withColumn("w", F.col("tf") * idf(F.col("total"), F.coalesce("n", F.lit(0))))
-    own = Window.partitionBy("template")
-    rows = rows.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
-    # What the lighter terms can give by themselves, their own length: if it reaches the threshold, this term is an anchor.
-    lighter = own.orderBy(F.col("weight"), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(lighter))
-    return rows.select("template", "licence", "term", "weight", (rest >= threshold - 1e-9).alias("anchor"), "total")
+    ordered = F.sort_array(F.collect_list(F.struct("w", "term"))).alias("ts")
+    rows = rows.groupBy("template", "licence", "total").agg(ordered, F.sum(F.col("w") * F.col("w")).alias("square"))
+
+    def weighed(x: Column, i: Column) -> Column:
+        lighter = F.aggregate(F.slice("ts", F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y["w"] * y["w"])
+        return F.struct(x["term"].alias("term"), (x["w"] / F.sqrt("square")).alias("weight"), (lighter / F.col("square")).alias("rest"))
+
+    return rows.select("template", "licence", "total", F.explode(F.transform("ts", weighed)).alias("t")).select("template", "licence", "total", "t.*")
 
 
 def idf(total: Column, n: Column) -> Column:
     return F.log((total + 1) / (n + 1)) + 1
 
 
-def units(text: Column, anchors: Column) -> Column:
-    """The lines (kind 0), paragraphs of several lines (1) and the whole of several paragraphs (2) that hold an anchor."""
+def units(text: Column, heavy: list, threshold: float) -> Column:
+    """The lines (kind 0), paragraphs of several lines (1) and the whole of several paragraphs (2) that may be like a template.
+
+    ``heavy(template, term, weight, rest)`` are the heavier terms of the templates, some rows of fixed lists.
+    """
+    least = threshold**2 - 1e-6
+    anchors = F.lit(sorted({r.term for r in heavy if r.rest >= least}))
+    every = F.lit(sorted({r.term for r in heavy}))
+    wanted = []
+    for t in sorted({r.template for r in heavy}):
+        mine = [r for r in heavy if r.template == t]
+        parts = F.array(*(F.struct(F.lit(r.term).alias("term"), F.lit(r.weight**2).alias("square")) for r in mine))
+        # What the terms that are not listed may add is at most this.
+        light = 1 - sum(r.weight**2 for r in mine)
+        wanted.append(F.struct(F.lit(least - light).alias("least"), parts.alias("parts")))
+    wanted = F.array(*wanted)
+
+    def near(u: Column) -> Column:
+        def reaches(common: Column) -> Column:
+            add = lambda a, p: a + F.when(F.array_contains(common, p["term"]), p["square"]).otherwise(F.lit(0.0))
+            return F.exists(wanted, lambda w: F.aggregate(w["parts"], F.lit(0.0), add) >= w["least"])
+
+        return let(F.array_intersect(terms(u["text"]), every), reaches)
 
     def some(texts: Column, kind: int, several: str | None) -> Column:
         rows = F.transform(texts, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), t.alias("text")))
-        hit = lambda u: F.arrays_overlap(terms(u["text"]), anchors)
-        return F.filter(rows, hit if several is None else lambda u: u["text"].contains(several) & hit(u))
+        return F.filter(rows, near if several is None else lambda u: u["text"].contains(several) & near(u))
 
     paragraphs = F.split(text, GAP, -1)
     whole = F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
@@ -137,10 +163,7 @@ def matches(found: DataFrame, templates: DataFrame, counted: DataFrame, threshol
     """(doc, kind, no, template, licence, score) of units ``found(doc, kind, no, text)`` at ``threshold`` or above, the best for each."""
     unit, few = ["doc", "kind", "no"], F.broadcast(templates.select("template", "licence", "term", "weight"))
     parts = found.select(*unit, F.explode(terms(F.col("text"))).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
-    # Were there nothing else in a unit, this is what its terms could reach.
-    share = F.sum(F.col("weight") * F.col("weight"))
-    near = parts.join(few, "term").groupBy(*unit, "template").agg(share.alias("share")).where(F.col("share") >= threshold**2 - 1e-6)
-    parts = checkpoint(parts.join(near.select(*unit).distinct(), unit, "left_semi"))
+    parts = checkpoint(parts)
     total = F.broadcast(templates.agg(F.max("total").alias("total")))  # one row
     parts = parts.join(counted, "term", "left").join(total, F.lit(True), "left")
     parts = parts.withColumn("w", F.col("tf") * idf(F.col("total"), F.coalesce("n", F.lit(0)))).select(*unit, "term", "w")
@@ -171,11 +194,11 @@ def scan(
     where = F.coalesce(F.regexp_replace(F.coalesce(path, F.lit("")) if path is not None else F.coalesce("path", F.lit("")), "/?[^/]*$", ""), F.lit(""))
     src = docs.select(F.col(id_col).alias("doc_id"), where.alias("directory"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counted = checkpoint(document_frequencies(src))
-    weights = checkpoint(weighted_templates(counted, templates, threshold))
-    # The anchors, some words of fixed templates, are written into the plan.
-    anchors = F.lit(sorted(r.term for r in weights.where("anchor").select("term").distinct().collect()))
+    weights = checkpoint(weighted_templates(counted, templates))
+    # Some words of fixed templates, written into the plan.
+    heavy = weights.where(F.col("rest") > LIGHT).select("template", "term", "weight", "rest").collect()
     doc = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"), "directory", F.xxhash64("text").alias("hash"))
-    slim = checkpoint(src.select("doc_id", "directory", doc.alias("doc"), units(F.col("text"), anchors).alias("units")))
+    slim = checkpoint(src.select("doc_id", "directory", doc.alias("doc"), units(F.col("text"), heavy, threshold).alias("units")))
     some = slim.where(F.size("units") > 0).dropDuplicates(["doc"]).select("doc", F.explode("units").alias("u")).select("doc", "u.*")
     found = matches(some, weights, counted, threshold)
     first = F.struct("score", -F.col("kind"), -F.col("no"))
