@@ -10,7 +10,7 @@ TEXTS = [
     "%%% ### $$$ *** |||| <<<< >>>>", "ünïcödé wörds äre hére tœ stây ❤ 😀 fin", "A B C d\x0be\x0cf",
 ]
 #: Names that operators use inside.
-CLASHES = ("fp", "key", "size", "k", "n", "rank", "unit", "digest", "label", "score", "bucket", "range", "level", "target", "count", "taken", "run", "doc", "line", "term")
+CLASHES = ("fp", "key", "size", "k", "n", "rank", "unit", "digest", "label", "score", "bucket", "range", "level", "target", "count", "taken", "run", "doc", "line", "term", "__id", "__hash", "__copy", "__taken", "__row", "b", "copy", "gram", "words", "fingerprint")
 
 
 def odd_documents(spark, texts=TEXTS):

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from veilspark.llm import simhash
+from veilspark.llm import common, simhash
 from veilspark.llm.common import components
 
 from .helpers import empty_documents, odd_documents, rows
@@ -128,3 +128,17 @@ def test_similar_odd_rows(spark):
     got = simhash.kept_of_similar(df)
     assert got.columns == df.columns and got.count() == simhash.kept_rows(df, radius=0).count()
     assert simhash.kept_of_similar(empty_documents(spark)).collect() == []
+
+
+def test_a_star_is_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 1000)
+    star = spark.range(1, 30_000, 1, 8).selectExpr("0L AS u", "id AS v")
+    both = star.union(star.select("v", "u"))
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = common.joined_once(both, low, "u")
+    assert joined.count() == 2 * 29_999
+    hub = joined.where("u = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(hub) >= 8 and max(r["count"] for r in hub) < 29_999 / 4
+    assert components(star).groupBy("root").count().collect()[0]["count"] == 29_999
+    docs = spark.range(0, 3000, 1, 4).select(F.col("id").alias("doc_id"), F.lit("one text for all of them").alias("text"))
+    assert simhash.near_duplicates(docs).groupBy("component_id").count().collect() == [(0, 3000)]

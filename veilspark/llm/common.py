@@ -17,6 +17,8 @@ from ..checkpoints import checkpoint, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space that parts words.
 SPACE = " \t\n\x0b\x0c\r"
+#: Rows of one key from which on they are not dealt by it in a join.
+HUB = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` by way of a table in the shared folder: Spark knows its size, and broadcasts it in a join only if it is small."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shipped(spark: SparkSession, value):
     """A function that gives ``value`` on the executors, unpacked once a worker; they need not have this package installed."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -84,11 +93,32 @@ def publish(folder: str, name: str, data: bytes) -> None:
     settle(fs, part, f"{root}/{name}")
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that none clashes with a name used beside it."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+
+
+def joined_once(rows: DataFrame, once: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``once``, which has each key once and in ``n`` how many of the rows have it.
+
+    Rows of a key that over ``HUB`` of them share are not dealt by it: such keys are few, at most a ``HUB``-th of the rows, and
+    a table by themselves, which Spark broadcasts if it is small and else joins by sorting, splitting what is skewed.
+    """
+    once = checkpoint(once)
+    hubs = once.where(F.col("n") > HUB)
+    if hubs.isEmpty():
+        return rows.join(once.drop("n"), key)
+    hubs = written(hubs.drop("n"), "hubs")
+    rest = rows.join(hubs.select(key), key, "left_anti").join(once.where(F.col("n") <= HUB).drop("n"), key)
+    return rest.unionByName(rows.join(hubs, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)``: (node, root), the root being the component's smallest node.
 
-    Alternates large-star and small-star steps until the edges are stars. Each step is a partial minimum and a join, so a
-    node of very many neighbours is never gathered in one place. Nodes without an edge do not appear.
+    Alternates large-star and small-star steps until the edges are stars. A step takes the least neighbour of every node, a
+    partial minimum, to all others; the neighbours of a node of very many stay where they are (``joined_once``). Nodes without
+    an edge do not appear.
     """
     now = checkpoint(
         edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -96,12 +126,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     for _ in itertools.count():
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u != v")
-        now = checkpoint(small.distinct())
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = joined_once(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpoint(large.where("u != v").distinct())
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = joined_once(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpoint(small.union(low.select("u", "m")).where("u != v").distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

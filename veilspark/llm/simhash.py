@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, row_key, shipped, work_dir
+from .common import checkpoint, components, joined_once, row_key, shipped, whole_rows, written
 
 BITS = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -148,7 +148,11 @@ def unit_links(unit: np.ndarray, piece: np.ndarray, mixed: np.ndarray, fp: np.nd
 
 
 def links(distinct: DataFrame, radius: int = 3, piece: int = PIECE) -> DataFrame:
-    """(u, v): links that connect exactly the fingerprints ``distinct(fp)`` that are within the radius, directly or by others."""
+    """(u, v): links that connect exactly the fingerprints ``distinct(fp)`` that are within the radius, directly or by others.
+
+    A bucket of K different fingerprints that agree on two blocks travels K / ``piece`` times, as each two pieces meet in a task of
+    their own: work is its square, over ever more tasks. Blocks are 12 or 13 bits, so that takes fingerprints that crowd.
+    """
     blocks = radius + 2
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
 
@@ -199,26 +203,32 @@ def near_duplicates(
     Other columns of ``docs`` are not read. Of no rows come no rows.
     """
     fps = checkpoint(fingerprints(docs, id_col, text_col, words))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     roots = components(links(nodes.select("fp"), radius))
-    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", "copies", F.coalesce("root", "fp").alias("root"))
     nodes = checkpoint(nodes)
-    low = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = nodes.join(low, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    low = nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = joined_once(nodes, low, "root").select("fp", "component_id", F.col("copies").alias("n"))
+    return joined_once(fps, named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, parts: list, keep: DataFrame) -> DataFrame:
+    """A row of ``docs`` for each of ``keep(__id, __hash)``; rows alike in both fall together before they travel."""
+    names = ["__id", "__hash"]
+    return docs.select(whole_rows(docs), *parts).dropDuplicates(names).join(keep, names).select("__row.*")
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: that of the smallest id, then of the smallest text hash.
 
-    Ids may be null (these come last) and may repeat; of rows alike in id and text one stays.
+    Ids may be null (these come last) and may repeat; of rows alike in id and text one stays. Null and empty texts are alike.
+    Columns may have any name. Of no rows come no rows.
     """
     parts = row_key(docs, id_col, text_col)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *parts)
     found = near_duplicates(docs.select(key.alias("key"), text_col), "key", text_col, words, radius)
     keep = found.where("doc_id <=> component_id").select("doc_id.__id", "doc_id.__hash").distinct()
-    names = ["__id", "__hash"]
-    return docs.select("*", *parts).join(keep, names).dropDuplicates(names).drop(*names)
+    return one_of_each(docs, parts, keep)
 
 
 def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -384,37 +394,31 @@ def kept_of_similar(
     The row is that of the smallest id, null last, then of the smallest text hash, with all its columns. Pairs meet at a rare
     shingle (prefix filter: none of the similarity is missed), must be within ``WIDE`` bits of SimHash, and are then compared
     exactly. Each group at a shingle is first compared with one of its members; only what this leaves apart is compared in
-    pairs.
+    pairs. A null text is an empty one; texts without a word are alike. Texts of any length count with all their shingles. Columns
+    may have any name. Of no rows come no rows.
     """
     parts = row_key(docs, id_col, text_col)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *parts)
-    spark, src = docs.sparkSession, docs.select(*parts, key.alias("key"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(*parts, key.alias("key"), F.col(text_col).cast("string").alias("text"))
     every = checkpoint(marks(src, words, similarity))
     rows = checkpoint(met(every.select("same", "fp", "n", "prefix").dropDuplicates(["same"])))
     low = checkpoint(every.groupBy("same").agg(F.min("key").alias("key")))
 
-    def written(df: DataFrame) -> DataFrame:
-        # A table of known size: joined by broadcast if small, so that the other side does not travel.
-        path = work_dir(spark, "similar")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
     def links_of(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs)
         used = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
-        names = written(low.join(used, "same").select("same", "key.__id", "key.__hash"))
+        names = written(low.join(used, "same").select("same", "key.__id", "key.__hash"), "alike")
         texts = src.select("__id", "__hash", "text").join(names, ["__id", "__hash"]).select("same", "text")
         return checkpoint(alike(pairs, texts.dropDuplicates(["same"]), words, similarity))
 
     found = links_of(stars(rows, similarity))
-    roots = written(components(found).select(F.col("node").alias("same"), F.col("root").alias("part")))
+    roots = written(components(found).select(F.col("node").alias("same"), F.col("root").alias("part")), "alike")
     labelled = rows.join(roots, "same", "left").withColumn("part", F.coalesce("part", "same"))
     found = found.union(links_of(apart(labelled, similarity)))
     roots = components(found).select(F.col("node").alias("same"), "root")
     keep = low.join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("key").alias("key"))
     keep = keep.select("key.__id", "key.__hash").distinct()
-    names = ["__id", "__hash"]
-    return docs.select("*", *parts).join(keep, names).dropDuplicates(names).drop(*names)
+    return one_of_each(docs, parts, keep)
 
 
 def op9_simhash_bit_sliced(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attempt_name, checkpoint, filesystem, settle, table, work_dir
+from .common import attempt_name, checkpoint, filesystem, settle, table, work_dir, written
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -253,9 +253,7 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
     rows = rows.withColumn("__sha1", F.sha1("payload")).withColumn("__size", F.length("payload"))
     groups = rows.groupBy("__sha1", "__size").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
     # Written first, so that its size is known: Spark broadcasts it up to its own threshold, and else shuffles the pages.
-    path = work_dir(pages.sparkSession, "copies")
-    groups.where((F.col("n") > 1) & (F.col("__size") >= least)).drop("n").write.parquet(path)
-    groups = pages.sparkSession.read.parquet(path)
+    groups = written(groups.where((F.col("n") > 1) & (F.col("__size") >= least)).drop("n"), "copies")
     rows = rows.join(groups, ["__sha1", "__size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return rows.select(
