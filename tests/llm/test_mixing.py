@@ -58,3 +58,10 @@ def test_the_mix_itself_has_the_words_taken(spark):
     words = lambda df: sum(len((r.text or "").encode().split()) for r in df.collect())
     assert mixed.columns == docs.columns
     assert words(mixed) == sum(r.taken for r in mixing.mix(docs).collect())
+
+
+def test_many_rows_that_nothing_tells_apart(spark):
+    rows_ = [(None, "a b c", "s0")] * 3000 + [(7, "x " * (i % 5), "s0") for i in range(2000)] + [(i, "w w", "s1") for i in range(50)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).drop("source")
+    assert named(got) == duck(mixing.OP8_SQL, documents=docs)

@@ -8,16 +8,18 @@ in front of the cut, and the row on the cut with the words that are left.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, checkpoint, row_key, table
+from .common import SPACE, WORD, checkpoint, row_key, table, whole_rows
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-#: Hexadecimal digits of the key that name its range: 4096 ranges in every source.
-RANGE_DIGITS = 3
+#: Rows of a range of keys, on average over all sources; as many hexadecimal digits of the key name it as that takes.
+RANGE_ROWS = 2000
 SEED = "mix"
 
 
@@ -63,8 +65,9 @@ def mix(
 
     ``taken`` counts the words that the mix takes, repeats included; over a source they add up to its target, rounded down,
     and no row gives more than ``cap`` times its size, rounded up to whole epochs. A null source is a source of its own and
-    comes last; a null text has size 0 and gives nothing. Rows are ordered by a hash of their id, then by id and size, so
-    reruns agree; repeated rows count each on their own. Of no rows come no rows. Other columns are not read.
+    comes last; a null or empty text has size 0 and gives nothing; a text of any length has all its words counted. Rows are
+    ordered by a hash of their id, then by id and size, so reruns agree. Rows alike in source, id and size, such as repeated
+    ones, are one row with a count until each gives its own share. Of no rows come no rows. Other columns are not read.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")
@@ -75,8 +78,11 @@ def mix(
 
 
 def _cut(rows: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame:
-    rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / RANGE_ROWS), 16)))
+    # Rows that nothing tells apart, however many, are one here.
+    rows = rows.groupBy("source", "doc_id", "size", "key").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("range", F.substring("key", 1, digits))
+    ranges = rows.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("n")).alias("range_size"))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0).cast("long")))
@@ -85,11 +91,13 @@ def _cut(rows: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame
     all_rows = rows.alias("d").join(ranges.alias("r"), F.expr("d.source <=> r.source and d.range = r.range"))
     own = Window.partitionBy("d.source", "d.range").orderBy("key", "doc_id", "size")
     own = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = F.col("offset") + F.sum("size").over(own) - F.col("size")
+    words = F.col("size") * F.col("n")
+    all_rows = all_rows.withColumn("start", F.col("offset") + F.sum(words).over(own) - words)
+    all_rows = all_rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     goal_words = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
-    rest = goal_words - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
+    rest = goal_words - epochs * F.col("source_size") - F.col("copy") * F.col("size")
+    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     return all_rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "d.source")
 
 
@@ -102,28 +110,30 @@ def mixed_rows(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as they are taken, with all their columns.
+    """The mix itself: rows of ``docs`` as often as they are taken, with all their columns, which may have any name.
 
     A row on a source's cut gives a last row of the words that are left, joined by spaces; a column n_chars then has the
-    length of that. Rows alike in id and text are taken together.
+    length of that. Rows alike in id and text are taken together. Rows without a word, of null or empty text too, are in no
+    mix; a null source is one of the sources. Of no rows come no rows.
     """
     key = row_key(docs, id_col, text_col)
     names = ["__id", "__hash"]
     slim = docs.select(F.struct(*key).alias("__key"), F.col(text_col), F.col(source_col))
     taken = mix(slim, weights, share, cap, "__key", text_col, source_col).where("taken > 0")
     taken = taken.groupBy("doc_id.__id", "doc_id.__hash").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"))
-    rows = docs.select("*", *key).dropDuplicates(names).join(taken, names)
+    rows = docs.select(whole_rows(docs), *key).dropDuplicates(names).join(taken, names)
     last = F.expr("__taken div __size")
     copies = F.expr("sequence(cast(0 as bigint), (__taken + __size - 1) div __size - 1)")
     rows = rows.withColumn("__copy", F.explode(copies))
     left = F.expr("__taken % __size").cast("int")
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), 1, left), " ")
+    text = F.col("__row").getField(text_col)
+    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, left), " ")
     cut = F.col("__copy") >= last
-    rows = rows.withColumn(text_col, F.when(cut, words).otherwise(F.col(text_col)))
+    made = {text_col: F.when(cut, words).otherwise(text)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(cut, F.length(text_col).cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.when(cut, F.length(words).cast(kind)).otherwise(F.col("__row").getField("n_chars"))
+    return rows.select(*(made.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
