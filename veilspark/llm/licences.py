@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import checkpoint, table
+from .common import checkpoint, table, written
 
 THRESHOLD = 0.8
 #: Of a template's squared length what its light terms may have; a unit is held against the heavy ones first.
@@ -163,10 +163,10 @@ def matches(found: DataFrame, templates: DataFrame, counted: DataFrame, threshol
     """(doc, kind, no, template, licence, score) of units ``found(doc, kind, no, text)`` at ``threshold`` or above, the best for each."""
     unit, few = ["doc", "kind", "no"], F.broadcast(templates.select("template", "licence", "term", "weight"))
     parts = found.select(*unit, F.explode(terms(F.col("text"))).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
-    parts = checkpoint(parts)
+    parts = written(parts, "terms")  # of known size: the many terms of all documents do not travel to a few
     total = F.broadcast(templates.agg(F.max("total").alias("total")))  # one row
-    parts = parts.join(counted, "term", "left").join(total, F.lit(True), "left")
-    parts = parts.withColumn("w", F.col("tf") * idf(F.col("total"), F.coalesce("n", F.lit(0)))).select(*unit, "term", "w")
+    parts = parts.join(counted, "term").join(total, F.lit(True), "left")
+    parts = checkpoint(parts.withColumn("w", F.col("tf") * idf(F.col("total"), F.col("n"))).select(*unit, "term", "w"))
     norms = parts.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = parts.join(few, "term").groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, unit).select(*unit, "template", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
