@@ -2,8 +2,9 @@
 
 Categories are predicted one after the other. The model of a category sees a text's hashed features and the log-odds that the
 chain gave the categories before. While training these come from out-of-fold predictions, so a later model learns from such
-odds as it will meet. The models are L1 logistic regressions, fitted on a bounded sample of labelled rows; every document is
-then scored where it lies, by looking up the few words that carry weight.
+odds as it will meet. The models are L1 logistic regressions, fitted on a bounded sample of labelled rows; the cut from which
+on a document is rejected comes from the out-of-fold odds too. Every document is then scored where it lies, by looking up the
+few words that carry weight.
 
 Features of a text: each distinct word and its beginnings of four to seven bytes (inflected and compounded forms share
 them), and how much of it is symbols and repeated words.
@@ -18,20 +19,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shipped, table
+from .common import checkpoint, shipped, table
 from .decontam import words_of
 
-#: The labelled categories in the order of the chain: name and condition on the labels. The last named ``DECIDES`` rejects.
+#: The labelled categories in the order of the chain: name and condition on the labels. The one named ``DECIDES`` rejects. The
+#: labels have two columns, so the third category is where both are set: a further link of the chain, not a further label.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 AND quality = 0"))
-DECIDES, REJECT = "toxic", 0.15
-#: Labelled rows to fit on: so many that are toxic and so many that are not, at most, chosen by a hash of their id.
-SAMPLE_ROWS = 4000
+DECIDES = "toxic"
+#: Labelled rows to fit on: so many that are toxic and so many that are not, at most, chosen by a hash of their id, and of each
+#: kind texts of so many bytes together, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 << 20
+#: How many missed rows of the deciding category weigh as much as one rejected wrongly.
+WRONG_COST = 2.0
 FOLDS = 3
 HASH_BITS = 22
-SELECTED = 3000
+#: Rows that a feature must be in, and features that a model may have at most.
+LEAST_ROWS, SELECTED = 3, 3000
 L1 = 1.5e-4
 STEPS = 120
 CACHE = 300_000
@@ -74,19 +80,23 @@ def log_odds(p):
 
 
 class Rows:
-    """Feature ids of rows, side by side, and whose they are; four bytes each."""
+    """Numbers of features of rows, side by side, and whose they are, four bytes each; ``ids`` are the numbered features."""
 
-    def __init__(self, flat: np.ndarray, owner: np.ndarray, n: int):
-        self.flat, self.owner, self.n = flat.astype(np.int32, copy=False), owner.astype(np.int32, copy=False), n
+    def __init__(self, flat: np.ndarray, owner: np.ndarray, n: int, ids: np.ndarray):
+        self.flat, self.owner, self.n, self.ids = flat.astype(np.int32, copy=False), owner.astype(np.int32, copy=False), n, ids
 
     @classmethod
-    def of(cls, rows: list[np.ndarray]) -> Rows:
-        flat = np.concatenate([np.zeros(0, np.int32), *rows])
-        return cls(flat, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), len(rows))
+    def of(cls, flat: np.ndarray, owner: np.ndarray, n: int) -> Rows:
+        """Of feature ids; those that no model takes up, as too few rows have them, are left out."""
+        ids = np.flatnonzero(np.bincount(flat, minlength=MASK + 1) >= LEAST_ROWS)
+        place = np.full(MASK + 1, -1, np.int32)
+        place[ids] = np.arange(len(ids))
+        number = place[flat]
+        return cls(number[number >= 0], owner[number >= 0], n, ids)
 
     def where(self, mask: np.ndarray) -> Rows:
         keep, number = mask[self.owner], np.cumsum(mask, dtype=np.int32) - 1
-        return Rows(self.flat[keep], number[self.owner[keep]], int(mask.sum()))
+        return Rows(self.flat[keep], number[self.owner[keep]], int(mask.sum()), self.ids)
 
 
 class Linear:
@@ -98,14 +108,14 @@ class Linear:
         self.v, self.b = np.zeros(dense.shape[1]), -30.0 if pos == 0 else 30.0
         if pos in (0.0, float(n)):
             return
-        df = np.bincount(rows.flat, minlength=MASK + 1)
-        ids = np.flatnonzero(df >= 3)
-        df, hit = df[ids], np.bincount(rows.flat[y[rows.owner] > 0], minlength=MASK + 1)[ids]
+        df = np.bincount(rows.flat, minlength=len(rows.ids))
+        hit = np.bincount(rows.flat[y[rows.owner] > 0], minlength=len(rows.ids))
         rate = df / n
         z = (hit / pos - (df - hit) / (n - pos)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / pos + 1 / (n - pos)))
-        chosen = np.argsort(-np.abs(z), kind="stable")[:SELECTED]
-        chosen = ids[np.sort(chosen[np.abs(z[chosen]) >= 2])]
-        place = np.full(MASK + 1, -1, np.int32)
+        z = np.where(df >= LEAST_ROWS, np.abs(z), 0)
+        chosen = np.argsort(-z, kind="stable")[:SELECTED]
+        chosen = np.sort(chosen[z[chosen] >= 2])
+        place = np.full(len(rows.ids), -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         col = place[rows.flat]
         row, col = rows.owner[col >= 0], col[col >= 0]
@@ -133,18 +143,34 @@ class Linear:
             w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
             old, cur, t = cur, (w, look[1] - step * g[1], look[2] - step * g[2]), new_t
         live = cur[0] != 0
-        self.ids, self.w, self.v, self.b = chosen[live], cur[0][live], cur[1], float(cur[2])
+        self.ids, self.w, self.v, self.b = rows.ids[chosen[live]], cur[0][live], cur[1], float(cur[2])
 
     def odds(self, rows: Rows, dense: np.ndarray) -> np.ndarray:
-        weight = np.zeros(MASK + 1)
-        weight[self.ids] = self.w
+        weight = np.zeros(len(rows.ids))
+        weight[np.searchsorted(rows.ids, self.ids)] = self.w
         return np.bincount(rows.owner, weights=weight[rows.flat], minlength=rows.n) + dense @ self.v + self.b
 
 
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which on to reject: most of the set rows caught, less ``WRONG_COST`` times the share of others.
+
+    Of equal cuts that in the middle, between its neighbours' log-odds; 0.5 where all rows are alike.
+    """
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    first = np.flatnonzero(np.r_[True, p[1:] > p[:-1]])  # a cut lies in front of the first of equals
+    gain = (y.sum() - np.r_[0, np.cumsum(y)][first]) / y.sum() - WRONG_COST * ((1 - y).sum() - np.r_[0, np.cumsum(1 - y)][first]) / (1 - y).sum()
+    best = first[np.flatnonzero(gain >= gain.max() - 1e-12)]
+    at = int(best[len(best) // 2])
+    return float(p[0]) if at == 0 else float(sigmoid((log_odds(p[at - 1]) + log_odds(p[at])) / 2))
+
+
 class Chain:
-    """Models of the categories in turn, and the words' features that they weigh."""
+    """Models of the categories in turn, the words' features that they weigh, and the cut of the deciding category."""
 
-    def __init__(self, rows: Rows, y: np.ndarray, shift: np.ndarray):
+    def __init__(self, rows: Rows, y: np.ndarray, shift: np.ndarray, decides: int = 1):
         """y: rows x categories. shift: what to add to each category's log-odds, as the sample has its own shares."""
         self.models, before, self.shift = [], np.zeros((rows.n, 0)), shift
         folds = np.arange(rows.n) % FOLDS
@@ -166,6 +192,7 @@ class Chain:
             self.weights[np.searchsorted(ids, m.ids), c] = m.w
         self.dense = [(m.b + float(x), m.v.tolist()) for m, x in zip(self.models, shift)]
         self.words: dict[bytes, tuple[int, ...]] = {}
+        self.reject = best_cut(self.held_out[:, decides], y[:, decides])
 
     def __getstate__(self):
         return self.__dict__ | {"words": {}, "held_out": None}
@@ -198,11 +225,14 @@ def fit(
     text_col: str = "text",
     categories: tuple = CATEGORIES,
     sample_rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> Chain:
     """Fit the chain on at most ``sample_rows`` labelled rows of the deciding category and as many others.
 
-    Labels without an id or without the deciding label are left out, and of an id labelled more than once the smallest. The
-    sample's features, not its texts, come to the driver. With nothing labelled every probability is next to 0.
+    Labels without an id or without the deciding label are left out, and of an id labelled more than once the smallest. Of
+    documents of one id that of the smallest text hash counts. Rows are taken in the order of a hash of their id, as long as
+    their texts have ``sample_bytes`` together for each side; a text longer than that is not fitted on. The sample's features,
+    not its texts, come to the driver. With nothing labelled every probability is next to 0.
     """
     deciding = dict(categories)[DECIDES]
     asked = [F.coalesce(F.expr(e), F.lit(False)).cast("int") for _, e in categories]
@@ -213,28 +243,29 @@ def fit(
     counts = {r["d"]: r["count"] for r in known.groupBy("d").count().collect()}
     # At most 2 * sample_rows ids and labels.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = texts.join(F.broadcast(some[0].union(some[1])), "doc_id").select("doc_id", "y", "text")
+    sample = texts.join(F.broadcast(some[0].union(some[1])), "doc_id").groupBy("doc_id", "d", "y")
+    sample = sample.agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("x")).select("doc_id", "d", "y", "x.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array([features(t.as_py()) for t in b.column(2)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], names=["doc_id", "y", "f"])
+            made = pa.array([features(t.as_py()) for t in b.column(3)], pa.list_(pa.int32()))
+            size = pa.array([0 if not t.is_valid else t.as_buffer().size for t in b.column(3)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], size, made], names=["doc_id", "d", "y", "size", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.mapInArrow(run, f"doc_id {kind}, y array<int>, f array<int>").toArrow().sort_by("doc_id")
-    ids, y, rows = got["doc_id"].to_pylist(), got["y"].to_pylist(), got["f"].combine_chunks()
-    first = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]  # repeated rows of a document count once
-    y = np.array([y[i] for i in first], float).reshape(len(first), len(categories))
-    flat, at = rows.flatten().to_numpy(), rows.offsets.to_numpy() if len(rows) else np.zeros(1, int)
-    mask = np.zeros(len(ids), bool)
-    mask[first] = True
-    rows = Rows(flat, np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(at)), len(ids)).where(mask)
+    made = checkpoint(sample.mapInArrow(run, f"doc_id {kind}, d boolean, y array<int>, size long, f array<int>").where(F.col("size") <= sample_bytes))
+    upto = F.sum("size").over(Window.partitionBy("d").orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most sample_rows rows
+    got = made.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "y", "f").toArrow().sort_by("doc_id")
+    y, found = got["y"].to_pylist(), got["f"].combine_chunks()
+    y = np.array(y, float).reshape(len(y), len(categories))
+    flat, at = found.flatten().to_numpy(), found.offsets.to_numpy() if len(found) else np.zeros(1, int)
+    rows = Rows.of(flat, np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at)), len(y))
     # The sample has its own share of the deciding category: odds are moved back to the share among all labels.
     d = [name for name, _ in categories].index(DECIDES)
     have, true = (y[:, d].mean() if len(y) else 0.5), counts.get(True, 0) / max(1, sum(counts.values()))
     moved = float(log_odds(true) - log_odds(have))
     shift = np.array([moved if DECIDES in name else 0.0 for name, _ in categories])
-    return Chain(rows, y, shift)
+    return Chain(rows, y, shift, d)
 
 
 def score(
@@ -242,7 +273,8 @@ def score(
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, a probability p_<category> for each category, and rejected.
 
-    Null and empty texts are scored as texts without a word. Repeated rows score alike. Other columns are not read.
+    Null and empty texts are scored as texts without a word, texts of any length by all their words. Repeated rows score alike.
+    Other columns are not read. Of no rows come no rows.
     """
     get, names = shipped(docs.sparkSession, chain), [f"p_{n}" for n, _ in categories]
 
@@ -254,16 +286,20 @@ def score(
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = src.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} double" for n in names))
-    return out.withColumn("rejected", F.col(f"p_{DECIDES}") >= REJECT)
+    return out.withColumn("rejected", F.col(f"p_{DECIDES}") >= chain.reject)
 
 
 def kept_rows(docs: DataFrame, chain: Chain, text_col: str = "text", categories: tuple = CATEGORIES) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns; judged in place, without a shuffle."""
+    """The rows of ``docs`` that are not rejected, with all their columns, of any name; judged in place, without a shuffle.
+
+    Null and empty texts are judged as texts without a word, texts of any length by all their words. Repeated rows stay or go
+    together. Of no rows come no rows.
+    """
     get, d = shipped(docs.sparkSession, chain), [n for n, _ in categories].index(DECIDES)
 
     @F.pandas_udf("boolean")
     def fine(texts):
-        return texts.map(lambda t: get().probabilities(t)[d] < REJECT).astype(bool)
+        return texts.map(lambda t: get().probabilities(t)[d] < get().reject).astype(bool)
 
     return docs.where(fine(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
