@@ -254,8 +254,10 @@ def fit(
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = checkpoint(sample.mapInArrow(run, f"doc_id {kind}, d boolean, y array<int>, size long, f array<int>").where(F.col("size") <= sample_bytes))
-    upto = F.sum("size").over(Window.partitionBy("d").orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most sample_rows rows
-    got = made.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id", "y", "f").toArrow().sort_by("doc_id")
+    # At most 2 * sample_rows ids.
+    upto = F.sum("size").over(Window.partitionBy("d").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    taken = made.select("doc_id", "d", "size").withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id")
+    got = made.join(F.broadcast(taken), "doc_id", "left_semi").select("doc_id", "y", "f").toArrow().sort_by("doc_id")
     y, found = got["y"].to_pylist(), got["f"].combine_chunks()
     y = np.array(y, float).reshape(len(y), len(categories))
     flat, at = found.flatten().to_numpy(), found.offsets.to_numpy() if len(found) else np.zeros(1, int)
