@@ -39,6 +39,11 @@ def test_close_pairs_against_brute_force():
     fp = np.array([int(rng.choice(base)) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))) for _ in range(300)], np.uint64)
     lo, hi = np.arange(1, 301), np.full(300, 300)
     hi[50:60] = 55
+    wide = np.stack([fp, simhash.mixed(fp)], axis=1)
+    for radius in (0, 9, 40):
+        a, b = simhash.close_pairs(wide, lo, hi, radius)
+        distance = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2)
+        assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(300) for j in range(lo[i], hi[i]) if distance[i, j] <= radius}
     for radius in (0, 1, 2, 3, 5):
         a, b = simhash.close_pairs(fp, lo, hi, radius)
         want = {(i, j) for i in range(300) for j in range(lo[i], hi[i]) if bin(int(fp[i]) ^ int(fp[j])).count("1") <= radius}
@@ -89,7 +94,7 @@ def test_no_rows(spark):
     assert rows(simhash.kept_rows(empty_documents(spark))) == []
 
 
-def test_similar_sets_against_brute_force(spark):
+def test_similar_sets_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
     shared = " ".join(rng.choice(words) for _ in range(12))
@@ -111,16 +116,34 @@ def test_similar_sets_against_brute_force(spark):
     sets = [shingles(t) for t in texts]
     n = range(len(texts))
     pairs = [(i, j) for i in n for j in n if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    bits = [simhash.set_fingerprint(simhash.shingle_set(t, 5)) for t in texts]
-    assert sum(bin((bits[i] ^ bits[j]) & (2**64 - 1)).count("1") > 3 for i, j in pairs) > 10  # what three bits leave
+    bits = [int(simhash.set_fingerprint(simhash.shingle_set(t, 5))[0]) for t in texts]
+    assert sum((bits[i] ^ bits[j]).bit_count() > 3 for i, j in pairs) > 10  # what three bits leave
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = {v for v, root in roots(n, pairs).items() if v == root}
-    for common in (simhash.COMMON, 2):
-        simhash.COMMON, was = common, simhash.COMMON
-        try:
-            assert sorted(r.doc_id for r in simhash.kept_of_similar(docs).collect()) == sorted(want)
-        finally:
-            simhash.COMMON = was
+    for piece, at_once in ((simhash.PIECE, simhash.PAIRS), (2, 5)):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        monkeypatch.setattr(simhash, "PAIRS", at_once)
+        assert sorted(r.doc_id for r in simhash.kept_of_similar(docs).collect()) == sorted(want)
+
+
+def test_many_near_copies_of_one_text_are_compared_with_few(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        copy = base[:]
+        for _ in range(3):
+            copy[rng.randrange(200)] = f"x{i}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    seen = []
+    real = simhash.alike
+    try:
+        simhash.alike = lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest)
+        assert [r.doc_id for r in simhash.kept_of_similar(docs).collect()] == [0]
+    finally:
+        simhash.alike = real
+    assert sum(seen) < 4 * 400
 
 
 def test_similar_odd_rows(spark):

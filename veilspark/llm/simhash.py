@@ -29,12 +29,13 @@ PIECE = 4096
 ENTRIES = 1 << 18
 #: Shingles whose bits are counted at once.
 SHINGLES = 1 << 16
-#: Bits within which two sets of Jaccard similarity 0.8 lie: their shingles' cosine is 0.89, about 9.7 bits and 2.9 of deviation.
-WIDE = 24
+#: Words of the wide fingerprints of sets, and the bits within which two sets of Jaccard similarity 0.8 lie: their cosine is
+#: 0.89, so about 19.4 of 128 bits differ, with a deviation of 4. Sets of so few shingles are not held against that.
+WORDS, WIDE, FEW = 2, 40, 16
+#: Bands of so many least hashes each: sets of similarity 0.8 share no band in 3 of a million cases.
+BANDS, LEAST_HASHES = 32, 5
 #: Pairs held at once.
 PAIRS = 1 << 21
-#: Texts of which common shingles are counted, how many must share one, and how many are kept.
-SAMPLE, COMMON, COMMON_KEPT = 10_000, 8, 100_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -65,18 +66,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def planes_of(fp: np.ndarray) -> np.ndarray:
-    """Bit planes: plane k holds bit k of 64 consecutive fingerprints in each word."""
+def planes_of(fp: np.ndarray) -> list[np.ndarray]:
+    """Bit planes of rows of words: plane k holds bit k of 64 consecutive fingerprints in each word."""
     n = -(-len(fp) // BITS) * BITS
-    padded = np.zeros(n, np.uint64)
+    padded = np.zeros((n, fp.shape[1]), np.uint64)
     padded[: len(fp)] = fp
-    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
+    return list(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64))
 
 
 def close_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), lo[i] <= j < hi[i], whose fingerprints differ in at most ``radius`` bits."""
+    """Pairs (i, j), lo[i] <= j < hi[i], whose fingerprints, of one word or a row of words, differ in at most ``radius`` bits."""
+    fp = fp.reshape(len(fp), -1)
     planes, width = planes_of(fp), max(1, radius.bit_length())
+    ahead = (1 << width) - 1 - radius  # so that the counters run over beyond the radius
     rows = np.flatnonzero(hi > lo)
     first, last = lo[rows] >> 6, (hi[rows] - 1) >> 6
     counts = last - first + 1
@@ -89,9 +92,9 @@ def close_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int) ->
         base = w << 6
         below, above = np.clip(lo[q] - base, 0, 64), np.clip(hi[q] - base, 0, 64)
         over = ~(low_bits(above) & ~low_bits(below))  # what is outside the range counts as too far
-        counter = [np.zeros(len(q), np.uint64) for _ in range(width)]
-        for k in range(BITS):
-            carry = planes[k][w] ^ (-((fp[q] >> np.uint64(k)) & np.uint64(1)).astype(np.int64)).view(np.uint64)
+        counter = [np.full(len(q), FULL if ahead >> i & 1 else 0, np.uint64) for i in range(width)]
+        for k, plane in enumerate(planes):
+            carry = plane[w] ^ (-((fp[q, k // BITS] >> np.uint64(k % BITS)) & np.uint64(1)).astype(np.int64)).view(np.uint64)
             for c in counter:
                 full = c & carry
                 c ^= carry
@@ -106,11 +109,8 @@ def close_pairs(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: int) ->
         if len(q) and (hit := np.flatnonzero(over != FULL)).size:
             near = np.unpackbits((~over[hit]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             e, bit = np.nonzero(near)
-            e = hit[e]
-            d = sum(((c[e] >> bit.astype(np.uint64)) & np.uint64(1)).astype(np.int64) << i for i, c in enumerate(counter))
-            ok = d <= radius
-            left.append(q[e][ok])
-            right.append(((w[e] << 6) + bit)[ok])
+            left.append(q[hit[e]])
+            right.append((w[hit[e]] << 6) + bit)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -240,127 +240,180 @@ def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x, seed) for x in parts], np.uint64))
 
 
-def set_fingerprint(hashes: np.ndarray) -> int:
-    """The SimHash of a set of shingles, each counted once, as a signed long."""
-    total = np.zeros(BITS, np.int64)
-    for a in range(0, len(hashes), SHINGLES):
-        part = hashes[a : a + SHINGLES].view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.int64)[0])
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits, each made another that looks random."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def common_shingles(src: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of shingles that many texts of a sample hold. They only order shingles; no result depends on them."""
-    near = src.select(F.xxhash64("text").alias("h"), "text")
-    part = max(1, near.count() // SAMPLE)
+FACTORS = mixed(np.arange(1, BANDS * LEAST_HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64))], names=["s"])
 
-    seen = near.where(F.pmod("h", F.lit(part)) == 0).dropDuplicates(["h"]).mapInArrow(run, "s long")
-    top = seen.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "s").limit(COMMON_KEPT)
-    return np.sort(np.array([r.s for r in top.select("s").collect()], np.int64).view(np.uint64))
+def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles, each counted once, in ``WORDS`` words."""
+    out = np.zeros(WORDS, np.uint64)
+    for w in range(WORDS):
+        total = np.zeros(BITS, np.int64)
+        for a in range(0, len(hashes), SHINGLES):
+            part = hashes[a : a + SHINGLES]
+            part = mixed(part + np.uint64(w)) if w else part
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in an order for all texts, common ones last, so many that two texts alike share one of theirs."""
-    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
-    late = np.isin(hashes, common, assume_unique=True)
-    return np.concatenate([hashes[~late], hashes[late]])[:size]
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes of a set."""
+    least = np.full(len(FACTORS), FULL)
+    for a in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[None, a : a + 512] * FACTORS[:, None]).min(axis=1))
+    rows = mixed(least).reshape(BANDS, LEAST_HASHES) * FACTORS[None, :LEAST_HASHES]
+    return mixed(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def marks(src: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(__id, __hash, key, same, fp, n, prefix) of ``src(__id, __hash, key, text)``; texts of one set have one ``same``."""
-    common = shipped(src.sparkSession, common_shingles(src, words))
+SIDE = ["part", *(f"f{w}" for w in range(WORDS)), "n"]
+
+
+def marks(src: DataFrame, words: int) -> DataFrame:
+    """(key, same, f0, ..., n, bands) of ``src(key, text)``; texts of one set of shingles have one ``same``."""
     kind = src.schema["key"].dataType.simpleString()
+    names = ["key", "same", *SIDE[1:], "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(3)]
-            same = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
-            first = pa.array([prefix(s, common(), similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            more = [same, pa.array(map(set_fingerprint, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), first]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *more], names=names)
-
-    names = ["__id", "__hash", "key", "same", "fp", "n", "prefix"]
-    schema = f"__id string, __hash long, key {kind}, same long, fp long, n long, prefix array<bigint>"
-    return src.select("__id", "__hash", "key", "text").mapInArrow(run, schema)
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
-    """Columns of longs as arrays that end where the first one, sorted, changes."""
+            same, fps, n, bands = [], [], [], []
+            for t in b.column(1):
+                s = shingle_set(t.as_py(), words)
+                same.append(xxhash.xxh64_intdigest(s.tobytes()))
+                fps.append(set_fingerprint(s))
+                n.append(len(s))
+                bands.append(bands_of(s))
+            fps = np.array(fps, np.uint64).reshape(-1, WORDS).view(np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint64), *bands]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(flat))
+            columns = [pa.array(np.array(same, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(f)) for f in fps.T), pa.array(n, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
+
+    schema = f"key {kind}, same long, {', '.join(f'f{w} long' for w in range(WORDS))}, n long, bands array<bigint>"
+    return src.select("key", "text").mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
+    """Columns of longs as arrays that end where one of the first ``keys``, which are sorted, changes."""
     held: list[np.ndarray] = []
     for b in itertools.chain(batches, [None]):
         if b is not None:
-            held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(columns)]))
+            held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]))
             if sum(x.shape[1] for x in held) < ENTRIES // 8:
                 continue
         if not held:
             continue
         m = np.concatenate(held, axis=1)
-        new = np.flatnonzero(m[0, 1:] != m[0, :-1]) + 1
+        new = np.flatnonzero((m[:keys, 1:] != m[:keys, :-1]).any(axis=0)) + 1
         cut = m.shape[1] if b is None else int(new[-1]) if len(new) else 0  # the last group may go on
         held = [m[:, cut:]]
         if cut:
             yield m[:, :cut]
 
 
+def group_starts(m: np.ndarray, keys: int) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (m[:keys, 1:] != m[:keys, :-1]).any(axis=0)])
+
+
 def met(nodes: DataFrame) -> DataFrame:
-    """(s, same, fp, n): the prefix shingles that more than one of ``nodes(same, fp, n, prefix)`` has."""
-    rows = nodes.select(F.explode("prefix").alias("s"), "same", "fp", "n").repartition("s").sortWithinPartitions("s", "same")
+    """(s, same): the bands that more than one of ``nodes(same, bands)`` has, streamed band by band."""
+    rows = nodes.select(F.explode("bands").alias("s"), "same").repartition("s").sortWithinPartitions("s", "same")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m in whole_groups(batches, 4):
+        held = None
+        for b in batches:
+            m = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            m = m if held is None else np.concatenate([held, m], axis=1)
+            if m.shape[1] < 3:
+                held = m
+                continue
+            # The last row waits for the next batch, and the one before it comes along to be known by.
             equal = m[0, 1:] == m[0, :-1]
-            m = m[:, np.r_[False, equal] | np.r_[equal, False]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in m], names=["s", "same", "fp", "n"])
+            keep = np.r_[equal, False] | np.r_[False, equal]
+            keep[0] &= held is None or not settled
+            keep[-1] = False
+            settled, held = True, m[:, -2:]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in m[:, keep]], names=["s", "same"])
+        if held is not None:
+            keep = np.r_[held[0, 1:] == held[0, :-1], held[0, 1:] == held[0, :-1]] if held.shape[1] == 2 else np.zeros(1, bool)
+            keep[0] &= not settled
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:, keep]], names=["s", "same"])
+
+    return rows.mapInArrow(run, "s long, same long")
+
 
-    return rows.mapInArrow(run, "s long, same long, fp long, n long")
+def may_be_alike(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which columns (part, f0, ..., n) of two arrays are of two parts and not too different in size and fingerprint."""
+    n, m = left[-1], right[-1]
+    bits = np.bitwise_count((left[1:-1] ^ right[1:-1]).view(np.uint64)).sum(axis=0)
+    near = (bits <= WIDE) | (np.minimum(n, m) <= FEW)
+    return (left[0] != right[0]) & near & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
 
 
 def stars(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): what may be alike of the first row and each other one of a shingle, in ``rows`` of ``met`` as they lie."""
+    """(u, v, k, d): of each piece of k rows of a band in ``rows(s, p, same, part, ...)`` the middle one, and each other that may
+    be alike, d bits away.
+
+    The middle is the row whose fingerprint is nearest to the bits that most of the piece have: what near-copies are copies of.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m in whole_groups(batches, 4):
-            start = np.flatnonzero(np.r_[True, m[0, 1:] != m[0, :-1]])
-            first = np.repeat(m[:, start], np.diff(np.r_[start, m.shape[1]]), axis=1)
-            ok = (m[1] != first[1]) & (np.bitwise_count((m[2] ^ first[2]).view(np.uint64)) <= WIDE)
-            ok &= np.minimum(m[3], first[3]) >= similarity * np.maximum(m[3], first[3]) - 1e-9
-            pairs = np.unique(np.stack([first[1, ok], m[1, ok]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+        for m in whole_groups(batches, 2):
+            start = group_starts(m, 2)
+            sizes = np.diff(np.r_[start, m.shape[1]])
+            group, fp = np.repeat(np.arange(len(start)), sizes), np.ascontiguousarray(m[4:-1].T)
+            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+            most = 2 * np.add.reduceat(bits, start, axis=0, dtype=np.int64) > sizes[:, None]
+            most = np.packbits(most, axis=1, bitorder="little").view(np.int64)
+            away = np.bitwise_count((fp ^ most[group]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            middle = np.repeat(np.lexsort((m[2], away, group))[start], sizes)
+            ok = may_be_alike(m[3:, middle], m[3:], similarity)
+            d = np.bitwise_count((fp ^ fp[middle]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            columns = (m[2, middle][ok], m[2][ok], np.repeat(sizes, sizes)[ok], d[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["u", "v", "k", "d"])
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    rows = rows.select("s", "p", "same", *SIDE).repartition("s", "p").sortWithinPartitions("s", "p", "same")
+    return rows.mapInArrow(run, "u long, v long, k long, d long")
 
 
 def apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs of ``rows(s, same, fp, n, part)`` that meet at a shingle, are of two parts and may be alike."""
+    """(u, v): pairs of ``rows(s, p, pieces, same, part, ...)`` that meet in a band, are of two parts and may be alike."""
+    several = rows.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    rows = joined_once(rows, several.where("low != high").select("s", F.col("n").alias("m")).withColumnRenamed("m", "n"), "s")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = rows.select("s", F.least("p", "other").alias("a"), F.greatest("p", "other").alias("b"), "same", *SIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m in whole_groups(batches, 5):
-            start = np.flatnonzero(np.r_[True, m[0, 1:] != m[0, :-1]])
-            sizes = np.diff(np.r_[start, m.shape[1]])
-            mixed = np.minimum.reduceat(m[4], start) != np.maximum.reduceat(m[4], start)
-            m, sizes = m[:, np.repeat(mixed, sizes)], sizes[mixed]
-            _, same, fp, n, part = m
+        for m in whole_groups(batches, 3):
+            start = group_starts(m, 3)
+            end = np.repeat(np.r_[start[1:], m.shape[1]], np.diff(np.r_[start, m.shape[1]]))
             # Within a group, rows are sorted by part, so a row is compared only with those of later parts.
-            end = np.repeat(np.cumsum(sizes), sizes)
-            own = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (m[0, 1:] != m[0, :-1])]) if len(part) else []
-            lo = np.repeat(np.r_[own[1:], len(part)], np.diff(np.r_[own, len(part)])) if len(part) else end
-            a = 0
-            while a < len(part):
-                b = a + max(1, int(np.searchsorted(np.cumsum((end - lo)[a:]), PAIRS, side="right")))
-                hi = np.where((np.arange(len(part)) >= a) & (np.arange(len(part)) < b), end, lo)
-                i, j = close_pairs(fp.view(np.uint64), lo, hi, WIDE)
-                ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-                u, v = same[i[ok]], same[j[ok]]
+            own = group_starts(np.stack([*m[:3], m[4]]), 4)
+            lo = np.minimum(np.repeat(np.r_[own[1:], m.shape[1]], np.diff(np.r_[own, m.shape[1]])), end)
+            todo, a, fp = np.cumsum(end - lo), 0, np.ascontiguousarray(m[5:-1].T).view(np.uint64)
+            few = m[-1] <= FEW
+            while a < m.shape[1]:
+                z = max(a + 1, int(np.searchsorted(todo, (todo[a - 1] if a else 0) + PAIRS, side="right")))
+                here = np.zeros(m.shape[1], bool)
+                here[a:z] = True
+                found = [close_pairs(fp, lo, np.where(here, end, lo), WIDE)]
+                # Pairs with a set of few shingles are held against its size only.
+                i = np.flatnonzero(here & few & (end > lo))
+                found.append((np.repeat(i, (end - lo)[i]), np.concatenate([np.zeros(0, np.int64), *(np.arange(lo[k], end[k]) for k in i)])))
+                i, j = (np.concatenate(x) for x in zip(*found))
+                ok = may_be_alike(m[4:, i], m[4:, j], similarity)
+                u, v = m[3, i[ok]], m[3, j[ok]]
                 pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-                a = b
+                a = z
 
-    rows = rows.select("s", "same", "fp", "n", "part").repartition("s").sortWithinPartitions("s", "part", "same")
+    rows = rows.repartition("s", "a", "b").sortWithinPartitions("s", "a", "b", "part", "same")
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -391,34 +444,45 @@ def kept_of_similar(
 ) -> DataFrame:
     """One row of each group of ``docs`` that pairs of at least this Jaccard similarity of word shingles connect.
 
-    The row is that of the smallest id, null last, then of the smallest text hash, with all its columns. Pairs meet at a rare
-    shingle (prefix filter: none of the similarity is missed), must be within ``WIDE`` bits of SimHash, and are then compared
-    exactly. Each group at a shingle is first compared with one of its members; only what this leaves apart is compared in
-    pairs. A null text is an empty one; texts without a word are alike. Texts of any length count with all their shingles. Columns
-    may have any name. Of no rows come no rows.
+    The row is that of the smallest id, null last, then of the smallest text hash, with all its columns. Sets meet in a band of
+    least hashes, must be within ``WIDE`` bits of a SimHash of ``WORDS`` words, and are then compared exactly, shingle by shingle. First
+    each set is compared with the middle of its largest band, then with the middles of all of them that are not yet in its
+    group; last come, by bit planes, the pairs that are still in different groups. So a group of near-copies gives about as
+    many comparisons as it has members; only sets that are nearly alike and yet unconnected are compared in pairs. Large bands
+    are cut into pieces, and each pair of pieces is a unit of its own. A null text is an empty one; texts without a word are
+    alike. Texts of any length count with all their shingles. Columns may have any name. Of no rows come no rows.
     """
     parts = row_key(docs, id_col, text_col)
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *parts)
     src = docs.select(*parts, key.alias("key"), F.col(text_col).cast("string").alias("text"))
-    every = checkpoint(marks(src, words, similarity))
-    rows = checkpoint(met(every.select("same", "fp", "n", "prefix").dropDuplicates(["same"])))
-    low = checkpoint(every.groupBy("same").agg(F.min("key").alias("key")))
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = checkpoint(pairs)
+    firsts = [F.first(c).alias(c) for c in (*SIDE[1:], "bands")]
+    nodes = checkpoint(marks(src, words).groupBy("same").agg(F.min("key").alias("key"), *firsts))
+    rows = met(nodes).join(nodes.select("same", *SIDE[1:]), "same")
+    large = rows.groupBy("s").count().where(F.col("count") > PIECE)
+    pieces = F.coalesce(F.ceil(F.col("count") / PIECE).cast("int"), F.lit(1))
+    rows = rows.join(large, "s", "left").withColumn("pieces", pieces).drop("count")
+    rows = checkpoint(rows.withColumn("p", F.pmod(F.xxhash64("same"), "pieces").cast("int")))
+
+    def alike_of(pairs: DataFrame) -> DataFrame:
+        pairs = checkpoint(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         used = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
-        names = written(low.join(used, "same").select("same", "key.__id", "key.__hash"), "alike")
+        names = written(nodes.join(used, "same").select("same", "key.__id", "key.__hash"), "alike")
         texts = src.select("__id", "__hash", "text").join(names, ["__id", "__hash"]).select("same", "text")
-        return checkpoint(alike(pairs, texts.dropDuplicates(["same"]), words, similarity))
-
-    found = links_of(stars(rows, similarity))
-    roots = written(components(found).select(F.col("node").alias("same"), F.col("root").alias("part")), "alike")
-    labelled = rows.join(roots, "same", "left").withColumn("part", F.coalesce("part", "same"))
-    found = found.union(links_of(apart(labelled, similarity)))
+        return checkpoint(alike(pairs, written(texts.dropDuplicates(["same"]), "alike"), words, similarity))
+
+    def grouped(found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return rows.withColumn("part", F.col("same"))
+        roots = written(components(found).select(F.col("node").alias("same"), F.col("root").alias("part")), "alike")
+        return rows.join(roots, "same", "left").withColumn("part", F.coalesce("part", "same"))
+
+    nearest = stars(grouped(None), similarity).groupBy("v").agg(F.min_by("u", F.struct(-F.col("k"), "d", "u")).alias("u"))
+    found = alike_of(nearest)
+    found = found.union(alike_of(stars(grouped(found), similarity)))
+    found = found.union(alike_of(apart(grouped(found), similarity)))
     roots = components(found).select(F.col("node").alias("same"), "root")
-    keep = low.join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("key").alias("key"))
-    keep = keep.select("key.__id", "key.__hash").distinct()
-    return one_of_each(docs, parts, keep)
+    keep = nodes.join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("key").alias("key"))
+    return one_of_each(docs, parts, keep.select("key.__id", "key.__hash").distinct())
 
 
 def op9_simhash_bit_sliced(spark, sf_dir: str) -> DataFrame:
