@@ -123,6 +123,7 @@ def test_similar_sets_against_brute_force(spark, monkeypatch):
     for piece, at_once in ((simhash.PIECE, simhash.PAIRS), (2, 5)):
         monkeypatch.setattr(simhash, "PIECE", piece)
         monkeypatch.setattr(simhash, "PAIRS", at_once)
+        monkeypatch.setattr(simhash, "SETS", piece)
         assert sorted(r.doc_id for r in simhash.kept_of_similar(docs).collect()) == sorted(want)
 
 

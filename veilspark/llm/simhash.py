@@ -34,6 +34,10 @@ SHINGLES = 1 << 16
 WORDS, WIDE, FEW = 2, 40, 16
 #: Bands of so many least hashes each: sets of similarity 0.8 share no band in 3 of a million cases.
 BANDS, LEAST_HASHES = 32, 5
+#: Of all least hashes so many are equal, or more, for sets of similarity 0.8: 128 on average, with a deviation of 5.
+EQUAL = 103
+#: Rows of a piece of a band whose sets are compared in pairs.
+SETS = 1024
 #: Pairs held at once.
 PAIRS = 1 << 21
 
@@ -263,12 +267,17 @@ def set_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of least hashes of a set."""
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set's hashes by each of many orders."""
     least = np.full(len(FACTORS), FULL)
     for a in range(0, len(hashes), 512):
         least = np.minimum(least, (hashes[None, a : a + 512] * FACTORS[:, None]).min(axis=1))
-    rows = mixed(least).reshape(BANDS, LEAST_HASHES) * FACTORS[None, :LEAST_HASHES]
+    return mixed(least)
+
+
+def bands_of(least: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes."""
+    rows = least.reshape(BANDS, LEAST_HASHES) * FACTORS[None, :LEAST_HASHES]
     return mixed(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
@@ -288,7 +297,7 @@ def marks(src: DataFrame, words: int) -> DataFrame:
                 same.append(xxhash.xxh64_intdigest(s.tobytes()))
                 fps.append(set_fingerprint(s))
                 n.append(len(s))
-                bands.append(bands_of(s))
+                bands.append(bands_of(least_hashes(s)))
             fps = np.array(fps, np.uint64).reshape(-1, WORDS).view(np.int64)
             flat = np.concatenate([np.zeros(0, np.uint64), *bands]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(flat))
@@ -382,39 +391,108 @@ def stars(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long, k long, d long")
 
 
-def apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs of ``rows(s, p, pieces, same, part, ...)`` that meet in a band, are of two parts and may be alike."""
-    several = rows.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-    rows = joined_once(rows, several.where("low != high").select("s", F.col("n").alias("m")).withColumnRenamed("m", "n"), "s")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    rows = rows.select("s", F.least("p", "other").alias("a"), F.greatest("p", "other").alias("b"), "same", *SIDE)
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(same, sketch, hashes) of ``texts(same, text)``: bands and a byte of each least hash, and the set's sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m in whole_groups(batches, 3):
-            start = group_starts(m, 3)
-            end = np.repeat(np.r_[start[1:], m.shape[1]], np.diff(np.r_[start, m.shape[1]]))
-            # Within a group, rows are sorted by part, so a row is compared only with those of later parts.
-            own = group_starts(np.stack([*m[:3], m[4]]), 4)
-            lo = np.minimum(np.repeat(np.r_[own[1:], m.shape[1]], np.diff(np.r_[own, m.shape[1]])), end)
-            todo, a, fp = np.cumsum(end - lo), 0, np.ascontiguousarray(m[5:-1].T).view(np.uint64)
-            few = m[-1] <= FEW
-            while a < m.shape[1]:
-                z = max(a + 1, int(np.searchsorted(todo, (todo[a - 1] if a else 0) + PAIRS, side="right")))
-                here = np.zeros(m.shape[1], bool)
-                here[a:z] = True
-                found = [close_pairs(fp, lo, np.where(here, end, lo), WIDE)]
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+            least = [least_hashes(s) for s in sets]
+            made = [bands_of(x).tobytes() + x.astype(np.uint8).tobytes() for x in least]
+            columns = [b.column(0), pa.array(made, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["same", "sketch", "hashes"])
+
+    return texts.select("same", "text").mapInArrow(run, "same long, sketch binary, hashes binary")
+
+
+def whole_tables(batches: Iterator[pa.RecordBatch], keys: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Rows joined to batches of about ``most`` bytes that end where one of the first ``keys`` columns, which are sorted, changes."""
+    held: list[pa.RecordBatch] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            held.append(b)
+            if sum(x.nbytes for x in held) < most:
+                continue
+        if not held:
+            continue
+        t = pa.concat_batches(held)
+        m = np.stack([t.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        new = np.flatnonzero((m[:, 1:] != m[:, :-1]).any(axis=0)) + 1
+        cut = len(t) if b is None else int(new[-1]) if len(new) else 0  # the last group may go on
+        held = [t.slice(cut)]
+        if cut:
+            yield t.slice(0, cut)
+
+
+def sets_alike(m: np.ndarray, sketch: np.ndarray, hashes: list, similarity: float) -> Iterator[tuple[int, int]]:
+    """(u, v): the pairs alike of one unit, columns of m: s, a, b, p, same, part, ..., n; sorted by part.
+
+    A pair that meets in several bands is compared in the first of them. What the fingerprints, and then the least hashes, show
+    to be too far apart is not compared set by set.
+    """
+    size = m.shape[1]
+    own = np.flatnonzero(np.r_[True, m[5, 1:] != m[5, :-1]])
+    lo, hi = np.repeat(np.r_[own[1:], size], np.diff(np.r_[own, size])), np.full(size, size)
+    if size <= BITS:
+        i = np.repeat(np.arange(size), hi - lo)
+        j = np.concatenate([np.arange(a, size) for a in lo.tolist()])
+        todo = iter([(i, j)])
+    else:
+        fp, few, step = np.ascontiguousarray(m[6:-1].T).view(np.uint64), m[-1] <= FEW, max(1, PAIRS // size)
+
+        def blocks():
+            for a in range(0, size, step):
+                here = (np.arange(size) >= a) & (np.arange(size) < a + step)
+                yield close_pairs(fp, lo, np.where(here & ~few, hi, lo), WIDE)
                 # Pairs with a set of few shingles are held against its size only.
-                i = np.flatnonzero(here & few & (end > lo))
-                found.append((np.repeat(i, (end - lo)[i]), np.concatenate([np.zeros(0, np.int64), *(np.arange(lo[k], end[k]) for k in i)])))
-                i, j = (np.concatenate(x) for x in zip(*found))
-                ok = may_be_alike(m[4:, i], m[4:, j], similarity)
-                u, v = m[3, i[ok]], m[3, j[ok]]
-                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-                a = z
+                for k in np.flatnonzero(here & few).tolist():
+                    yield np.full(size - lo[k], k), np.arange(lo[k], size)
+
+        todo = blocks()
+    band = sketch[:, : 8 * BANDS].copy().view(np.int64)
+    least = sketch[:, 8 * BANDS :]
+    for i, j in todo:
+        ok = may_be_alike(m[5:, i], m[5:, j], similarity) & ((m[1, i] == m[2, i]) | (m[3, i] != m[3, j]))
+        i, j = i[ok], j[ok]
+        for a in range(0, len(i), SHINGLES):
+            x, y = i[a : a + SHINGLES], j[a : a + SHINGLES]
+            same = band[x] == band[y]
+            ok = band[x, same.argmax(axis=1)] == m[0, x]
+            ok &= ((least[x] == least[y]).sum(axis=1) >= EQUAL) | (np.minimum(m[-1, x], m[-1, y]) <= FEW)
+            for p, q in zip(x[ok].tolist(), y[ok].tolist()):
+                left, right = np.frombuffer(hashes[p], np.uint64), np.frombuffer(hashes[q], np.uint64)
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                if both >= similarity * (len(left) + len(right) - both) - 1e-9:
+                    yield int(m[4, p]), int(m[4, q])
 
+
+def apart(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs alike of ``rows(s, same, part, ...)`` that meet in a band and are of two parts.
+
+    Sets travel to where a band, or each two pieces of a large one, is compared, and only links leave it.
+    """
+    rows = rows.select("s", "same", *SIDE).join(sets, "same")
+    n = F.ceil(F.col("n_rows") / SETS).cast("int")
+    large = rows.groupBy("s").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > SETS)
+    rows = rows.join(large, "s", "left").withColumn("pieces", F.coalesce(n, F.lit(1)))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("same"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    numbers = ["s", "a", "b", "p", "same", *SIDE]
+    rows = rows.withColumns({"a": F.least("p", "other"), "b": F.greatest("p", "other")}).select(*numbers, "sketch", "hashes")
     rows = rows.repartition("s", "a", "b").sortWithinPartitions("s", "a", "b", "part", "same")
-    return rows.mapInArrow(run, "u long, v long").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_tables(batches, 3):
+            m = np.stack([t.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(numbers))])
+            sketch = np.frombuffer(b"".join(x.as_py() for x in t.column(len(numbers))), np.uint8).reshape(len(t), -1)
+            hashes, found = [x.as_buffer() for x in t.column(len(numbers) + 1)], []
+            start = group_starts(m, 3).tolist()
+            for a, z in zip(start, [*start[1:], len(t)]):
+                if z - a > 1:
+                    found += sets_alike(m[:, a:z], sketch[a:z], hashes[a:z], similarity)
+            u, v = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -447,9 +525,9 @@ def kept_of_similar(
     The row is that of the smallest id, null last, then of the smallest text hash, with all its columns. Sets meet in a band of
     least hashes, must be within ``WIDE`` bits of a SimHash of ``WORDS`` words, and are then compared exactly, shingle by shingle. First
     each set is compared with the middle of its largest band, then with the middles of all of them that are not yet in its
-    group; last come, by bit planes, the pairs that are still in different groups. So a group of near-copies gives about as
-    many comparisons as it has members; only sets that are nearly alike and yet unconnected are compared in pairs. Large bands
-    are cut into pieces, and each pair of pieces is a unit of its own. A null text is an empty one; texts without a word are
+    group; last come, by bit planes, the pairs that meet in a band and are still in different groups. These are compared where
+    the band's sets lie, each pair once, and only links leave that place. So no more rows travel than sets have bands, times
+    the pieces of a large band, as each pair of pieces is a unit of its own. A null text is an empty one; texts without a word are
     alike. Texts of any length count with all their shingles. Columns may have any name. Of no rows come no rows.
     """
     parts = row_key(docs, id_col, text_col)
@@ -463,12 +541,15 @@ def kept_of_similar(
     rows = rows.join(large, "s", "left").withColumn("pieces", pieces).drop("count")
     rows = checkpoint(rows.withColumn("p", F.pmod(F.xxhash64("same"), "pieces").cast("int")))
 
+    def texts_of(used: DataFrame) -> DataFrame:
+        names = written(nodes.join(used.distinct(), "same").select("same", "key.__id", "key.__hash"), "alike")
+        texts = src.select("__id", "__hash", "text").join(names, ["__id", "__hash"]).select("same", "text")
+        return texts.dropDuplicates(["same"])
+
     def alike_of(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        used = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
-        names = written(nodes.join(used, "same").select("same", "key.__id", "key.__hash"), "alike")
-        texts = src.select("__id", "__hash", "text").join(names, ["__id", "__hash"]).select("same", "text")
-        return checkpoint(alike(pairs, written(texts.dropDuplicates(["same"]), "alike"), words, similarity))
+        texts = texts_of(pairs.select(F.col("u").alias("same")).union(pairs.select("v")))
+        return checkpoint(alike(pairs, written(texts, "alike"), words, similarity))
 
     def grouped(found: DataFrame | None) -> DataFrame:
         if found is None:
@@ -479,7 +560,11 @@ def kept_of_similar(
     nearest = stars(grouped(None), similarity).groupBy("v").agg(F.min_by("u", F.struct(-F.col("k"), "d", "u")).alias("u"))
     found = alike_of(nearest)
     found = found.union(alike_of(stars(grouped(found), similarity)))
-    found = found.union(alike_of(apart(grouped(found), similarity)))
+    labelled = grouped(found)
+    several = labelled.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    labelled = checkpoint(labelled.join(written(several.where("low != high").select("s"), "alike"), "s", "left_semi"))
+    sets = written(sketches(texts_of(labelled.select("same")), words), "alike")
+    found = found.union(checkpoint(apart(labelled, sets, similarity)))
     roots = components(found).select(F.col("node").alias("same"), "root")
     keep = nodes.join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("key").alias("key"))
     return one_of_each(docs, parts, keep.select("key.__id", "key.__hash").distinct())
