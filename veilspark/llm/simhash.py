@@ -392,15 +392,16 @@ def stars(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def sketches(texts: DataFrame, words: int) -> DataFrame:
-    """(same, sketch, hashes) of ``texts(same, text)``: bands and a byte of each least hash, and the set's sorted hashes."""
+    """(same, sketch, hashes) of ``texts(same, text)``: four bytes of each band and one of each least hash; and the sorted hashes
+    of the set, four bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
             least = [least_hashes(s) for s in sets]
-            made = [bands_of(x).tobytes() + x.astype(np.uint8).tobytes() for x in least]
-            columns = [b.column(0), pa.array(made, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["same", "sketch", "hashes"])
+            made = [bands_of(x).astype(np.uint32).tobytes() + x.astype(np.uint8).tobytes() for x in least]
+            short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), pa.array(short, pa.binary())], names=["same", "sketch", "hashes"])
 
     return texts.select("same", "text").mapInArrow(run, "same long, sketch binary, hashes binary")
 
@@ -424,11 +425,11 @@ def whole_tables(batches: Iterator[pa.RecordBatch], keys: int, most: int = 1 <<
             yield t.slice(0, cut)
 
 
-def sets_alike(m: np.ndarray, sketch: np.ndarray, hashes: list, similarity: float) -> Iterator[tuple[int, int]]:
-    """(u, v): the pairs alike of one unit, columns of m: s, a, b, p, same, part, ..., n; sorted by part.
+def candidates(m: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one unit that may be alike, columns of m: s, a, b, p, same, part, ..., n; sorted by part.
 
-    A pair that meets in several bands is compared in the first of them. What the fingerprints, and then the least hashes, show
-    to be too far apart is not compared set by set.
+    A pair that meets in several bands is one of the first of them. What the fingerprints, and then the least hashes, show to be
+    too far apart is none.
     """
     size = m.shape[1]
     own = np.flatnonzero(np.r_[True, m[5, 1:] != m[5, :-1]])
@@ -449,50 +450,68 @@ def sets_alike(m: np.ndarray, sketch: np.ndarray, hashes: list, similarity: floa
                     yield np.full(size - lo[k], k), np.arange(lo[k], size)
 
         todo = blocks()
-    band = sketch[:, : 8 * BANDS].copy().view(np.int64)
-    least = sketch[:, 8 * BANDS :]
+    band, least = sketch[:, : 4 * BANDS].copy().view(np.uint32), sketch[:, 4 * BANDS :]
     for i, j in todo:
         ok = may_be_alike(m[5:, i], m[5:, j], similarity) & ((m[1, i] == m[2, i]) | (m[3, i] != m[3, j]))
         i, j = i[ok], j[ok]
         for a in range(0, len(i), SHINGLES):
             x, y = i[a : a + SHINGLES], j[a : a + SHINGLES]
-            same = band[x] == band[y]
-            ok = band[x, same.argmax(axis=1)] == m[0, x]
+            ok = band[x, (band[x] == band[y]).argmax(axis=1)] == m[0, x].astype(np.uint32)
             ok &= ((least[x] == least[y]).sum(axis=1) >= EQUAL) | (np.minimum(m[-1, x], m[-1, y]) <= FEW)
-            for p, q in zip(x[ok].tolist(), y[ok].tolist()):
-                left, right = np.frombuffer(hashes[p], np.uint64), np.frombuffer(hashes[q], np.uint64)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                if both >= similarity * (len(left) + len(right) - both) - 1e-9:
-                    yield int(m[4, p]), int(m[4, q])
+            yield x[ok], y[ok]
+
+
+def in_units(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int, int]]:
+    """Rows of whole units (s, a, b) of several: all rows at hand, their first n columns and sketches, and where the unit lies."""
+    for t in whole_tables(batches, 3):
+        m = np.stack([t.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n)])
+        sketch = np.frombuffer(b"".join(x.as_py() for x in t.column(n)), np.uint8).reshape(len(t), -1)
+        start = group_starts(m, 3).tolist()
+        for a, z in zip(start, [*start[1:], len(t)]):
+            if z - a > 1:
+                yield t, m[:, a:z], sketch[a:z], a, z
 
 
 def apart(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs alike of ``rows(s, same, part, ...)`` that meet in a band and are of two parts.
+    """(u, v): pairs of ``rows(s, same, part, ...)`` that meet in a band, are of two parts, and are alike but for a few hashes.
 
-    Sets travel to where a band, or each two pieces of a large one, is compared, and only links leave it.
+    Each band, or each two pieces of a large one, is a unit. First only sketches travel there, and single out the sets that may
+    be like another; then these sets do, and only links leave.
     """
-    rows = rows.select("s", "same", *SIDE).join(sets, "same")
+    rows = rows.select("s", "same", *SIDE).join(sets.select("same", "sketch"), "same")
     n = F.ceil(F.col("n_rows") / SETS).cast("int")
     large = rows.groupBy("s").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > SETS)
     rows = rows.join(large, "s", "left").withColumn("pieces", F.coalesce(n, F.lit(1)))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("same"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    numbers = ["s", "a", "b", "p", "same", *SIDE]
-    rows = rows.withColumns({"a": F.least("p", "other"), "b": F.greatest("p", "other")}).select(*numbers, "sketch", "hashes")
-    rows = rows.repartition("s", "a", "b").sortWithinPartitions("s", "a", "b", "part", "same")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_tables(batches, 3):
-            m = np.stack([t.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(numbers))])
-            sketch = np.frombuffer(b"".join(x.as_py() for x in t.column(len(numbers))), np.uint8).reshape(len(t), -1)
-            hashes, found = [x.as_buffer() for x in t.column(len(numbers) + 1)], []
-            start = group_starts(m, 3).tolist()
-            for a, z in zip(start, [*start[1:], len(t)]):
-                if z - a > 1:
-                    found += sets_alike(m[:, a:z], sketch[a:z], hashes[a:z], similarity)
-            u, v = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
-
-    return rows.mapInArrow(run, "u long, v long")
+    numbers, unit = ["s", "a", "b", "p", "same", *SIDE], ["s", "a", "b"]
+    rows = rows.withColumns({"a": F.least("p", "other"), "b": F.greatest("p", "other")}).select(*numbers, "sketch")
+    schema = ", ".join(f"{c} {'int' if c in 'abp' else 'long'}" for c in numbers) + ", sketch binary"
+
+    def single_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, m, sketch, a, z in in_units(batches, len(numbers)):
+            near = np.zeros(z - a, bool)
+            for x, y in candidates(m, sketch, similarity):
+                near[x] = near[y] = True
+            if near.any():
+                yield t.slice(a, z - a).filter(pa.array(near))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, m, sketch, a, z in in_units(batches, len(numbers)):
+            hashes, found = [x.as_buffer() for x in t.column(len(numbers) + 1).slice(a, z - a)], []
+            for x, y in candidates(m, sketch, similarity):
+                for p, q in zip(x.tolist(), y.tolist()):
+                    both = len(np.intersect1d(np.frombuffer(hashes[p], np.uint32), np.frombuffer(hashes[q], np.uint32), assume_unique=True))
+                    total = m[-1, p] + m[-1, q]
+                    # Different shingles of one set may have one short hash.
+                    if both >= similarity / (1 + similarity) * total - 2 - total**2 / 2**32:
+                        found.append((int(m[4, p]), int(m[4, q])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit, "part", "same").mapInArrow(single_out, schema)
+    rows = rows.join(sets.select("same", "hashes"), "same").select(*numbers, "sketch", "hashes")
+    rows = rows.repartition(*unit).sortWithinPartitions(*unit, "part", "same")
+    return rows.mapInArrow(compare, "u long, v long")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -526,8 +545,8 @@ def kept_of_similar(
     least hashes, must be within ``WIDE`` bits of a SimHash of ``WORDS`` words, and are then compared exactly, shingle by shingle. First
     each set is compared with the middle of its largest band, then with the middles of all of them that are not yet in its
     group; last come, by bit planes, the pairs that meet in a band and are still in different groups. These are compared where
-    the band's sets lie, each pair once, and only links leave that place. So no more rows travel than sets have bands, times
-    the pieces of a large band, as each pair of pieces is a unit of its own. A null text is an empty one; texts without a word are
+    the band's sets lie, each pair once, and only links leave that place, to be compared exactly. So no more rows travel than sets
+    have bands, times the pieces of a large band, as each pair of pieces is a unit of its own. A null text is an empty one; texts without a word are
     alike. Texts of any length count with all their shingles. Columns may have any name. Of no rows come no rows.
     """
     parts = row_key(docs, id_col, text_col)
@@ -564,7 +583,7 @@ def kept_of_similar(
     several = labelled.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     labelled = checkpoint(labelled.join(written(several.where("low != high").select("s"), "alike"), "s", "left_semi"))
     sets = written(sketches(texts_of(labelled.select("same")), words), "alike")
-    found = found.union(checkpoint(apart(labelled, sets, similarity)))
+    found = found.union(alike_of(apart(labelled, sets, similarity)))
     roots = components(found).select(F.col("node").alias("same"), "root")
     keep = nodes.join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("key").alias("key"))
     return one_of_each(docs, parts, keep.select("key.__id", "key.__hash").distinct())
