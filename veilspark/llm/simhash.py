@@ -531,8 +531,9 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["u", "v"])
 
+    # By sorting, whatever the size: texts are too much to be held by every executor, and the plan is the same for all inputs.
     for at in ("v", "u"):
-        pairs = pairs.join(texts.select(F.col("same").alias(at), F.col("text").alias(f"text_{at}")), at)
+        pairs = pairs.join(texts.select(F.col("same").alias(at), F.col("text").alias(f"text_{at}")).hint("merge"), at)
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
