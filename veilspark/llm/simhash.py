@@ -560,15 +560,14 @@ def kept_of_similar(
     rows = rows.join(large, "s", "left").withColumn("pieces", pieces).drop("count")
     rows = checkpoint(rows.withColumn("p", F.pmod(F.xxhash64("same"), "pieces").cast("int")))
 
-    def texts_of(used: DataFrame) -> DataFrame:
-        names = written(nodes.join(used.distinct(), "same").select("same", "key.__id", "key.__hash"), "alike")
-        texts = src.select("__id", "__hash", "text").join(names, ["__id", "__hash"]).select("same", "text")
-        return texts.dropDuplicates(["same"])
+    # The documents travel once, by sorting whatever the size, to the sets that meet another; later joins move only the texts of these.
+    first = nodes.join(rows.select("same").distinct(), "same").select("same", "key.__id", "key.__hash")
+    once = src.select("__id", "__hash", "text").dropDuplicates(["__id", "__hash"])
+    texts = written(once.join(written(first, "alike").hint("merge"), ["__id", "__hash"]).select("same", "text"), "alike")
 
     def alike_of(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        texts = texts_of(pairs.select(F.col("u").alias("same")).union(pairs.select("v")))
-        return checkpoint(alike(pairs, written(texts, "alike"), words, similarity))
+        return checkpoint(alike(pairs, texts, words, similarity))
 
     def grouped(found: DataFrame | None) -> DataFrame:
         if found is None:
@@ -582,7 +581,8 @@ def kept_of_similar(
     labelled = grouped(found)
     several = labelled.groupBy("s").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     labelled = checkpoint(labelled.join(written(several.where("low != high").select("s"), "alike"), "s", "left_semi"))
-    sets = written(sketches(texts_of(labelled.select("same")), words), "alike")
+    open_sets = written(labelled.select("same").distinct(), "alike")
+    sets = written(sketches(texts.join(open_sets, "same", "left_semi"), words), "alike")
     found = found.union(alike_of(apart(labelled, sets, similarity)))
     roots = components(found).select(F.col("node").alias("same"), "root")
     keep = nodes.join(roots, "same", "left").groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("key").alias("key"))
