@@ -192,8 +192,10 @@ def test_store(spark, tmp_path):
         s.write_run(run, run[:10], rows)
     assert s.runs().count() == 2 and s.report().collect()[0].run_id == "2026-01-02_00-00-00"
     assert [(r.last_run_id, r.last_scanned_at) for r in store.latest_scans(s.runs()).collect()] == [("2026-01-02_00-00-00", "2026-01-02")]
-    once = store.migrated(s.report(), 0.5).collect()
-    assert [(r.value, r.pii_type) for r in once] == [("1234 5678 9012", "aadhaar number")]
+    s.migrate(0.5)
+    s.migrate(0.5)
+    assert [[(f.value, f.pii_type) for f in r.all_findings] for r in s.runs().collect()] == [[("1234 5678 9012", "aadhaar number")]] * 2
+    assert s.report().collect()[0].chunks_anonymized == 1 and s.report().collect()[0].chunks is None
     e = lambda *r: spark.createDataFrame([(n, 1, 1, 1, 0, 1.0, 1.0, "r", None) for n in r], store.EVALUATION)
     s.save_evaluations(e("a.txt", "b.txt"))
     s.save_evaluations(e("b.txt", "c.txt"))

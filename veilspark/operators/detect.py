@@ -136,12 +136,14 @@ class Detector(ABC):
     ord = 0
     #: Characters of a chunk that the model sees.
     most_chars: int | None = None
+    #: The setting with the least score of such a detector, as ``zero_shot_threshold``; without one every score counts.
+    setting: str | None = None
 
     @abstractmethod
     def detect(self, texts: list[str]) -> list[list[tuple[str, str, float]]]: ...
 
-    def apply(self, chunks: DataFrame, threshold: float = 0.0) -> DataFrame:
-        """Detections of ``chunks(doc_id, chunk_index, chunk)`` scoring at least ``threshold``.
+    def tried(self, chunks: DataFrame) -> DataFrame:
+        """Detections of ``chunks(doc_id, chunk_index, chunk)``, and a row with an ``error`` only for each text that failed.
 
         A batch that fails is tried text by text; a text that fails again has no detections.
         """
@@ -150,38 +152,47 @@ class Detector(ABC):
             for b in batches:
                 texts = [(t or "")[: self.most_chars] for t in b.column(2).to_pylist()]
                 try:
-                    found = self.detect(texts)
+                    found = [(each, None) for each in self.detect(texts)]
                 except Exception:
                     found = [self._alone(t) for t in texts]
-                rows = [(i, p, *d) for i, each in enumerate(found) for p, d in enumerate(each)]
+                rows = [(i, p, *d, None) for i, (each, _) in enumerate(found) for p, d in enumerate(each)]
+                rows += [(i, None, None, None, None, why) for i, (_, why) in enumerate(found) if why]
                 at = pa.array([r[0] for r in rows], pa.int32())
-                kinds = (pa.int32(), pa.string(), pa.string(), pa.float64())
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string())
                 values = [pa.array([r[j + 1] for r in rows], k) for j, k in enumerate(kinds)]
                 keys = [b.column(0).take(at), b.column(1).take(at)]
-                yield pa.RecordBatch.from_arrays([*keys, *values], names=["doc_id", "chunk_index", "pos", "text", "label", "score"])
+                yield pa.RecordBatch.from_arrays([*keys, *values], names=["doc_id", "chunk_index", "pos", "text", "label", "score", "error"])
 
         kind = chunks.schema["doc_id"].dataType.simpleString()
         found = chunks.select("doc_id", F.col("chunk_index").cast("int"), "chunk")
-        found = found.mapInArrow(run, f"doc_id {kind}, chunk_index int, pos int, text string, label string, score double")
-        found = found.withColumns({"detector": F.lit(self.name), "detector_ord": F.lit(self.ord), "score": F.coalesce("score", F.lit(0.8))})
-        return found.where(F.col("score") >= threshold).select(*DETECTION)
+        found = found.mapInArrow(run, f"doc_id {kind}, chunk_index int, pos int, text string, label string, score double, error string")
+        return found.withColumns({"detector": F.lit(self.name), "detector_ord": F.lit(self.ord), "score": F.coalesce("score", F.lit(0.8))})
+
+    def apply(self, chunks: DataFrame, threshold: float = 0.0) -> DataFrame:
+        """Detections of ``chunks(doc_id, chunk_index, chunk)`` scoring at least ``threshold``; texts that fail have none."""
+        return self.tried(chunks).where(F.col("error").isNull() & (F.col("score") >= threshold)).select(*DETECTION)
 
-    def _alone(self, text: str) -> list:
+    def _alone(self, text: str) -> tuple[list, str | None]:
         try:
-            return self.detect([text])[0]
-        except Exception:
-            return []
+            return self.detect([text])[0], None
+        except Exception as e:
+            return [], f"{type(e).__name__}: {e}"[:200]
 
 
 class PatternDetector(Detector):
     """The supplementary patterns, as a detector; no Python runs."""
 
+    setting = "slm_threshold"
+
     def __init__(self, name: str = "qwen", ord: int = 0):
         self.name, self.ord = name, ord
 
     def detect(self, texts):
         raise NotImplementedError("patterns are applied as expressions")
 
+    def tried(self, chunks: DataFrame) -> DataFrame:
+        return self.apply(chunks).withColumn("error", F.lit(None).cast("string"))
+
     def apply(self, chunks: DataFrame, threshold: float = 0.0) -> DataFrame:
         found = supplement(chunks).where(F.col("score") >= threshold)
         by_length = Window.partitionBy(*CHUNK_KEY).orderBy("rule", F.lower("text"))
@@ -192,6 +203,8 @@ class PatternDetector(Detector):
 class RecogniserDetector(PatternDetector):
     """The built-in recognisers, as a detector; no Python runs."""
 
+    setting = "recogniser_threshold"
+
     def __init__(self, name: str = "presidio", ord: int = 0):
         super().__init__(name, ord)
 

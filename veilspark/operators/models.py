@@ -87,6 +87,7 @@ class ChatDetector(Detector):
     """A language model as a detector: the first ``most_chars`` of a chunk, a fixed score. ``Detector.apply`` holds back failures."""
 
     most_chars = 5000
+    setting = "slm_threshold"
 
     def __init__(self, chat: Chat, name: str = "qwen", ord: int = 0, score: float = 0.8):
         self.chat, self.name, self.ord, self.score = chat, name, ord, score

@@ -16,7 +16,10 @@ SUFFIXES = ("pdf", "docx", "xlsx", "txt")
 
 
 def list_files(spark: SparkSession, folder: str, names: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """(file_name, ext, path, length, content) of the supported files, by lower-cased name; some ``names``, or the first ``most``."""
+    """(file_name, ext, path, length, content) of the supported files, by lower-cased name; some ``names``, or the first ``most``.
+
+    Spark's reader leaves out files of no bytes.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
@@ -133,7 +136,7 @@ READERS = {"txt": read_txt, "pdf": read_pdf, "docx": read_docx, "xlsx": read_xls
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """(doc_id, file_name, ext, text) of the files that could be read; the id is the first 63 bits of the name's MD5."""
+    """(doc_id, file_name, ext, text) of the files that could be read; the id is the first 60 bits of the name's MD5."""
     text = extract(files).where("error IS NULL")
     doc_id = F.conv(F.substring(F.md5("file_name"), 1, 15), 16, 10).cast("bigint")
     return text.select(doc_id.alias("doc_id"), "file_name", "ext", "text")

@@ -5,7 +5,7 @@ A run's report is a partition ``run_id=<id>`` of nested rows, one a file. Run id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ensemble, filters
@@ -15,6 +15,7 @@ from ..functions.text import strip
 
 FINDING = "struct<value:string,pii_type:string,score:double,found_by:array<string>>"
 DROPPED = "struct<value:string,pii_type:string,score:double,found_by:array<string>,reason:string>"
+LISTED = f"struct<at:int,kind:string,found:array<{FINDING}>>"
 REPLACEMENT = "struct<original_value:string,anonymized_value:string,pii_type:string>"
 DETECTED = "struct<value:string,pii_type:string,score:double>"
 CHUNK = (
@@ -81,21 +82,31 @@ class RunStore:
 
     # Keyed tables
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def _replace(self, name: str, df: DataFrame) -> None:
-        """Write beside, then swap, as the new rows may come from the old ones."""
-        path, new = f"{self.folder}/{name}", f"{self.folder}/.{name}.new"
-        df.write.mode("overwrite").parquet(new)
+    def _fs(self):
         make = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = make(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(make(path), True)
-        fs.rename(make(new), make(path))
+        return make, make(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        make, fs = self._fs()
+        # What ``_replace`` put aside counts until the new rows have their name.
+        for path in (f"{self.folder}/{name}", f"{self.folder}/.{name}.old"):
+            if fs.exists(make(path)):
+                return self.spark.read.schema(schema).parquet(path)
+        return self.spark.createDataFrame([], schema)
+
+    def _replace(self, name: str, df: DataFrame, *by: str) -> None:
+        """Write beside, then swap, as the new rows may come from the old ones; at every moment either of them can be read."""
+        path, new, old = f"{self.folder}/{name}", f"{self.folder}/.{name}.new", f"{self.folder}/.{name}.old"
+        df.write.mode("overwrite").partitionBy(*by).parquet(new)
+        make, fs = self._fs()
+        moves = [(new, path)]
+        if fs.exists(make(path)):
+            fs.delete(make(old), True)
+            moves = [(path, old), (new, path)]
+        for a, b in moves:
+            if not fs.rename(make(a), make(b)):
+                raise OSError(f"{a} could not be renamed to {b}")
+        fs.delete(make(old), True)
 
     def evaluations(self) -> DataFrame:
         return self._read("evaluations", EVALUATION)
@@ -118,7 +129,7 @@ class RunStore:
 
     def migrate(self, least: float = 0.0) -> None:
         """Rewrite all reports by today's rules for findings; reasons of dropped findings stay. Done twice, it does nothing more."""
-        self._replace("runs_migrated", migrated(self.runs(), least))
+        self._replace("runs", rewritten(self.runs(), least), "run_id")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -139,12 +150,53 @@ def relabel_known(findings: Column) -> Column:
     return F.transform(findings, one)
 
 
-def migrated(files: DataFrame, least: float = 0.0) -> DataFrame:
-    """File rows whose findings are relabelled, merged and scored at least ``least``: (run_id, file_name, value, pii_type, score, found_by)."""
-    found = files.select("run_id", "file_name", F.posexplode(relabel_known(F.col("all_findings"))).alias("ord", "f"))
-    found = found.select("run_id", "file_name", "ord", "f.*")
-    merged = ensemble.dedupe_findings(found, ["run_id", "file_name"])
-    return filters.min_score(merged, least)
+def rewritten(files: DataFrame, least: float = 0.0) -> DataFrame:
+    """File rows (``FILE``, run_id) whose findings and dropped findings are relabelled, merged and scored at least ``least``.
+
+    First those of each chunk, then, from these, those of the file; where no chunk has any, the file's own are merged. A dropped finding
+    keeps the reason of the one that it is spelled like. Lists that were null stay null; no row goes.
+    """
+    key, kinds = ["run_id", "file_name"], ("findings", "dropped_findings")
+    every = {k: f"all_{k}" for k in kinds}
+
+    def merged(rows: DataFrame, at: list[str]) -> DataFrame:
+        return filters.min_score(ensemble.dedupe_findings(rows, at), least)
+
+    def listed(found: Column, at: Column, kind: str) -> Column:
+        found = F.transform(found, lambda x: F.struct(*(x[f].alias(f) for f in ("value", "pii_type", "score", "found_by"))))
+        return F.struct(at.cast("int").alias("at"), F.lit(kind).alias("kind"), relabel_known(found).cast(f"array<{FINDING}>").alias("found"))
+
+    chunks = F.flatten(F.transform("chunks", lambda c: F.array(*(listed(c[k], c["chunk_index"], k) for k in kinds))))
+    own = F.array(*(listed(F.col(c), F.lit(-1), k) for k, c in every.items()))
+    held = F.filter(chunks, lambda x: F.size(x["found"]) > 0)
+    kept = F.filter(own, lambda x: ~F.coalesce(F.exists(held, lambda h: h["kind"] == x["kind"]), F.lit(False)))
+    rows = files.select(*key, F.explode(F.concat(F.coalesce(held, F.array().cast("array<" + LISTED + ">")), kept)).alias("l")).select(*key, "l.*")
+    rows = rows.select(*key, "at", "kind", F.posexplode("found").alias("ord", "f")).select(*key, "at", "kind", "ord", "f.*")
+    parts = merged(rows, [*key, "at", "kind"])
+    order = F.row_number().over(Window.partitionBy(*key, "kind").orderBy("at", "ord"))
+    whole = merged(parts.withColumn("ord", order), [*key, "kind"]).withColumn("at", F.lit(-1))
+    one = F.struct("ord", "value", "pii_type", "score", "found_by")
+    lists = parts.where("at >= 0").unionByName(whole).groupBy(*key, "at", "kind").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x.dropFields("ord")).alias("found"))
+    name = F.concat_ws("/", F.col("at").cast("string"), "kind")
+    lists = lists.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(name, "found"))).alias("__lists"))
+    lists = lists.select(F.col("run_id").alias("__run"), F.col("file_name").alias("__file"), "__lists")
+    new = files.join(lists, F.col("run_id").eqNullSafe(F.col("__run")) & F.col("file_name").eqNullSafe(F.col("__file")), "left")
+
+    def now(at: Column, kind: str, old: Column) -> Column:
+        found = F.coalesce(F.try_element_at("__lists", F.concat_ws("/", at.cast("string"), F.lit(kind))), F.array().cast(f"array<{FINDING}>"))
+        if kind == "dropped_findings":
+            reason = lambda x: F.filter(old, lambda o: strip(o["value"]) == x["value"])
+            found = F.transform(found, lambda x: x.withField("reason", F.get(reason(x), F.lit(0))["reason"]))
+        return F.when(old.isNotNull(), found)
+
+    def chunk(c: Column) -> Column:
+        for k in kinds:
+            c = c.withField(k, now(c["chunk_index"], k, c[k]))
+        scored = F.transform_values(c["per_detector"], lambda _, ds: F.filter(ds, lambda d: F.coalesce(d["score"], F.lit(0.8)) >= least))
+        return c.withField("per_detector", scored)
+
+    changed = {c: now(F.lit(-1), k, F.col(c)) for k, c in every.items()} | {"chunks": F.transform("chunks", chunk)}
+    return new.withColumns(changed).select(*files.columns)
 
 
 def latest_scans(files: DataFrame) -> DataFrame:
