@@ -8,7 +8,7 @@ import pickle
 import uuid
 
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint, shared_dir
@@ -98,6 +98,32 @@ def whole_rows(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
 
 
+def numbered(rows: DataFrame, group: str, order: list, name: str = "idx", total: str = "n") -> DataFrame:
+    """``rows`` with their place in their group from 0 on, by ``order``, and the group's number of rows; ``group`` is never null.
+
+    Rows are sorted over all tasks, and counted for each group and task; so no task sees a whole group, however large. Of rows that
+    the order does not tell apart each has a place of its own.
+    """
+    ordered = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    ordered = checkpoint(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("__part", F.shiftright("__at", 33))  # the upper bits of that id are the task's number
+    runs = ordered.groupBy(group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__rows").over(earlier), F.lit(0).cast("long"))
+    runs = runs.select(group, "__part", (before - F.col("__first")).alias("__shift"), F.sum("__rows").over(whole).alias(total))
+    placed = ordered.join(runs, [group, "__part"]).withColumn(name, F.col("__at") + F.col("__shift"))
+    return placed.drop("__at", "__part", "__shift")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a text's UTF-8 bytes: a byte comes in, then eight bits are shifted out."""
+    digit = lambda i: f"(strpos('0123456789ABCDEF', substr(hex(encode({text})), {i}, 1)) - 1)"
+    steps = f"flatten(list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: [{digit('i')} * 16 + {digit('i + 1')}, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce(list_prepend(4294967295, {steps}::BIGINT[]), lambda a, x: {step}), 4294967295)"
+
+
 def joined_once(rows: DataFrame, once: DataFrame, key: str) -> DataFrame:
     """``rows`` with the columns of ``once``, which has each key once and in ``n`` how many of the rows have it.
 

@@ -2,9 +2,11 @@
 
 from .decontam import op4_decontamination
 from .licences import OP5_SQL, op5_licence_scan
+from .manifest import OP13_SQL, op13_merkle_manifest
 from .mixing import OP8_SQL, op8_mixing
 from .packing import op10_best_fit_packing
 from .quality import OP6_SQL, op6_quality_rules
+from .resample import OP12_SQL, op12_resample
 from .simhash import op9_simhash_bit_sliced
 from .suffixes import op3_suffix_dedup
 from .toxicity import op1_toxicity_chain
@@ -24,6 +26,15 @@ QUERIES = {
         op8_mixing,
         op9_simhash_bit_sliced,
         op10_best_fit_packing,
+        op12_resample,
+        op13_merkle_manifest,
     )
 }
-ORACLE_SQL = {"op5_licence_scan": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_warc": OP7_SQL, "op8_mixing": OP8_SQL}
+ORACLE_SQL = {
+    "op5_licence_scan": OP5_SQL,
+    "op6_quality_rules": OP6_SQL,
+    "op7_warc": OP7_SQL,
+    "op8_mixing": OP8_SQL,
+    "op12_resample": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
+}
