@@ -87,7 +87,7 @@ def paths(tree: Tree, starts: DataFrame) -> DataFrame:
         above = runs.select("grp", (F.col("up") * tree.fanout + at).alias("up"), "kid.*", F.concat(F.array(own), "path").alias("path"), "top")
         if depth == 1:
             return found.unionByName(above.select(*found.columns))
-        above = above.select("grp", "up", "path", "top")
+        above = checkpoint(above.select("grp", "up", "path", "top"))  # as many rows as there are runs below; plans stay small
     return found
 
 
@@ -107,7 +107,7 @@ class Manifest:
         """(grp, item, hash, path, subroot) of every row: folding a hash along its path gives the root."""
         none = F.array().cast(f"array<{STEP}>")
         starts = paths(self.over, self.over.tops.select("grp", none.alias("path"))).select(F.col("item.grp").alias("grp"), "path")
-        return paths(self.trees, starts).withColumnRenamed("top", "subroot")
+        return paths(self.trees, checkpoint(starts)).withColumnRenamed("top", "subroot")
 
 
 def group_name(group: Column) -> Column:

@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
 from .decontam import op4_decontamination
+from .forest import OP11_SQL, op11_lsh_forest
 from .licences import OP5_SQL, op5_licence_scan
 from .manifest import OP13_SQL, op13_merkle_manifest
 from .mixing import OP8_SQL, op8_mixing
@@ -26,6 +27,7 @@ QUERIES = {
         op8_mixing,
         op9_simhash_bit_sliced,
         op10_best_fit_packing,
+        op11_lsh_forest,
         op12_resample,
         op13_merkle_manifest,
     )
@@ -35,6 +37,7 @@ ORACLE_SQL = {
     "op6_quality_rules": OP6_SQL,
     "op7_warc": OP7_SQL,
     "op8_mixing": OP8_SQL,
+    "op11_lsh_forest": OP11_SQL,
     "op12_resample": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
