@@ -1,6 +1,7 @@
-"""The run store: reports of runs as files, evaluations and tombstones as small tables, all below one folder.
+"""The run store: reports and metadata of runs, evaluations and tombstones, as versioned tables below one folder.
 
-A run's report is a partition ``run_id=<id>`` of nested rows, one a file. Run ids sort by time.
+A run's report is a part of its table, of nested rows, one a file. Run ids sort by time. A write that is cut short, wherever, leaves every table
+as it was.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from ..operators import ensemble, filters
 from ..functions import vocab
 from ..functions.labels import plain
 from ..functions.text import strip
+from .versions import VersionedTable
 
 FINDING = "struct<value:string,pii_type:string,score:double,found_by:array<string>>"
 DROPPED = "struct<value:string,pii_type:string,score:double,found_by:array<string>,reason:string>"
@@ -33,20 +35,66 @@ EVALUATION = (
 )
 
 
+#: Of each file of a run: what run metadata has, and the run's totals of the same.
+LOG = "struct<chunk_index:int,chunk_size:int,presidio_count:int,gliner_count:int,qwen_count:int,agreed_count:int,replacements_count:int>"
+META = f"file_name string, entity_count int, entity_types array<string>, chunks_processed int, chunk_logs array<{LOG}>, created_at string, run_id string"
+#: Files of a run, at most, when its rows are written again.
+FILES = 8
+
+
 class RunStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def table(self, name: str) -> VersionedTable:
+        """One of the tables runs, meta, evaluations and deleted, with all its versions."""
+        schema, key = {
+            "runs": (f"{FILE}, created_at string, run_id string", None),
+            "meta": (META, None),
+            "evaluations": (EVALUATION, "file_name"),
+            "deleted": ("file_name string", "file_name"),
+        }[name]
+        self._finish_swap(name)
+        return VersionedTable(self.spark, f"{self.folder}/{name}", schema, key)
+
+    def _finish_swap(self, name: str) -> None:
+        """Give a table its name back that an earlier release put aside when it was cut short."""
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = make(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        now, old = make(f"{self.folder}/{name}"), make(f"{self.folder}/.{name}.old")
+        if fs.exists(old):
+            if fs.exists(now):
+                raise OSError(f"{now} and {old} are both there: the one was written while the other was put aside")
+            if not fs.rename(old, now):
+                raise OSError(f"{old} could not be renamed to {now}")
+
     # Reports
 
     def write_run(self, run_id: str, created_at: str, files: DataFrame) -> None:
-        """Write a run's file rows; a run written again is replaced as a whole."""
-        rows = files.withColumns({"created_at": F.lit(created_at)})
-        rows.write.mode("overwrite").parquet(f"{self.folder}/runs/run_id={run_id}")
+        """Write a run's file rows; a run written again is replaced as a whole, once its new rows stand."""
+        self._write_part("runs", run_id, created_at, files)
 
     def runs(self) -> DataFrame:
         """All file rows with run_id and created_at; none where nothing was written."""
-        return self._read("runs", f"{FILE}, created_at string, run_id string")
+        return self.table("runs").read()
+
+    def write_meta(self, run_id: str, created_at: str, files: DataFrame) -> None:
+        """Write a run's metadata, ``report.run_meta`` rows with the file's name; as a run's file rows."""
+        self._write_part("meta", run_id, created_at, files)
+
+    def meta(self) -> DataFrame:
+        return self.table("meta").read()
+
+    def _write_part(self, name: str, run_id: str, created_at: str, files: DataFrame) -> None:
+        table = self.table(name)
+        self._adopt(table)
+        rows = files.withColumns({"created_at": F.lit(created_at), "run_id": F.lit(run_id)})
+        table.replace_parts(rows, F.lit(run_id), [run_id])
+
+    def _adopt(self, table: VersionedTable) -> None:
+        """Make runs of an earlier release the first version."""
+        if not table.pointer()["number"] and (old := table._legacy()) is not None:
+            table.replace_parts(old, F.col("run_id"), None)
 
     def import_report(self, path: str) -> DataFrame:
         """File rows of JSON reports: either name of the file counts, and missing scores are 0.8."""
@@ -82,54 +130,31 @@ class RunStore:
 
     # Keyed tables
 
-    def _fs(self):
-        make = self.spark._jvm.org.apache.hadoop.fs.Path
-        return make, make(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        make, fs = self._fs()
-        # What ``_replace`` put aside counts until the new rows have their name.
-        for path in (f"{self.folder}/{name}", f"{self.folder}/.{name}.old"):
-            if fs.exists(make(path)):
-                return self.spark.read.schema(schema).parquet(path)
-        return self.spark.createDataFrame([], schema)
-
-    def _replace(self, name: str, df: DataFrame, *by: str) -> None:
-        """Write beside, then swap, as the new rows may come from the old ones; at every moment either of them can be read."""
-        path, new, old = f"{self.folder}/{name}", f"{self.folder}/.{name}.new", f"{self.folder}/.{name}.old"
-        df.write.mode("overwrite").partitionBy(*by).parquet(new)
-        make, fs = self._fs()
-        moves = [(new, path)]
-        if fs.exists(make(path)):
-            fs.delete(make(old), True)
-            moves = [(path, old), (new, path)]
-        for a, b in moves:
-            if not fs.rename(make(a), make(b)):
-                raise OSError(f"{a} could not be renamed to {b}")
-        fs.delete(make(old), True)
-
     def evaluations(self) -> DataFrame:
-        return self._read("evaluations", EVALUATION)
+        return self.table("evaluations").read()
 
     def save_evaluations(self, new: DataFrame) -> None:
         """New rows replace those of the same file; all others stay."""
-        self._replace("evaluations", upsert(self.evaluations(), new, "file_name"))
+        self.table("evaluations").upsert(new)
 
     def deleted(self) -> DataFrame:
-        return self._read("deleted", "file_name string")
+        return self.table("deleted").read()
 
     def delete(self, names: DataFrame) -> None:
         """Tombstones for ``names(file_name)``; their evaluations go."""
-        gone = self.deleted().union(names.select("file_name")).distinct()
-        self._replace("deleted", gone.orderBy("file_name"))
-        self._replace("evaluations", self.evaluations().join(names, "file_name", "left_anti"))
+        names = names.select("file_name").distinct()
+        self.table("deleted").upsert(names)
+        self.table("evaluations").remove(names)
 
     def restore(self) -> None:
-        self._replace("deleted", self.spark.createDataFrame([], "file_name string"))
+        self.table("deleted").clear()
 
     def migrate(self, least: float = 0.0) -> None:
         """Rewrite all reports by today's rules for findings; reasons of dropped findings stay. Done twice, it does nothing more."""
-        self._replace("runs", rewritten(self.runs(), least), "run_id")
+        table = self.table("runs")
+        self._adopt(table)
+        rows = rewritten(table.read(), least)
+        table.replace_parts(rows.repartition("run_id", F.pmod(F.xxhash64("file_name"), F.lit(FILES))), F.col("run_id"), None)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
