@@ -65,3 +65,19 @@ def test_many_rows_that_nothing_tells_apart(spark):
     docs = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(5)
     got = mixing.mix(docs).drop("source")
     assert named(got) == duck(mixing.OP8_SQL, documents=docs)
+
+
+def test_copies_of_a_row_are_made_in_pieces(spark, monkeypatch):
+    from veilspark.llm import common
+
+    monkeypatch.setattr(common, "PIECE", 7), monkeypatch.setattr(mixing, "PIECE", 7)
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 7), ("d", 8), ("e", 50)], "k string, m long")
+    got = common.copied(df, df["m"], "i")
+    assert rows(got.select("k", "i")) == sorted(((k, i) for k, m in df.collect() for i in range(m)), key=str)
+    alike = [(None, "", "s0")] * 500 + [(None, "a b c", "s1")] * 300 + [(i, "w " * (i % 5), "s0") for i in range(40)]
+    docs = spark.createDataFrame(alike, "doc_id long, text string, source string").repartition(5)
+    assert named(mixing.mix(docs).drop("source")) == duck(mixing.OP8_SQL, documents=docs)
+    mixed = mixing.mixed_rows(docs)
+    taken = sum(r.taken for r in mixing.mix(docs).collect())
+    assert mixed.columns == docs.columns and sum(len(r.text.split()) for r in mixed.collect()) == taken
+    assert mixed.where("text = 'a b c'").count() > 290

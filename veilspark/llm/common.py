@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of one key from which on they are not dealt by it in a join.
 HUB = 20_000
+#: Copies of a row that are made at once.
+PIECE = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +72,8 @@ def attempt_name(root: str, name: str) -> str:
 
 
 def settle(fs, part: str, path: str) -> None:
-    """Give a whole file its name. If it is there already, an attempt that was lost has written the same, and that one stays."""
+    """Give a whole file its name, which says all that decides its bytes: the attempt, or an input that never changes. If it is there already, a lost
+    attempt has written the same, and that one stays."""
     from pyarrow.fs import FileType
 
     if fs.get_file_info(path).type == FileType.NotFound:
@@ -98,6 +101,21 @@ def whole_rows(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
 
 
+def copied(rows: DataFrame, n: Column, name: str) -> DataFrame:
+    """``rows`` once for each number from 0 to n - 1, in ``name``; none where n is 0.
+
+    Copies are dealt in pieces of ``PIECE``, so neither a row's array nor a task's share grows with how many one row has. All rows travel
+    once: they should be slim.
+    """
+    none = F.array().cast("array<bigint>")
+    last = F.least(F.col("__n"), (F.col("__piece") + 1) * PIECE) - 1
+    rows = rows.withColumn("__n", n.cast("long"))
+    pieces = F.when(F.col("__n") > 0, F.expr(f"sequence(0L, (__n - 1) div {PIECE})")).otherwise(none)
+    rows = rows.withColumn("__piece", F.explode(pieces))
+    rows = rows.repartition(F.col("__piece"), F.xxhash64(*(c for c in rows.columns if c != "__piece")))
+    return rows.withColumn(name, F.explode(F.sequence(F.col("__piece") * PIECE, last))).drop("__n", "__piece")
+
+
 def numbered(rows: DataFrame, group: str, order: list, name: str = "idx", total: str = "n") -> DataFrame:
     """``rows`` with their place in their group from 0 on, by ``order``, and the group's number of rows; ``group`` is never null.
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, checkpoint, row_key, table, whole_rows
+from .common import PIECE, SPACE, WORD, checkpoint, copied, row_key, table, whole_rows
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -67,17 +67,23 @@ def mix(
     and no row gives more than ``cap`` times its size, rounded up to whole epochs. A null source is a source of its own and
     comes last; a null or empty text has size 0 and gives nothing; a text of any length has all its words counted. Rows are
     ordered by a hash of their id, then by id and size, so reruns agree. Rows alike in source, id and size, such as repeated
-    ones, are one row with a count until each gives its own share. Of no rows come no rows. Other columns are not read.
+    ones or empty ones without an id, are one row with a count until each gives its own share, in pieces dealt over all tasks; there may be any
+    number of them. Sources are weighed in one task: there may be as many as it can sort. Of no rows come no rows. Other columns are
+    not read.
     """
+    return _cut(_sized(docs, id_col, text_col, source_col, seed), weights, share, cap)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")
     )
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary"))
-    rows = checkpoint(rows.withColumn("key", F.substring(key, 1, 16)))
-    return _cut(rows, weights, share, cap)
+    return checkpoint(rows.withColumn("key", F.substring(key, 1, 16)))
 
 
-def _cut(rows: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame:
+def _cut(rows: DataFrame, weights: tuple, share: float, cap: float, empty: bool = True) -> DataFrame:
+    """What each row gives; without those of no size where ``empty`` is false."""
     digits = max(1, math.ceil(math.log(max(1, rows.count() / RANGE_ROWS), 16)))
     # Rows that nothing tells apart, however many, are one here.
     rows = rows.groupBy("source", "doc_id", "size", "key").agg(F.count("*").alias("n"))
@@ -93,12 +99,15 @@ def _cut(rows: DataFrame, weights: tuple, share: float, cap: float) -> DataFrame
     own = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = F.col("size") * F.col("n")
     all_rows = all_rows.withColumn("start", F.col("offset") + F.sum(words).over(own) - words)
-    all_rows = all_rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    if not empty:
+        all_rows = all_rows.where("size > 0")
+    all_rows = all_rows.select("doc_id", "size", "source_size", "target", "d.source", "start", "n")
+    all_rows = copied(all_rows, F.col("n"), "copy")
     goal_words = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     rest = goal_words - epochs * F.col("source_size") - F.col("copy") * F.col("size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return all_rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "d.source")
+    return all_rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
 
 
 def mixed_rows(
@@ -119,12 +128,16 @@ def mixed_rows(
     key = row_key(docs, id_col, text_col)
     names = ["__id", "__hash"]
     slim = docs.select(F.struct(*key).alias("__key"), F.col(text_col), F.col(source_col))
-    taken = mix(slim, weights, share, cap, "__key", text_col, source_col).where("taken > 0")
+    taken = _cut(_sized(slim, "__key", text_col, source_col, SEED), weights, share, cap, empty=False).where("taken > 0")
     taken = taken.groupBy("doc_id.__id", "doc_id.__hash").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"))
-    rows = docs.select(whole_rows(docs), *key).dropDuplicates(names).join(taken, names)
+    taken = checkpoint(taken.withColumn("__copies", F.expr("(__taken + __size - 1) div __size")))
+    once = docs.select(whole_rows(docs), *key).dropDuplicates(names)
+    few, many = F.col("__copies") <= PIECE, taken.where(F.col("__copies") > PIECE)
+    rows = once.join(taken.where(few), names).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    if not many.isEmpty():
+        # Texts of which thousands are taken are few: only these travel in pieces.
+        rows = rows.unionByName(copied(once.join(many, names), F.col("__copies"), "__copy").select(*rows.columns))
     last = F.expr("__taken div __size")
-    copies = F.expr("sequence(cast(0 as bigint), (__taken + __size - 1) div __size - 1)")
-    rows = rows.withColumn("__copy", F.explode(copies))
     left = F.expr("__taken % __size").cast("int")
     text = F.col("__row").getField(text_col)
     words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), 1, left), " ")
