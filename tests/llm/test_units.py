@@ -1,3 +1,6 @@
+import random
+import unicodedata
+
 from veilspark.llm import units
 
 from .helpers import empty_documents, odd_documents
@@ -67,3 +70,37 @@ def test_short_lines_and_documents_against_a_dictionary_of_lines(spark):
             seen.add(key)
     got = {r.doc_id: [x for x in r.kept_text.split("\n") if x] for r in units.deduplicate(docs).collect()}
     assert got == {i: want.get(i, []) for i in range(len(texts))}
+
+
+def test_a_line_goes_however_its_copy_is_spaced(spark):
+    # Lines of several sentences, spaced by any Unicode white space and framed by marks; an independent reading says which are alike.
+    rng = random.Random(6)
+    spaces = [" ", "  ", "\t", "\u00a0", "\u2003", "\u3000", " \u00a0", "\x0b", "\x1f", "\u2028"]
+    sentences = ["Alpha beta gamma one.", "Delta epsilon zeta eta two!", "A short one?", "This one has quite a few more words in it than eight.", "Z."]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            words = " ".join(rng.choices(sentences, k=rng.randrange(1, 4))).split(" ")
+            line = words[0] + "".join(rng.choice(spaces) + (w.upper() if rng.random() < 0.2 else w) for w in words[1:])
+            lines.append(rng.choice(["", "- ", "* ", '"', " "]) + line + rng.choice(["", " ", '"', " --"]))
+        texts.append("\n".join(lines))
+    texts += ["Alpha beta gamma one. Delta epsilon zeta eta two.", "Alpha beta gamma one.\u00a0Delta epsilon zeta eta two."]
+
+    def plain(line):
+        spaced = "".join(" " if unicodedata.category(c) in ("Zs", "Zl", "Zp") or c in "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" else c.lower() for c in line)
+        words = [w for w in spaced.split(" ") if w]
+        return " ".join(words).strip("\"'()[]{}.,;:!?*-_ ")
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in units.deduplicate(docs).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        at = 0
+        for line in t.split("\n"):
+            if plain(line) in seen:
+                kept = [k for k, c in enumerate(line, at) if not c.isspace() and not any(s.start <= k < s.end for s in got[i].removed)]
+                assert kept == [], (i, line)
+            seen.add(plain(line))
+            at += len(line) + 1
+    assert got[len(texts) - 1].kept_text == ""

@@ -3,8 +3,8 @@
 A text is cut into units: lines, and within lines sentences, as flowing text may hold a repeated passage anywhere in a line;
 or paragraphs. Units are normalised (case, white space, edge punctuation) and hashed to 128 bits. A unit of few words says
 little by itself, so it is hashed together with the units that follow it, or that stand before it at a text's end, up to
-``min_words`` words. Besides, a whole line is hashed by itself, whatever its length, and goes with all its units if it is not the
-earliest of its kind; only lines that hold a short unit need that, as in others each unit is hashed by itself anyway.
+``min_words`` words. Besides, every whole line is hashed by itself, whatever its length and wherever it is cut, and goes with all its units if
+it is not the earliest of its kind.
 
 Each task first settles the digests that it sees more than once, so a digest leaves a task once, however hot it is; then one
 shuffle by digest, sorted by rank, settles the rest as a stream. Only removed units travel back to their documents.
@@ -29,7 +29,7 @@ HELD = 200_000
 #: Added to the place of a line's first unit, where a whole line is meant.
 WHOLE = 1 << 30
 #: What ends a unit: a line's end, and for lines also a sentence's; and blank lines for paragraphs.
-ENDS = {"line": re.compile(r"\n|(?<=[.!?])[ \t]+"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
+ENDS = {"line": re.compile(r"\n|(?<=[.!?])[^\S\n]+"), "paragraph": re.compile(r"\n[ \t\r]*(?:\n[ \t\r]*)+")}
 EDGES = "\"'()[]{}.,;:!?*-_ "
 
 
@@ -71,13 +71,10 @@ def lines_of(text: str, spans: list[tuple[int, int]], unit: str = "line") -> lis
     return [range(a, b) for a, b in zip(starts, [*starts[1:], len(spans)])]
 
 
-def line_digests(text: str, spans: list[tuple[int, int]], unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, bytes]]:
-    """(first unit, 16-byte digest) of the whole lines that hold a unit of fewer than ``min_words`` words."""
+def line_digests(text: str, spans: list[tuple[int, int]], unit: str = "line") -> list[tuple[int, bytes]]:
+    """(first unit, 16-byte digest) of the whole lines."""
     out = []
     for r in lines_of(text, spans, unit):
-        units = [" ".join(text[a:b].lower().split()).strip(EDGES) for a, b in spans[r.start : r.stop]]
-        if min(p.count(" ") + 1 for p in units) >= min_words and all(units):
-            continue
         whole = " ".join(text[spans[r.start][0] : spans[r.stop - 1][1]].lower().split())
         out.append((r.start, xxhash.xxh3_128_digest(("line\0" + (whole.strip(EDGES) or whole)).encode("utf-8", "replace"))))
     return out
@@ -114,7 +111,7 @@ def removed_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORD
             for i, text in enumerate(b.column(3)):
                 text = text.as_py() or ""
                 spans = units_of(text, unit)
-                whole = [(WHOLE + u, d) for u, d in line_digests(text, spans, unit, min_words)]
+                whole = [(WHOLE + u, d) for u, d in line_digests(text, spans, unit)]
                 for u, d in itertools.chain(enumerate(digests(text, spans, min_words)), whole):
                     if d is None:
                         continue
