@@ -1,8 +1,10 @@
 import gzip
 import io
+import tracemalloc
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.llm import warc
 from veilspark.llm.common import filesystem, work_dir
@@ -55,3 +57,42 @@ def test_a_cut_archive_is_an_error():
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(whole[:-9])))
     assert len(list(warc.records(io.BytesIO(whole + whole)))) == 2
+
+
+def test_a_record_that_inflates_a_thousandfold_comes_in_pieces():
+    record = warc.page_record("1", "u", b"x" * 1_000_000, None, None, False)
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    whole = b"".join([*(z.compress(record) for _ in range(40)), z.flush()])
+    assert len(whole) < 100_000 and max(map(len, warc.inflated(io.BytesIO(whole)))) <= warc.READ
+    tracemalloc.start()
+    assert sum(1 for _ in warc.records(io.BytesIO(whole))) == 40
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("size", [1, 3, 17, 1 << 20])
+def test_inflated_whatever_is_read_at_once(monkeypatch, size):
+    monkeypatch.setattr(warc, "READ", size)
+    data = [b"", b"a" * 5000, bytes(range(256)) * 20]
+    assert b"".join(warc.inflated(io.BytesIO(b"".join(map(gzip.compress, data))))) == b"".join(data)
+    assert list(warc.inflated(io.BytesIO(b""))) == []
+    with pytest.raises(ValueError):
+        list(warc.inflated(io.BytesIO(gzip.compress(b"some text")[:-5])))
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    rows = [("a/b c", "u", "same", 1), ("None", "u", "same", 1), (None, "u", "same", 1), ("", "u", "other", 1), ("ü%", "u", "other", 1), ("x", None, None, 1)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, payload long").withColumns({c: F.lit(c) for c in ("first", "n", "revisit", "__sha1", "file")})
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(df, work_dir(spark, "t")).collect()}
+    assert got == {"a/b c": ("response", None), "None": ("revisit", "a/b c"), None: ("revisit", "a/b c"), "ü%": ("response", None), "": ("revisit", "ü%"), "x": ("response", None)}
+
+
+def test_a_second_attempt_in_another_order_counts_alone(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 50)  # a file holds a few pages
+    folder = work_dir(spark, "t")
+    df = warc.with_revisits(spark.createDataFrame([(i, "u", f"page {i} " * 5) for i in range(40)], "page_id long, url string, html string").coalesce(1))
+    warc.write_monolithic(df, f"{folder}/raw")  # what a lost attempt left
+    made = warc.write_monolithic(df.orderBy(F.desc("page_id")).coalesce(1), f"{folder}/raw")
+    warc.normalise(made, f"{folder}/raw", f"{folder}/warc")
+    got = sorted(int(r.page_id) for r in warc.read_members(spark, f"{folder}/warc").collect())
+    assert got == list(range(40))

@@ -5,7 +5,7 @@ file once, as a stream, deflates every record again as a gzip member of its own,
 file, offset, length, type, record id, target URI and payload digest. From then on any part of the archive can be read alone.
 
 Files live in the shared folder and are written under a name of the attempt, then renamed, so a lost executor leaves nothing
-half written and a repeated task writes the same. One record is in memory at a time.
+half written. What a lost attempt finished is left out by name, or is the same as its repetition writes. One record is in memory at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import urllib.parse
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,13 +41,13 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
 
 def page_record(page_id, url: str | None, payload: bytes, refers_to, refers_url: str | None, revisit: bool) -> bytes:
     """A page as a response, or as a revisit that has the HTTP head but not the payload."""
-    fields = [("WARC-Record-ID", f"<{RECORD_ID}{page_id}>")]
+    fields = [("WARC-Record-ID", f"<{RECORD_ID}{named(page_id)}>")]
     if url is not None:
         fields.append(("WARC-Target-URI", plain(url)))
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{RECORD_ID}{refers_to}>")]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{RECORD_ID}{named(refers_to)}>")]
         if refers_url is not None:
             fields.append(("WARC-Refers-To-Target-URI", plain(refers_url)))
     fields.append(("Content-Type", "application/http; msgtype=response"))
@@ -59,21 +61,28 @@ def plain(uri: str) -> str:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip stream of one member or many, in pieces."""
-    z, begun = zlib.decompressobj(31), False
-    while data := stream.read(READ):
-        while data:
-            if z.eof:
-                z, begun = zlib.decompressobj(31), False
-            begun = True
-            yield z.decompress(data)
-            data = z.unused_data
-    if begun and not z.eof:
+    """The bytes of a gzip stream of one member or many, in pieces of at most ``READ``."""
+    z, begun, data = zlib.decompressobj(31), False, b""
+    while True:
+        data = data or stream.read(READ)
+        if z.eof:
+            if not data:
+                return
+            z = zlib.decompressobj(31)
+        begun = begun or bool(data)
+        # At most so much comes out at once, however well it was packed; the rest waits in the stream's own state.
+        piece, ended = z.decompress(data, READ), not data
+        if piece:
+            yield piece
+        data = z.unused_data if z.eof else z.unconsumed_tail
+        if ended and not piece and not z.eof:
+            break
+    if begun:
         raise ValueError("the gzip stream ends early")
 
 
 def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, whole record) of each record of a gzip stream; header names are in lower case."""
+    """(header, whole record) of each record of a gzip stream; header names are in lower case. One record is held, and a piece beyond it."""
     pieces, held = inflated(stream), bytearray()
 
     def more() -> bool:
@@ -125,16 +134,19 @@ class Output:
 def write_monolithic(rows: DataFrame, folder: str) -> DataFrame:
     """Write ``rows(page_id, url, payload, revisit, refers_to, refers_url)``; (file, n_records) of the files made.
 
-    Every file is a single gzip stream over all of its records, a warcinfo first.
+    Every file is a single gzip stream over all of its records, a warcinfo first. Its name has the attempt of the task that wrote it, and only
+    the files listed count: rows may come to a second attempt in another order, and so in other files.
     """
+    run_id = uuid.uuid4().hex[:8]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, out = TaskContext.get().partitionId(), [], None
+        task, made, out = TaskContext.get(), [], None
+        part = f"{task.partitionId():06d}-{run_id}-{task.taskAttemptId()}"
         for b in batches:
             for row in zip(*(c for c in b.columns)):
                 page_id, url, payload, revisit, refers_to, refers_url = (x.as_py() for x in row)
                 if out is None:
-                    name, n, size = f"{part:06d}-{len(made):04d}.warc.gz", 0, 0
+                    name, n, size = f"{part}-{len(made):04d}.warc.gz", 0, 0
                     out, z = Output(folder, name), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     out.write(z.compress(record("warcinfo", [("WARC-Filename", name)], b"format: WARC File Format 1.1\r\n")))
                 out.write(z.compress(page_record(page_id, url, payload or b"", refers_to, refers_url, bool(revisit))))
@@ -163,7 +175,7 @@ def normalise(files: DataFrame, source: str, folder: str) -> DataFrame:
     """Rewrite the gzip archives ``files(file)`` of ``source`` into ``folder``; (file, n_records) of each.
 
     Every record becomes a gzip member of its own, and ``<file>.cdxj`` lists the members. A file that is normal already comes
-    out with the same records.
+    out with the same records. As a file's bytes decide all that is written, a second attempt writes the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +205,7 @@ def normalise(files: DataFrame, source: str, folder: str) -> DataFrame:
 
 def read_members(spark, folder: str) -> DataFrame:
     """The page records of normalised archives, by their index: page_id, url, payload (null for a revisit), payload_bytes,
-    payload_digest (base32 SHA-1), record_type and refers_to. A payload that does not have its digest is an error."""
+    payload_digest (base32 SHA-1), record_type and refers_to. Ids are strings. A payload that does not have its digest is an error."""
     schema = "file string, offset long, length long, `warc-type` string"
     index = spark.read.schema(schema).option("pathGlobFilter", "*.cdxj").json(folder)
     index = index.where(F.col("`warc-type`").isin("response", "revisit"))
@@ -213,7 +225,7 @@ def read_members(spark, folder: str) -> DataFrame:
                 stream.seek(offset)
                 rows.append(page_of(zlib.decompress(stream.read(length), 31)))
             columns = list(zip(*rows)) or [()] * 7
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=PAGE)
         if stream:
             stream.close()
@@ -222,7 +234,21 @@ def read_members(spark, folder: str) -> DataFrame:
 
 
 PAGE = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+SCHEMA = "page_id string, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string"
+#: The name of a page without an id; a page whose id reads so has it in another spelling.
+NO_ID = "None"
+
+
+def named(page_id: str | None) -> str:
+    """A page's id as the end of a URI."""
+    if page_id is None:
+        return NO_ID
+    shown = str(page_id)
+    return "%" if not shown else urllib.parse.quote(shown, safe="") if shown != NO_ID else "%4Eone"
+
+
+def id_of(name: str) -> str | None:
+    return None if name == NO_ID else "" if name == "%" else urllib.parse.unquote(name)
 
 
 def page_of(whole: bytes) -> tuple:
@@ -235,21 +261,21 @@ def page_of(whole: bytes) -> tuple:
     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"payload of {header['warc-record-id']} does not have its digest")
 
-    def number(field: str):
-        value = header[field].strip("<>").removeprefix(RECORD_ID) if field in header else "None"
-        return None if value == "None" else int(value)
+    def id_in(field: str) -> str | None:
+        return id_of(header[field].strip("<>").removeprefix(RECORD_ID)) if field in header else None
 
     body = payload if kind == "response" else None
-    return number("warc-record-id"), header.get("warc-target-uri"), body, size, digest, kind, number("warc-refers-to")
+    return id_in("warc-record-id"), header.get("warc-target-uri"), body, size, digest, kind, id_in("warc-refers-to")
 
 
 def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` as rows for ``write_monolithic``: of equal payloads of at least ``least`` bytes the largest id responds.
 
-    A null html is an empty payload. Rows of equal payload and id all respond; null ids come last.
+    A null html is an empty payload. Rows of equal payload and id all respond; null ids come last. Ids of any type that can be ordered and cast to
+    a string and back: the rows have them as strings. Payloads are equal if their SHA-1, which the archive names them by, and length are.
     """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("__sha1", F.sha1("payload")).withColumn("__size", F.length("payload"))
     groups = rows.groupBy("__sha1", "__size").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n"))
     # Written first, so that its size is known: Spark broadcasts it up to its own threshold, and else shuffles the pages.
@@ -257,11 +283,11 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
     rows = rows.join(groups, ["__sha1", "__size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return rows.select(
-        "page_id",
+        F.col("page_id").cast("string").alias("page_id"),
         "url",
         "payload",
         revisit.alias("revisit"),
-        F.when(revisit, F.col("first.page_id")).alias("refers_to"),
+        F.when(revisit, F.col("first.page_id").cast("string")).alias("refers_to"),
         F.when(revisit, F.col("first.url")).alias("refers_url"),
     )
 
@@ -269,8 +295,8 @@ def with_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", url
 def archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write ``pages(page_id, url, html)`` to normalised archives below ``folder``/warc and read them back: rows of ``PAGE``.
 
-    Rows with a null id, url or html are written too; repeated rows are written each. Other columns are not read. Of no rows
-    come no files and no rows.
+    Rows with a null id, url or html are written too; repeated rows are written each. Ids keep their type. Other columns are not read, and
+    may have any name. Of no rows come no files and no rows.
     """
     raw, normal = f"{folder}/raw", f"{folder}/warc"
     made = normalise(write_monolithic(with_revisits(pages, least), raw), raw, normal)
@@ -278,7 +304,9 @@ def archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     fs.create_dir(f"{root}/warc", recursive=True)
     if made.count():
         fs.delete_dir(f"{root}/raw")  # all of it has been rewritten, and what is read below needs only that
-    return read_members(pages.sparkSession, normal)
+    kind = pages.schema["page_id"].dataType
+    found = read_members(pages.sparkSession, normal)
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
