@@ -61,3 +61,16 @@ def test_round_trip(spark):
 
 def test_no_rows(spark):
     assert packing.pack(empty_documents(spark), work_dir(spark, "packed")).collect() == []
+
+
+def test_a_second_attempt_in_another_order_names_its_own_shards(spark):
+    folder = work_dir(spark, "packed")
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 9)) for i in range(60)], "doc_id long, text string")
+    packing.pack(docs.coalesce(1), folder, width=16, shard_tokens=100).collect()  # what a lost attempt left
+    got = packing.pack(docs.orderBy(docs.doc_id.desc()).coalesce(1), folder, width=16, shard_tokens=100).collect()
+    with open(packing.VOCABULARY, "rb") as f:
+        enc = packing.encoder(f.read(), packing.PATTERN)
+    shards = {n: packing.read_shard(folder, n) for n in {r.shard for r in got} if n}
+    for r in got:
+        ids = [x for p in r.pieces for x in shards[r.shard]["ids"][p.row, p.start : p.start + p.length].tolist()]
+        assert enc.decode(ids[:-1]) == f"text number {r.doc_id} " * (r.doc_id % 9)

@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import io
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +105,7 @@ def pack_shard(docs: list[np.ndarray], width: int, pad: int, dtype) -> dict[str,
 
 
 def write_shard(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Write under a name of this attempt, then rename; a second attempt writes the same."""
+    """Write under a hidden name, then rename; the name is the attempt's own."""
     held = io.BytesIO()
     np.savez(held, **arrays)
     publish(folder, name + ".npz", held.getvalue())
@@ -149,7 +150,11 @@ def pack(
     rows with a null id are packed too. Pieces of equal length keep the order of their documents. A text of any length is cut
     into whole rows and a rest, none of it is left out; it is tokenised as a whole, in the memory of one task. Other columns
     are not read. Of no rows come no rows and no files.
+
+    A shard's name has the attempt of the task that wrote it, and only shards that the rows name count: a second attempt, which may see
+    its rows in another order, writes others and names those.
     """
+    run_id = uuid.uuid4().hex[:8]
     with open(vocabulary, "rb") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under a MB
     top = max(end or 0, pad, held.value.count(b"\n"))
@@ -157,14 +162,15 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, dtype = encoder(held.value, pattern), np.uint16 if top < 1 << 16 else np.uint32
         tail = np.array([] if end is None else [end], dtype)
-        shards, part = itertools.count(), TaskContext.get().partitionId()
+        shards, task = itertools.count(), TaskContext.get()
+        part = f"{task.partitionId():06d}-{run_id}-{task.taskAttemptId()}"
         ids: list[pa.Scalar] = []
         sizes: list[int] = []
         buffer: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             arrays = pack_shard(buffer, width, pad, dtype)
-            name = f"{part:06d}-{next(shards):05d}"
+            name = f"{part}-{next(shards):05d}"
             if len(arrays["ids"]):
                 write_shard(folder, name, arrays)
             t = arrays["pieces"]
