@@ -101,7 +101,7 @@ def test_items_are_found_wherever_they_stand(spark):
     got = {r.doc_id: r for r in decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     for i, _ in ITEMS:
         assert i in got[i].item_ids and got[i].contaminated
-    assert -1 in got[3].item_ids and not any(got[1000 + i].contaminated for i in range(20)) and not got[2000].contaminated
+    assert got[3].item_ids == [3, None] and not any(got[1000 + i].contaminated for i in range(20)) and not got[2000].contaminated
 
 
 def test_question_without_its_answer_is_clean():
@@ -111,15 +111,34 @@ def test_question_without_its_answer_is_clean():
     assert 8 in index.hits(decontam.words_of("z " * 70 + ITEMS[8][1] + " y" * 70))[1]
 
 
-def test_a_filter_by_more_indexes_than_a_task_holds(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "INDEXES", 2)
+def test_a_filter_by_more_indexes_than_a_worker_holds(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     made = decontam.build(items, index_bytes=1000)
-    assert len(made.names) > 4 and sum(len(s.ids) for x in made for s in x.shelves) == len(ITEMS) and len(made.held) == 2
+    sizes = sorted(made.read(n)[1] for n in made.names)
+    monkeypatch.setattr(decontam, "HELD_BYTES", sizes[-1] + sizes[-2])
+    assert len(made.names) > 4 and sum(len(s.ids) for x in made for s in x.shelves) == len(ITEMS) and 1 < len(made.held) < len(made.names)
     docs = spark.createDataFrame(ITEMS, "doc_id long, text string")
     assert decontam.clean_rows(docs, items).count() == 0
 
 
+def test_each_index_is_read_once_where_all_can_be_held(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"question {i} " + t) for i, t in ITEMS * 3], "item_id long, text string")
+    made, read = decontam.build(items, index_bytes=300), []
+    assert len(made.names) > 20
+    monkeypatch.setattr(decontam.Indexes, "read", lambda self, name, f=decontam.Indexes.read: (read.append(name), f(self, name))[1])
+    monkeypatch.setattr(decontam, "CHARS", 200)
+    for _ in range(3):
+        made.judge([t for _, t in ITEMS], 0.5, 0.8)
+    assert sorted(read) == sorted(made.names)
+
+
+def test_ids_of_any_type(spark):
+    items = spark.createDataFrame([("gsm8k/1", ITEMS[3][1]), ("gsm8k/2", ITEMS[4][1]), (None, ITEMS[3][1]), ("-1", ITEMS[3][1])], "item_id string, text string")
+    docs = spark.createDataFrame([("a", ITEMS[3][1]), (None, "clean text of no item"), ("b", ITEMS[4][1])], "doc_id string, text string")
+    got = {r.doc_id: r.item_ids for r in decontam.decontaminate(docs, items).collect()}
+    assert got == {"a": ["-1", "gsm8k/1", None], None: [], "b": ["gsm8k/2"]}
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -10,7 +10,8 @@ document at a time by block-max WAND. Each item retrieved is verified on its wor
 answer must both be in the passage.
 
 A large benchmark makes several indexes, dealt by a hash of the item and built where the items are; each is a file in the shared
-folder, and tasks hold a few at a time. As an item's score and passages depend on no other item of its index, neither does any
+folder, and a worker holds as many as ``HELD_BYTES`` allow, so it reads each once; of a benchmark beyond that it reads the rest anew for every
+``CHARS`` of documents. As an item's score and passages depend on no other item of its index, neither does any
 result depend on how many there are.
 """
 
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import checkpoint, filesystem, publish, table, work_dir
 
@@ -35,10 +37,10 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score from which a passage retrieves it, and share of shingles that verifies it.
 RETRIEVE, VERIFY = 0.5, 0.8
 SHINGLE = 5
-#: Items in a block; bytes of item text in an index, on average; indexes that a task holds at once.
+#: Items in a block; bytes of item text in an index, on average; bytes of index files that a worker holds at once.
 BLOCK = 2
 INDEX_BYTES = 128 << 10
-INDEXES = 4
+HELD_BYTES = 256 << 20
 #: Block maxima are whole numbers of this fraction, rounded up.
 UNITS = 1000
 #: Words of the shortest class of items.
@@ -230,7 +232,7 @@ class Index:
 
 
 class Indexes:
-    """The indexes of all items, as files; those used last are held, ``INDEXES`` at most."""
+    """The indexes of all items, as files; those used last are held, ``HELD_BYTES`` of them at most, but one always."""
 
     def __init__(self, folder: str, names: list[str], widths: list[int]):
         self.folder, self.names, self.widths, self.held = folder, names, widths, OrderedDict()
@@ -238,17 +240,22 @@ class Indexes:
     def __getstate__(self):
         return self.__dict__ | {"held": OrderedDict()}
 
+    def read(self, name: str) -> tuple[Index, int]:
+        """An index and the size of its file."""
+        fs, root = filesystem(self.folder)
+        with fs.open_input_file(f"{root}/{name}") as f:
+            data = f.read()
+        return pickle.loads(data), len(data)
+
     def __iter__(self) -> Iterator[Index]:
         # Those still held first: with more files than places, every turn then reads some less.
         for name in sorted(self.names, key=lambda n: n not in self.held):
             if name not in self.held:
-                fs, root = filesystem(self.folder)
-                with fs.open_input_file(f"{root}/{name}") as f:
-                    made = pickle.loads(f.read())
-                while len(self.held) >= INDEXES:
+                made, size = self.read(name)
+                while self.held and sum(n for _, n in self.held.values()) + size > HELD_BYTES:
                     self.held.popitem(last=False)
-                self.held[name] = made
-            yield self.held[name]
+                self.held[name] = made, size
+            yield self.held[name][0]
 
     def judge(self, texts: list[str | None], retrieve: float, verify: float) -> tuple[list[int], list[int], list[dict]]:
         """Of each text the number of passages, over all classes, of items retrieved, and the items verified with their shares."""
@@ -275,11 +282,11 @@ class Indexes:
 def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> Indexes:
     """Index all items; each index is built by a task and written to the shared folder.
 
-    Ids are numbers; a null one stands for -1. Items without a word are in no index. Repeated items count each. A single long
+    Ids may be null and of any type that Arrow has. Items without a word are in no index. Repeated items count each. A single long
     item makes its index as large as it needs. Of no items come no indexes.
     """
     spark = items.sparkSession
-    src = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = items.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,7 +294,7 @@ def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", ind
             n, distinct = pa.array(map(len, words), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays([*b.columns, n, distinct], names=["id", "text", "n", "words"])
 
-    parsed = src.mapInArrow(parse, "id long, text string, n long, words array<binary>").where("n > 0")
+    parsed = src.mapInArrow(parse, f"id {items.schema[id_col].dataType.simpleString()}, text string, n long, words array<binary>").where("n > 0")
     total = parsed.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not total.items:
         return Indexes("", [], [])
@@ -325,21 +332,22 @@ def decontaminate(
     """One row for each row of ``docs``: doc_id, n_passages, n_retrieved, n_items, item_ids (sorted), best_score, contaminated.
 
     Null and empty texts have no passage and are clean, as is every text if there are no items or none with a word. Items of
-    equal text are all reported; a null item id is reported as -1. n_passages counts the passages of every class of items.
+    equal text are all reported; item_ids have the items' type, and a null one comes last. n_passages counts the passages of every class of items.
     Repeated rows are each judged. Very long texts are held against the block maxima in slices. Other columns are not read.
     """
     kind, indexes = docs.schema[id_col].dataType.simpleString(), build(items, index_bytes=index_bytes)
+    item, item_kind = (f(items.schema["item_id"].dataType) for f in (lambda t: t.simpleString(), to_arrow_type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             passages, retrieved, found = indexes.judge([t.as_py() for t in b.column(1)], retrieve, verify)
-            every, best = [sorted(x) for x in found], [max((s[0] for s in x.values()), default=0.0) for x in found]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
+            every, best = [[*sorted(x.keys() - {None}), *([None] if None in x else [])] for x in found], [max((s[0] for s in x.values()), default=0.0) for x in found]
+            kinds = (pa.int64(), pa.int64(), pa.list_(item_kind), pa.float64())
             columns = [b.column(0), *map(pa.array, (passages, retrieved, every, best), kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_passages", "n_retrieved", "item_ids", "best_score"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = src.mapInArrow(run, f"doc_id {kind}, n_passages long, n_retrieved long, item_ids array<long>, best_score double")
+    found = src.mapInArrow(run, f"doc_id {kind}, n_passages long, n_retrieved long, item_ids array<{item}>, best_score double")
     n = F.size("item_ids").cast("long")
     return found.select("doc_id", "n_passages", "n_retrieved", n.alias("n_items"), "item_ids", "best_score", (n > 0).alias("contaminated"))
 
