@@ -22,8 +22,7 @@ def docs(spark):
 
 
 def scanned(df):
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 1000"), F.expr("doc_id div 50"), "doc_id")
-    return licences.scan(df, path=path)
+    return licences.scan(df, path=licences.placed())
 
 
 def test_against_sql(spark):
@@ -46,6 +45,23 @@ def test_the_nearest_directory_wins(spark):
     assert got == {"": ("R", ""), "a": ("A", "a"), "a/b": ("B", "a/b"), "a/b/c": ("B", "a/b"), "x/y": ("R", ""), "ab": ("R", "")}
 
 
+def test_a_notice_in_a_source_file_holds_for_that_file_alone(spark):
+    mit = dict(licences.licence_texts())["MIT"]
+    notice = "Licensed under the Apache License, Version 2.0.\nint main() {}"
+    rows = [(1, notice, "a/vendor_snippet.c"), (3, mit, "a/LICENSE"), (4, "code", "a/b/c.py"), (5, notice, "x/first.c"), (6, "code", "x/second.c")]
+    rows += [(7, "Released under the MIT License.", "y/Copying.txt"), (8, "code", "y/z/q.c"), (9, mit, "w/0001.dat"), (10, "code", "w/c.c"), (11, notice, "w/NOTICE"), (12, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: (r.licence, r.inherited_from) for r in licences.scan(df).collect()}
+    assert got[1] == ("Apache-2.0", None) and got[4] == ("MIT", "a") and got[6] == (None, None) and got[12] == (None, None)
+    assert got[8] == ("MIT", "y") and got[10] == ("Apache-2.0", "w") and got[9] == ("MIT", None)
+
+
+def test_names_of_licence_files(spark):
+    names = ["LICENSE", "licence.txt", "COPYING", "Copying.LESSER", "NOTICE.md", "UNLICENSE", "LICENSE-MIT", "license_apache", "licensed.c", "notices.py", "my-license", ""]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(F.col("n").rlike(licences.FILE_NAME)).collect()
+    assert [r[0] for r in got] == [True] * 8 + [False] * 4
+
+
 def test_odd_rows(spark):
     df = odd_documents(spark)
     got = scanned(df)

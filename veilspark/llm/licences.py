@@ -3,13 +3,14 @@
 Units of documents are compared with licence notices, file headers and whole licence texts: every line; every paragraph of
 several lines, so that a wrapped notice or a comment block is one unit; and, if it has several paragraphs, the whole document. Weights
 are TF-IDF, with document frequencies counted over all documents for every term. Which units can reach the threshold at all
-is known beforehand: of each template the heaviest terms are anchors, so many that what is left of it falls short of the
-threshold by itself. Only documents with an anchor are looked at, and of their units only those whose terms in common with a
+is known beforehand: of each template the terms that are rarest in the documents are anchors, so many that what is left of it falls short of the
+threshold by itself. Only units with an anchor are looked at, and of these only those whose terms in common with a
 template could reach the threshold if there were nothing else; nothing is lost by that. Texts are read twice, once to count
 terms and once to take such units out.
 
-A document that opens with a licence, or is one as a whole, stands for the licence file of its directory. Documents without a
-licence of their own inherit from the nearest directory above them that has one: every directory is joined with the paths of
+A directory's licence file is a document that is named so, as LICENSE or COPYING.md, and has a licence, or one that is a licence text as a
+whole. A notice in any other file holds for that file alone. Documents without a
+licence of their own inherit from the nearest directory above them that has a licence file: every directory is joined with the paths of
 its ancestors, and the longest match wins.
 """
 
@@ -81,6 +82,8 @@ def licence_texts() -> tuple[tuple[str, str], ...]:
 
 
 TEMPLATES = NOTICES + HEADERS + licence_texts()
+#: Base names of licence files, with any extension.
+FILE_NAME = r"(?i)^(un)?licen[sc]e([.\-_].*)?$|^copying([.\-_].*)?$|^notice([.\-_].*)?$"
 TERM = r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*"
 #: What parts paragraphs: line ends with nothing but white space between them.
 GAP = r"\n[\x09-\x0D\x20]*\n"
@@ -98,10 +101,10 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def weighted_templates(counted: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
-    """(template, licence, total, term, weight, rest) of the templates' terms; weight is the share of a unit vector.
+    """(template, licence, total, term, weight, rest, common) of the templates' terms; weight is the share of a unit vector.
 
-    ``rest`` is the squared length of a term and all lighter ones together, ``total`` the number of documents. The templates are
-    few and fixed, so their terms are too.
+    ``rest`` is the squared length of a term and all lighter ones together, ``common`` that of it and all that more documents have, ``total`` the
+    number of documents. The templates are few and fixed, so their terms are too.
     """
     rows = counted.sparkSession.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, notice string")
     rows = rows.select("template", "licence", F.explode(terms(F.col("notice"))).alias("term"))
@@ -112,11 +115,16 @@ def weighted_templates(counted: DataFrame, templates: tuple = TEMPLATES) -> Data
     rows = rows.withColumn("total", F.coalesce("total", F.lit(0)))
     rows = rows.withColumn("w", F.col("tf") * idf(F.col("total"), F.coalesce("n", F.lit(0))))
     ordered = F.sort_array(F.collect_list(F.struct("w", "term"))).alias("ts")
-    rows = rows.groupBy("template", "licence", "total").agg(ordered, F.sum(F.col("w") * F.col("w")).alias("square"))
+    rarer = F.sort_array(F.collect_list(F.struct(-F.coalesce("n", F.lit(0)), "w", "term"))).alias("rs")
+    rows = rows.groupBy("template", "licence", "total").agg(ordered, rarer, F.sum(F.col("w") * F.col("w")).alias("square"))
+
+    def share(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0.0), lambda a, y: a + y["w"] * y["w"]) / F.col("square")
 
     def weighed(x: Column, i: Column) -> Column:
-        lighter = F.aggregate(F.slice("ts", F.lit(1), i + 1), F.lit(0.0), lambda a, y: a + y["w"] * y["w"])
-        return F.struct(x["term"].alias("term"), (x["w"] / F.sqrt("square")).alias("weight"), (lighter / F.col("square")).alias("rest"))
+        at = F.array_position(F.transform("rs", lambda y: y["term"]), x["term"]).cast("int")
+        rest, common = share(F.slice("ts", F.lit(1), i + 1)), share(F.slice("rs", F.lit(1), at))
+        return F.struct(x["term"].alias("term"), (x["w"] / F.sqrt("square")).alias("weight"), rest.alias("rest"), common.alias("common"))
 
     return rows.select("template", "licence", "total", F.explode(F.transform("ts", weighed)).alias("t")).select("template", "licence", "total", "t.*")
 
@@ -128,10 +136,11 @@ def idf(total: Column, n: Column) -> Column:
 def units(text: Column, heavy: list, threshold: float) -> Column:
     """The lines (kind 0), paragraphs of several lines (1) and the whole of several paragraphs (2) that may be like a template.
 
-    ``heavy(template, term, weight, rest)`` are the heavier terms of the templates, some rows of fixed lists.
+    ``heavy(template, term, weight, rest, common)`` are the heavier and the rarer terms of the templates, some rows of fixed lists.
     """
     least = threshold**2 - 1e-6
-    anchors = F.lit(sorted({r.term for r in heavy if r.rest >= least}))
+    anchors = F.lit(sorted({r.term for r in heavy if r.common >= least}))
+    heavy = [r for r in heavy if r.rest > LIGHT]
     every = F.lit(sorted({r.term for r in heavy}))
     wanted = []
     for t in sorted({r.template for r in heavy}):
@@ -142,21 +151,27 @@ def units(text: Column, heavy: list, threshold: float) -> Column:
         wanted.append(F.struct(F.lit(least - light).alias("least"), parts.alias("parts")))
     wanted = F.array(*wanted)
 
-    def near(u: Column) -> Column:
+    def near(u: Column, have: Column) -> Column:
         def reaches(common: Column) -> Column:
             add = lambda a, p: a + F.when(F.array_contains(common, p["term"]), p["square"]).otherwise(F.lit(0.0))
             return F.exists(wanted, lambda w: F.aggregate(w["parts"], F.lit(0.0), add) >= w["least"])
 
-        return let(F.array_intersect(terms(u["text"]), every), reaches)
+        return let(terms(u["text"]), lambda ts: F.arrays_overlap(ts, have) & let(F.array_intersect(ts, every), reaches))
 
-    def some(texts: Column, kind: int, several: str | None) -> Column:
+    def some(texts: Column, kind: int, several: str | None, have: Column) -> Column:
         rows = F.transform(texts, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), t.alias("text")))
-        return F.filter(rows, near if several is None else lambda u: u["text"].contains(several) & near(u))
+        return F.filter(rows, lambda u: (u["text"].contains(several) if several else F.lit(True)) & near(u, have))
 
     paragraphs = F.split(text, GAP, -1)
     whole = F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
-    found = F.concat(some(F.split(text, "\n", -1), 0, None), some(paragraphs, 1, "\n"), some(whole, 2, None))
-    return F.when(F.arrays_overlap(terms(text), anchors), found).otherwise(F.array().cast("array<struct<kind:int,no:int,text:string>>"))
+    none = F.array().cast("array<struct<kind:int,no:int,text:string>>")
+
+    def found(have: Column) -> Column:
+        each = F.concat(some(F.split(text, "\n", -1), 0, None, have), some(paragraphs, 1, "\n", have), some(whole, 2, None, have))
+        return F.when(F.size(have) > 0, each).otherwise(none)
+
+    # The anchors that a document has are few, and a line is held against these first.
+    return let(F.array_intersect(terms(text), anchors), found)
 
 
 def matches(found: DataFrame, templates: DataFrame, counted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -185,34 +200,38 @@ def scan(
     """One row for each row of ``docs``: doc_id, directory, own_licence, own_score, n_lines and n_blocks (lines, and paragraphs
     or the whole, that are a licence), licence, inherited_from (a directory, null if the licence is its own or there is none).
 
-    ``path`` is a document's path, by default a column of that name; what follows its last slash is not of the directory. A
-    null path lies in the root, ''. Of several licences in a document the best counts, of equals a line, then a paragraph, then
-    the first; of several licence files in a directory that of the smallest id, then of the first licence by name. Null and
+    ``path`` is a document's path, by default a column of that name; what follows its last slash is its name. A
+    null path lies in the root, '', and has no name. Of several licences in a document the best counts, of equals a line, then a paragraph, then
+    the first. A document named as a licence file gives its directory its licence, any other one only that of its whole text; of several in a
+    directory those so named come first, then the smallest id, then the first licence by name. Null and
     empty texts have no licence but inherit. Very long texts are compared by line, by paragraph and as wholes like others.
     Rows alike in id, path and text are one document in several rows. Other columns are not read. Of no rows come no rows.
     """
-    where = F.coalesce(F.regexp_replace(F.coalesce(path, F.lit("")) if path is not None else F.coalesce("path", F.lit("")), "/?[^/]*$", ""), F.lit(""))
-    src = docs.select(F.col(id_col).alias("doc_id"), where.alias("directory"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    path = F.coalesce(F.col("path") if path is None else path, F.lit(""))
+    where, name = F.regexp_replace(path, "/?[^/]*$", ""), F.regexp_extract(path, "[^/]*$", 0)
+    src = docs.select(F.col(id_col).alias("doc_id"), where.alias("directory"), name.rlike(FILE_NAME).alias("named"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     counted = checkpoint(document_frequencies(src))
     weights = checkpoint(weighted_templates(counted, templates))
     # Some words of fixed templates, written into the plan.
-    heavy = weights.where(F.col("rest") > LIGHT).select("template", "term", "weight", "rest").collect()
-    doc = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"), "directory", F.xxhash64("text").alias("hash"))
+    some = (F.col("rest") > LIGHT) | (F.col("common") >= threshold**2 - 1e-6)
+    heavy = weights.where(some).select("template", "term", "weight", "rest", "common").collect()
+    doc = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("id"), "directory", "named", F.xxhash64("text").alias("hash"))
     slim = checkpoint(src.select("doc_id", "directory", doc.alias("doc"), units(F.col("text"), heavy, threshold).alias("units")))
     some = slim.where(F.size("units") > 0).dropDuplicates(["doc"]).select("doc", F.explode("units").alias("u")).select("doc", "u.*")
     found = matches(some, weights, counted, threshold)
     first = F.struct("score", -F.col("kind"), -F.col("no"))
-    opens = (F.col("no") == 0) & (F.col("score") >= threshold)
+    gives = F.col("doc.named") | (F.col("kind") == 2)
     own = found.groupBy("doc").agg(
         F.max_by("licence", first).alias("own_licence"),
         F.max("score").alias("own_score"),
         F.count_if(F.col("kind") == 0).alias("n_lines"),
         F.count_if(F.col("kind") > 0).alias("n_blocks"),
-        F.max_by(F.when(opens, F.col("licence")), F.when(opens, first)).alias("opens"),
+        F.max_by(F.when(gives, F.col("licence")), F.when(gives, first)).alias("gives"),
     )
     own = checkpoint(own)
-    ids = slim.select("doc_id", "doc").distinct().join(own.where("opens IS NOT NULL"), "doc")
-    files = ids.groupBy("doc.directory").agg(F.min_by("opens", F.struct(F.col("doc_id").isNull(), "doc_id", "opens")).alias("file_licence"))
+    ids = slim.select("doc_id", "doc").distinct().join(own.where("gives IS NOT NULL"), "doc")
+    order = F.struct(~F.col("doc.named"), F.col("doc_id").isNull(), "doc_id", "gives")
+    files = ids.groupBy("doc.directory").agg(F.min_by("gives", order).alias("file_licence"))
     # Made first, so that its size is known where the ancestors meet it; '' is above every directory.
     given = inherited(slim.select("directory").distinct(), checkpoint(files))
     rows = slim.select("doc_id", "directory", "doc").join(own, "doc", "left").join(given, "directory", "left")
@@ -238,11 +257,17 @@ def inherited(directories: DataFrame, files: DataFrame) -> DataFrame:
     return met.groupBy("directory").agg(nearest).select("directory", "n.*")
 
 
+def placed() -> Column:
+    """The path that the query gives a document: source/<doc_id div 1000>/<doc_id div 50>/, and there LICENSE for the first id of the fifty,
+    COPYING.md for the second, and else <doc_id>.txt."""
+    name = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).when(F.col("doc_id") % 50 == 1, F.lit("COPYING.md"))
+    name = name.otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 1000"), F.expr("doc_id div 50"), F.coalesce(name, F.lit("none.txt")))
+
+
 def op5_licence_scan(spark, sf_dir: str) -> DataFrame:
-    """Every document, as a file of source/<doc_id div 1000>/<doc_id div 50>/."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 1000"), F.expr("doc_id div 50"), "doc_id")
-    return scan(docs, path=path)
+    """Every document, as the file that ``placed`` makes it."""
+    return scan(table(spark, sf_dir, "documents"), path=placed())
 
 
 _TEXTS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
@@ -268,8 +293,8 @@ s AS (SELECT x.doc_id, x.kind, x.no, u.template, u.licence, round(sum(x.w * u.we
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, kind, no ORDER BY score DESC, template) = 1),
 o AS (SELECT doc_id, arg_max(licence, (score, -kind, -no)) AS own_licence, max(score) AS own_score,
         count(*) FILTER (kind = 0) AS n_lines, count(*) FILTER (kind > 0) AS n_blocks,
-        arg_max(licence, (score, -kind, -no)) FILTER (no = 0) AS opens FROM b GROUP BY ALL),
-f AS (SELECT directory, arg_min(opens, doc_id) AS file_licence FROM o JOIN d USING (doc_id) WHERE opens IS NOT NULL GROUP BY directory),
+        arg_max(licence, (score, -kind, -no)) FILTER (kind = 2 OR doc_id % 50 < 2) AS gives FROM b GROUP BY ALL),
+f AS (SELECT directory, arg_min(gives, (doc_id % 50 >= 2, doc_id)) AS file_licence FROM o JOIN d USING (doc_id) WHERE gives IS NOT NULL GROUP BY directory),
 i AS (SELECT a.directory, arg_max(f.file_licence, length(f.directory)) AS file_licence, max_by(f.directory, length(f.directory)) AS source_dir
       FROM (SELECT DISTINCT directory FROM d) a JOIN f ON a.directory = f.directory OR starts_with(a.directory, f.directory || '/')
       GROUP BY a.directory)
