@@ -5,11 +5,11 @@ tree, sorted, are its order; rows that share their first digits lie side by side
 more alike the sets are likely to be. A region is a run of rows that share a prefix: ``LEAST`` digits where that leaves few rows
 together, and more where rows crowd, up to the whole path.
 
-Links are sought in three steps, each among what the last has left in different components. First every set is held against its
-neighbour by the longest common prefixes over all trees; then every two components that stand side by side in some order are; and
+Links are sought in three steps, each among what the last has left apart. First every set is held against its
+neighbour by the longest common prefixes over all trees; then every two neighbours that have found different sets are; and
 last come all pairs of a region that are of different components and whose signatures agree enough. Only the first two steps move texts, a
-pair at a time for each set; in the last, sets travel to their region and only links leave it. Every link is confirmed on full sets. Copies
-are one node, named by 128 bits of their set.
+pair at a time for each set; in the last, sets travel to their region and only links between components leave it. Every link is confirmed on
+full sets. Copies are one node, named by 128 bits of their set.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ LEAST = 4
 #: Rows from which on a region takes one more digit.
 DENSE = 256
 #: Rows of a piece of a region, in the first steps and in the last.
-PIECE, SETS = 4096, 1024
+PIECE, SETS = 1024, 1024
 #: Of the digits of two signatures so many agree for sets of similarity 0.85, less six deviations: 132.6 on average, deviation 4.5.
 AGREE = 106
 #: Words, and digits of pairs, that are worked on at once.
@@ -190,6 +190,8 @@ def units(rows: DataFrame) -> DataFrame:
         done = left if d == DEPTH else left.where(F.col("together") <= DENSE)
         out = done if out is None else out.unionByName(done)
         left = left.where(F.col("together") > DENSE).drop("region", "digits", "together")
+        if d < DEPTH and left.isEmpty():
+            break
     pieces = F.ceil(F.col("together") / SETS).cast("int")
     out = out.withColumn("pieces", F.when(F.col("together") > DENSE, pieces).otherwise(1))
     out = out.withColumn("p", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -235,7 +237,7 @@ def in_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 
 def across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v): links that connect the parts of ``rows(tree, path, id, part)`` that pairs of one region connect.
+    """(u, v): parts of ``rows(tree, path, id, part)`` that a link connects, so that all parts are connected that pairs of one region connect.
 
     First paths alone travel to the units and single out the sets that may have a link there; then these sets do, as all their hashes.
     In a unit, a pair whose ends links found before connect there already is not compared.
@@ -263,7 +265,7 @@ def across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, perc
             for x, y in pairs_in(m, paths, percent):
                 for i, j in zip(x.tolist(), y.tolist()):
                     if part[i] != part[j] and linked(hashes[i], hashes[j], percent):
-                        found.append((int(m[5, i]), int(m[5, j])))
+                        found.append((int(m[6, i]), int(m[6, j])))
                         part[part == part[j]] = part[i]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
@@ -276,27 +278,32 @@ def across(rows: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, perc
     return met.repartition(*UNIT).sortWithinPartitions(*UNIT, "part", "id").mapInArrow(compare, "u long, v long")
 
 
-def links(nodes: DataFrame, texts_of, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(u, v): links that connect what all links among ``nodes(id, n_shingles, paths)`` connect; ``texts_of(ids)`` gives (id, text)."""
+def rooted(nodes: DataFrame, texts_of, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, root) of ``nodes(id, n_shingles, paths)`` that are linked: nodes of one component have one root. ``texts_of(ids)`` gives (id, text)."""
     rows = nodes.select("id", F.posexplode("paths").alias("tree", "path"))
     rows = checkpoint(in_regions(rows, LEAST))
     texts = written(texts_of(rows.select("id").distinct()), "forest")
 
-    def parts(found: DataFrame | None) -> DataFrame:
-        if found is None:
-            return rows.withColumn("part", F.col("id"))
-        roots = written(components(found).select(F.col("node").alias("id"), F.col("root").alias("part")), "forest")
-        labelled = rows.drop("together").join(roots, "id", "left").withColumn("part", F.coalesce("part", "id"))
-        return checkpoint(several_parts(labelled, ["tree", "region"]))
-
     def held(pairs: DataFrame) -> DataFrame:
         return checkpoint(confirmed(checkpoint(likely(pairs, nodes, percent)), texts, words, percent))
 
-    found = held(best_of(neighbours(parts(None)), ("u", "v")))
-    side_by_side = neighbours(parts(found)).groupBy("part_u", "part_v").agg(F.max(F.struct("score", "u", "v")).alias("pair")).select("pair.*")
+    def labelled(parts: DataFrame) -> DataFrame:
+        met = rows.drop("together").join(written(parts, "forest"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        return checkpoint(several_parts(met, ["tree", "region"]))
+
+    found = held(best_of(neighbours(rows.withColumn("part", F.col("id"))), ("u", "v")))
+    # Sets that found the same one need not be held against each other; whole components are not needed for that.
+    ends = found.select(F.explode(F.array(F.struct(F.col("u").alias("id"), "v"), F.struct(F.col("v").alias("id"), F.col("u").alias("v")))).alias("e"))
+    hooked = ends.groupBy("e.id").agg(F.min("e.v").alias("v")).select("id", F.least("id", "v").alias("part"))
+    side_by_side = neighbours(labelled(hooked)).groupBy("part_u", "part_v").agg(F.max(F.struct("score", "u", "v")).alias("pair")).select("pair.*")
     found = found.unionByName(held(side_by_side.select("u", "v").distinct()))
-    last = across(parts(found).select("tree", "path", "id", "part"), nodes, texts, words, percent)
-    return checkpoint(found.unionByName(last))
+    parts = checkpoint(components(found).select(F.col("node").alias("id"), F.col("root").alias("part")))
+    last = checkpoint(across(labelled(parts).select("tree", "path", "id", "part"), nodes, texts, words, percent))
+    if last.isEmpty():
+        return parts.withColumnRenamed("part", "root")
+    roots = components(last)  # of components: these are few
+    every = nodes.select("id").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    return every.join(written(roots, "forest"), F.col("part") == F.col("node"), "left").select("id", F.coalesce("root", "part").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -320,8 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         once = src.select("__id", "__hash", "text").dropDuplicates(["__id", "__hash"])
         return once.join(first.hint("merge"), ["__id", "__hash"]).select("id", "text")
 
-    roots = components(links(nodes, texts_of, words, percent))
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("same", "low", "copies", F.coalesce("root", "id").alias("root"))
+    named = nodes.join(rooted(nodes, texts_of, words, percent), "id", "left").select("same", "low", "copies", F.coalesce("root", "id").alias("root"))
     named = checkpoint(named)
     low = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
     named = joined_once(named, low, "root").select("same", "component_id", F.col("copies").alias("n"))
