@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels as lb
 from ..functions import vocab
 from ..functions.text import let, span_context, strip
+from ..workers.calls import side_by_side
+from . import grouping
 from .detect import CHUNK_KEY
 
 
@@ -52,22 +56,25 @@ def required(label: Column, least: int, least_names: int = 1) -> Column:
     return F.when(lb.is_person(label), F.lit(least_names)).otherwise(F.lit(least))
 
 
-def agreement(df: DataFrame, least: int = 1, least_names: int = 1) -> DataFrame:
-    """What enough detectors agree on, persons by a threshold of their own; with found_by and n_votes."""
-    voted = votes(merge(df), df)
+def voted(df: DataFrame, least: int = 1, least_names: int = 1) -> DataFrame:
+    """The union of all detectors with found_by, n_votes and reason: null for what enough detectors agree on, persons by a threshold of
+    their own, else why it is dropped."""
+    found = votes(merge(df), df)
     if least <= 1 and least_names <= 1:
-        return voted
-    return voted.where(F.col("n_votes") >= required(F.col("label"), least, least_names))
+        return found.withColumn("reason", F.lit(None).cast("string"))
+    need = required(F.col("label"), least, least_names)
+    reason = F.concat(F.lit("agreement < required (kept only when at least "), need.cast("string"), F.lit(" detector(s) agree)"))
+    return found.withColumn("reason", F.when(F.col("n_votes") < need, reason))
+
+
+def agreement(df: DataFrame, least: int = 1, least_names: int = 1) -> DataFrame:
+    """What enough detectors agree on; with found_by and n_votes."""
+    return voted(df, least, least_names).where("reason IS NULL").drop("reason")
 
 
 def dropped(df: DataFrame, least: int, least_names: int = 1) -> DataFrame:
     """What too few detectors agree on, with the reason."""
-    voted = votes(merge(df), df)
-    if least <= 1 and least_names <= 1:
-        voted = voted.where(F.lit(False))
-    need = required(F.col("label"), least, least_names)
-    reason = F.concat(F.lit("agreement < required (kept only when at least "), need.cast("string"), F.lit(" detector(s) agree)"))
-    return voted.where(F.col("n_votes") < need).withColumn("reason", reason)
+    return voted(df, least, least_names).where("reason IS NOT NULL")
 
 
 def weighted_agreement(df: DataFrame, weights: DataFrame, least: float = 0.5) -> DataFrame:
@@ -169,14 +176,21 @@ def cluster(items: Column) -> Column:
 def dedupe_findings(df: DataFrame, key: list[str] = CHUNK_KEY) -> DataFrame:
     """Findings merged by value, then values that hold each other under agreeing labels, in the order of ord.
 
-    Grouping depends on that order, so the findings of one key, few after the first step, are folded as one array.
+    Grouping depends on that order, so the findings of one key, few after the first step, are folded as one array; those of a key with
+    over ``grouping.LARGE`` of them meet only what an index says can hold them.
     """
     by_value = findings_by_value(df, key).withColumn("sig", lb.signature(F.col("pii_type")))
     item = F.struct(F.col("ord").cast("int").alias("ord"), "low", "value", "pii_type", "score", "found_by", "sig")
     groups = by_value.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    rows = groups.select(*key, F.explode(cluster(F.col("items"))).alias("g"))
-    by = F.array_sort(F.array_distinct("g.found_by"))
-    return rows.select(*key, "g.top.value", "g.top.pii_type", F.bround("g.top.score", 4).alias("score"), by.alias("found_by"), "g.ord")
+    few = F.size("items") <= grouping.LARGE
+    rows = groups.where(few).select(*key, F.explode(cluster(F.col("items"))).alias("g"))
+    rows = rows.select(*key, "g.top.value", "g.top.pii_type", "g.top.score", "g.found_by", "g.ord")
+    fields = ("value", "pii_type", "score", "found_by", "ord")
+    schema = "value string, pii_type string, score double, found_by array<string>, ord int"
+    many = grouping.by_key(groups.where(~few), ["items"], lambda items: [tuple(g[f] for f in fields) for g in grouping.clustered(items)], schema)
+    rows = rows.unionByName(many)
+    by = F.array_sort(F.array_distinct("found_by"))
+    return rows.select(*key, "value", "pii_type", F.bround("score", 4).alias("score"), by.alias("found_by"), "ord")
 
 
 def judge_batches(df: DataFrame, chunks: DataFrame, size: int = 8, radius: int = 72) -> DataFrame:
@@ -190,22 +204,29 @@ def judge_batches(df: DataFrame, chunks: DataFrame, size: int = 8, radius: int =
     return rows.select(*CHUNK_KEY, F.floor(F.col("n") / size).cast("int").alias("batch"), (F.col("n") % size).alias("id"), "value", "pii_type", "score", context.alias("context"))
 
 
-def judge(batches: DataFrame, decide) -> DataFrame:
+def judge(batches: DataFrame, decide, at_once: int = 8) -> DataFrame:
     """Approved findings of ``judge_batches``, scored between 0.72 and 0.95.
 
     ``decide`` takes a list of dicts (id, value, pii_type, context) and returns {id: approved}; a batch for which it fails is
-    skipped.
+    skipped. A task asks about ``at_once`` batches side by side.
     """
-    schema = batches.select(*CHUNK_KEY, "value", "pii_type", "score").schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            said = decide(pdf[["id", "value", "pii_type", "context"]].to_dict("records"))
-        except Exception:
-            said = {}
-        return pdf[pdf["id"].map(lambda i: bool(said.get(i)))][[f.name for f in schema]]
-
-    found = batches.groupBy(*CHUNK_KEY, "batch").applyInPandas(run, schema)
+    asked = F.sort_array(F.collect_list(F.struct("id", "value", "pii_type", "score", "context"))).alias("asked")
+    rows = batches.groupBy(*CHUNK_KEY, "batch").agg(asked).drop("batch")
+    schema = T.StructType([*rows.select(*CHUNK_KEY).schema, *T._parse_datatype_string("ids array<int>")])
+    schema = T.StructType([*schema, rows.schema["asked"]])
+
+    def approved(items: list[dict]) -> list[int]:
+        said = decide([{k: v for k, v in x.items() if k != "score"} for x in items])
+        return [x["id"] for x in items if said.get(x["id"])]
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            said = side_by_side(b.column(2).to_pylist(), approved, at_once)
+            ids = pa.array([x for x, _ in said], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, b.column(2)], names=schema.names)
+
+    found = rows.mapInArrow(run, schema).select(*CHUNK_KEY, "ids", F.explode("asked").alias("a"))
+    found = found.where(F.array_contains("ids", F.col("a.id"))).select(*CHUNK_KEY, "a.value", "a.pii_type", "a.score")
     score = F.greatest(F.lit(0.72), F.least(F.coalesce("score", F.lit(0.5)), F.lit(0.95)))
     return found.select(*CHUNK_KEY, F.col("value").alias("text"), F.col("pii_type").alias("label"), score.alias("score"))
 

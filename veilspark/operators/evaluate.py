@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import agrees, signature, signatures_agree
 from ..functions.text import let
+from . import grouping
 from .ensemble import folded, holds_either_way
 
 
@@ -45,24 +46,51 @@ def greedy_matches(ours: Column, theirs: Column) -> Column:
 
 
 def candidates(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
-    """(key, our_pos, their_pos): pairs of ``(key, pos, value, label)`` that may be the same entity."""
+    """(key, our_pos, their_pos): pairs of ``(key, pos, value, label)`` that may be the same entity.
+
+    Values of one key meet only where one has a run of characters, picked by its hash, of the other; those of less than a run's length meet
+    under the shorter one's whole value. So a key of many values does not pair them all.
+    """
     a, b = (df.select(key, *(F.col(c).alias(f"{w}_{c}") for c in ("pos", "value", "label"))) for w, df in (("our", ours), ("their", theirs)))
-    held = F.contains("our_value", "their_value") | F.contains("their_value", "our_value")
-    return a.join(b, key).where(held & agrees(F.col("our_label"), F.col("their_label"), evaluator=True)).select(key, "our_pos", "their_pos")
+    pair = [key, "our_pos", "our_value", "our_label", "their_pos", "their_value", "their_label"]
+
+    def every(v: Column) -> Column:
+        n = F.length(v)
+        cut = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(v, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(F.array(F.lit("")), *(cut(k) for k in range(1, grouping.RUN + 1))))
+
+    def one(v: Column) -> Column:
+        # The run of the least hash among those of full length; a shorter value is its own.
+        n = F.length(v)
+        of = F.transform(F.sequence(F.lit(1), n - grouping.RUN + 1), lambda i: F.substr(v, i, F.lit(grouping.RUN)))
+        least = F.array_min(F.transform(of, lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]
+        return F.when(n > grouping.RUN, least).otherwise(v)
+
+    def met(longer: DataFrame, held: DataFrame, v: str, w: str) -> DataFrame:
+        long, short = longer.withColumn("__run", F.explode(every(F.col(v)))), held.withColumn("__run", one(F.col(w)))
+        return long.join(short, [key, "__run"]).where(F.contains(v, w)).select(*pair)
+
+    found = met(a, b, "our_value", "their_value").union(met(b, a, "their_value", "our_value").where("our_value != their_value"))
+    return found.where(agrees(F.col("our_label"), F.col("their_label"), evaluator=True)).select(key, "our_pos", "their_pos")
 
 
 def evaluate(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     """(key, our_entities, llm_entities, same, different_llm, recall_pct, precision_pct) of entities ``(key, pos, value, label)``.
 
-    Matching depends on the order, so the entities of one key are folded as arrays. Rows without a value or place are left out.
+    Matching depends on the order, so the entities of one key are folded as arrays, and those of a key with over ``grouping.LARGE`` of them
+    meet only what an index says can hold them. Rows without a value or place are left out.
     """
     sides = [df.where("value IS NOT NULL AND pos IS NOT NULL").select(key, F.lit(i).alias("side"), "pos", "value", "label") for i, df in enumerate((ours, theirs))]
     item = F.struct("pos", "value", "label")
     lists = [F.sort_array(F.collect_list(F.when(F.col("side") == i, item))).alias(name) for i, name in enumerate(("ours", "theirs"))]
     rows = sides[0].unionByName(sides[1]).groupBy(key).agg(*lists)
-    rows = rows.select(key, distinct_entities(F.col("ours")).alias("ours"), distinct_entities(F.col("theirs")).alias("theirs"))
+    many = F.size("ours") + F.size("theirs") > grouping.LARGE
+    signed = [F.transform(c, lambda x: F.struct(x["value"].alias("value"), x["label"].alias("label"), signature(x["label"], True).alias("sig"))).alias(c) for c in ("ours", "theirs")]
+    large = rows.where(many).select(key, *signed)
+    large = grouping.by_key(large, ["ours", "theirs"], lambda a, b: [grouping.matched(a, b)], "our_entities long, llm_entities long, same long")
+    rows = rows.where(~many).select(key, distinct_entities(F.col("ours")).alias("ours"), distinct_entities(F.col("theirs")).alias("theirs"))
     n = [F.size(c).cast("long").alias(f"{name}_entities") for c, name in (("ours", "our"), ("theirs", "llm"))]
-    return with_rates(rows.select(key, *n, greedy_matches(F.col("ours"), F.col("theirs")).alias("same")))
+    return with_rates(rows.select(key, *n, greedy_matches(F.col("ours"), F.col("theirs")).alias("same")).unionByName(large))
 
 
 def rate(part: Column, whole: Column) -> Column:
