@@ -1,7 +1,11 @@
 import random
 
+import os
+
 import corpus_pipeline
-from veilspark.llm import decontam, mixing, packing
+from veilspark.llm import common, decontam, mixing, packing
+
+from .helpers import empty_documents, odd_documents
 
 
 def test_every_stage_takes_effect(spark, tmp_path):
@@ -50,3 +54,24 @@ def test_edited_copies_go(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(docs + copies)), "doc_id long, text string")
     got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, str(tmp_path))
     assert sorted(r.doc_id for r in got.collect()) == list(range(30))
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    labels = [(i, 1, 0) for i in range(12)] + [(None, None, None)]
+    for name, docs in (("odd", odd_documents(spark)), ("empty", empty_documents(spark))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "no such question anywhere. Nor answer."), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now, had = spark.read.parquet(f"{folder}/documents.parquet"), docs.count()
+        for stage, f in corpus_pipeline.STAGES:
+            made = f(spark, now, folder)
+            assert stage == "packing" or made.columns == docs.columns
+            made.write.parquet(f"{folder}/{stage}")
+            now = spark.read.parquet(f"{folder}/{stage}")
+        assert (now.count() > 0) == (had > 0)
+        shared = common.shared_dir(spark).removeprefix("file://")
+        before = {n for n in os.listdir(shared) if n.split("-")[0] in dict(corpus_pipeline.STAGES)} if os.path.isdir(shared) else set()
+        assert corpus_pipeline.run(spark, folder).count() == now.count()
+        left = {n.split("-")[0] for n in os.listdir(shared) if n.split("-")[0] in dict(corpus_pipeline.STAGES) and n not in before}
+        assert left <= {"mixing", "packed"}

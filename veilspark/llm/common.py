@@ -65,6 +65,12 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
+def delete(uri: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    fs, root = filesystem(uri)
+    fs.delete_dir(root)
+
+
 def attempt_name(root: str, name: str) -> str:
     """The hidden name under which this attempt of a task writes a file."""
     context = TaskContext.get()

@@ -285,26 +285,26 @@ SIDE = ["part", *(f"f{w}" for w in range(WORDS)), "n"]
 
 
 def marks(src: DataFrame, words: int) -> DataFrame:
-    """(key, same, f0, ..., n, bands) of ``src(key, text)``; texts of one set of shingles have one ``same``."""
+    """(key, name, f0, ..., n, bands) of ``src(key, text)``; texts of one set of shingles have one ``name``, of 128 bits."""
     kind = src.schema["key"].dataType.simpleString()
-    names = ["key", "same", *SIDE[1:], "bands"]
+    names = ["key", "name", *SIDE[1:], "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             same, fps, n, bands = [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), words)
-                same.append(xxhash.xxh64_intdigest(s.tobytes()))
+                same.append(xxhash.xxh3_128_digest(s.tobytes()))
                 fps.append(set_fingerprint(s))
                 n.append(len(s))
                 bands.append(bands_of(least_hashes(s)))
             fps = np.array(fps, np.uint64).reshape(-1, WORDS).view(np.int64)
             flat = np.concatenate([np.zeros(0, np.uint64), *bands]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(flat))
-            columns = [pa.array(np.array(same, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(f)) for f in fps.T), pa.array(n, pa.int64()), lists]
+            columns = [pa.array(same, pa.binary()), *(pa.array(np.ascontiguousarray(f)) for f in fps.T), pa.array(n, pa.int64()), lists]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=names)
 
-    schema = f"key {kind}, same long, {', '.join(f'f{w} long' for w in range(WORDS))}, n long, bands array<bigint>"
+    schema = f"key {kind}, name binary, {', '.join(f'f{w} long' for w in range(WORDS))}, n long, bands array<bigint>"
     return src.select("key", "text").mapInArrow(run, schema)
 
 
@@ -553,7 +553,8 @@ def kept_of_similar(
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *parts)
     src = docs.select(*parts, key.alias("key"), F.col(text_col).cast("string").alias("text"))
     firsts = [F.first(c).alias(c) for c in (*SIDE[1:], "bands")]
-    nodes = checkpoint(marks(src, words).groupBy("same").agg(F.min("key").alias("key"), *firsts))
+    nodes = marks(src, words).groupBy("name").agg(F.min("key").alias("key"), *firsts).drop("name")
+    nodes = checkpoint(nodes.withColumn("same", F.monotonically_increasing_id()))  # from now on a set's number
     rows = met(nodes).join(nodes.select("same", *SIDE[1:]), "same")
     large = rows.groupBy("s").count().where(F.col("count") > PIECE)
     pieces = F.coalesce(F.ceil(F.col("count") / PIECE).cast("int"), F.lit(1))
