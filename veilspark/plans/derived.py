@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import vocab
+
 
 def _padded(expression: str, width: int) -> str:
     return f"lpad(CAST({expression} AS STRING), {width}, '0')"
@@ -103,6 +105,27 @@ THEIRS = " UNION ALL ".join(
 )
 
 
+def dealt(words, key: str = "c_custkey", table: str = "customer", value: str = "label") -> str:
+    """(ord, label): every row of a table with the one of the words that its key deals it."""
+    pairs = " UNION ALL ".join(f"SELECT {i} AS i, '" + w.replace("'", "''") + "' AS w" for i, w in enumerate(words))
+    return f"SELECT CAST({key} AS BIGINT) AS ord, w AS {value} FROM {{{table}}} JOIN ({pairs}) AS words ON {key} % {len(words)} = i"
+
+
+RAW_LABELS = dealt([*vocab.SHARED_LABELS, *(w.upper().replace(" ", "_") for w in vocab.ZERO_SHOT_LABELS), " person ", "NRP", "Some_Thing", ""])
+OUR_LABELS = dealt([*vocab.ZERO_SHOT_LABELS, *vocab.SLM_LABELS, " DOB ", "Pan"])
+_LABELS = [*dict.fromkeys((*vocab.ZERO_SHOT_LABELS, *vocab.SLM_LABELS, "dob", "location", "organization name"))]
+#: Two labels for each order, so that all pairs of them occur.
+LABEL_PAIRS = f"""SELECT a.ord, a.label, b.label_2 FROM ({dealt(_LABELS, "o_orderkey", "orders")}) AS a
+JOIN ({dealt(_LABELS, "(o_custkey + o_orderkey * 7)", "orders", "label_2").replace("CAST((o_custkey + o_orderkey * 7) AS BIGINT)", "CAST(o_orderkey AS BIGINT)")}) AS b ON a.ord = b.ord"""
+#: What a form has beside its fields: phrases as they are, in another case, and with a customer's name behind them.
+FORM_TEXTS = f"""SELECT ord, CASE ord % 4 WHEN 0 THEN upper(phrase) WHEN 1 THEN phrase || ' ' || c_name ELSE phrase END AS text
+FROM ({dealt([*vocab.FORM_PHRASES, *vocab.COMMON_WORDS, " Pan Number "], value="phrase")}) AS p JOIN {{customer}} ON ord = c_custkey"""
+STAGES = ("extract", "chunk", "detect", "agree", "audit", "replace", "report")
+#: For each event a stage, and the stage that its user is at.
+STAGE_EVENTS = f"""SELECT a.ord, a.label, b.current FROM ({dealt(STAGES, "event_id", "events")}) AS a
+JOIN ({dealt(STAGES, "(user_id + event_id * 3)", "events", "current").replace("CAST((user_id + event_id * 3) AS BIGINT)", "CAST(event_id AS BIGINT)")}) AS b ON a.ord = b.ord"""
+
+
 def names(sql: str) -> set[str]:
     return set(re.findall(r"\{(\w+)\}", sql))
 

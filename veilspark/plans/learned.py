@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import detect, language
+from ..operators import detect, language, tagger
 from . import derived as dv
 
 QUERIES: dict = {}
@@ -51,6 +51,15 @@ def language_routes(spark, sf_dir):
     return detect.routes(said, language.route_language(F.col("language"))).select("doc_id", "language", "detector_ord", "detector")
 
 
+@query
+def tagger_held_out(spark, sf_dir):
+    """What a tagger finds of the spans that patterns mark in texts that it was not fitted on."""
+    chunks = dv.frame(spark, sf_dir, dv.ID_TEXTS).withColumnRenamed("text", "chunk")
+    found = detect.recognise_all(chunks).select(*detect.CHUNK_KEY, "text", "label")
+    found = found.unionByName(detect.indian_ids(chunks).select(*detect.CHUNK_KEY, "text", "label"))
+    return tagger.held_out(tagger.marked(chunks, found))
+
+
 def _language_sql(rows: str, fitted: str = "true") -> str:
     """CTEs from (rid, text, lang) rows on: c has the counts of the fitted ones, said what the model says of each row."""
     b = language.BUCKETS

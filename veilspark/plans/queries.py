@@ -41,10 +41,6 @@ def bars(c: str | Column) -> Column:
     return F.array_join(F.array_sort(c), "|")
 
 
-def names_frame(spark, words) -> DataFrame:
-    return spark.createDataFrame([(i, w) for i, w in enumerate(words)], "ord int, label string")
-
-
 # Chunks
 
 
@@ -150,25 +146,20 @@ def detector_routes(spark, sf_dir):
 
 @query
 def map_labels(spark, sf_dir):
-    raw = [*vocab.SHARED_LABELS, *(w.upper().replace(" ", "_") for w in vocab.ZERO_SHOT_LABELS), " person ", "NRP", "Some_Thing", ""]
-    return names_frame(spark, raw).select("ord", lb.shared_label(F.col("label")).alias("mapped"), lb.shared_label_or_spelled(F.col("label")).alias("named"))
+    return dv.frame(spark, sf_dir, dv.RAW_LABELS).select("ord", lb.shared_label(F.col("label")).alias("mapped"), lb.shared_label_or_spelled(F.col("label")).alias("named"))
 
 
 @query
 def canonical_labels(spark, sf_dir):
-    rows = names_frame(spark, [*vocab.ZERO_SHOT_LABELS, *vocab.SLM_LABELS, " DOB ", "Pan"])
+    rows = dv.frame(spark, sf_dir, dv.OUR_LABELS)
     x = F.col("label")
     return rows.select("ord", lb.canonical(x).alias("canonical"), lb.canonical(x, True).alias("evaluator"), lb.slug(x).alias("slug"), lb.slm_label(x).alias("slm"), lb.colour(x).alias("colour"))
 
 
 @query
 def label_agreement_matrix(spark, sf_dir):
-    words = [*dict.fromkeys((*vocab.ZERO_SHOT_LABELS, *vocab.SLM_LABELS, "dob", "location", "organization name"))]
-    rows = names_frame(spark, words)
-    other = rows.select(F.col("ord").alias("ord_2"), F.col("label").alias("label_2"))
-    # Two fixed lists of labels.
     a, b = F.col("label"), F.col("label_2")
-    return rows.crossJoin(other).select("label", "label_2", lb.agrees(a, b).alias("agrees"), lb.agrees(a, b, True).alias("evaluator"))
+    return dv.frame(spark, sf_dir, dv.LABEL_PAIRS).select("ord", "label", "label_2", lb.agrees(a, b).alias("agrees"), lb.agrees(a, b, True).alias("evaluator"))
 
 
 @query
@@ -301,8 +292,7 @@ def min_score(spark, sf_dir):
 
 @query
 def form_label_filter(spark, sf_dir):
-    words = names_frame(spark, [*vocab.FORM_PHRASES, *vocab.COMMON_WORDS, " Pan Number "]).withColumnRenamed("label", "text")
-    return filters.not_a_form_label(words)
+    return filters.not_a_form_label(dv.frame(spark, sf_dir, dv.FORM_TEXTS))
 
 
 @query
@@ -430,10 +420,8 @@ def new_events(spark, sf_dir):
 
 @query
 def stage_state(spark, sf_dir):
-    stages = ("extract", "chunk", "detect", "agree", "audit", "replace", "report")
-    rows = names_frame(spark, stages)
-    other = rows.select(F.col("label").alias("current"))
-    return rows.crossJoin(other).select("label", "current", report.stage_state(F.col("current"), F.col("label"), stages).alias("state"))
+    state = report.stage_state(F.col("current"), F.col("label"), dv.STAGES)
+    return dv.frame(spark, sf_dir, dv.STAGE_EVENTS).select("ord", "label", "current", state.alias("state"))
 
 
 @query

@@ -18,10 +18,6 @@ def listed(words) -> str:
     return "(" + ", ".join(map(q, words)) + ")"
 
 
-def values(words) -> str:
-    return ", ".join(f"({i}, {q(w)})" for i, w in enumerate(words))
-
-
 def flat(c: str) -> str:
     return f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'))"
 
@@ -136,21 +132,19 @@ ORACLE_SQL["detector_routes"] = f"""SELECT doc_id, detector_ord, detector FROM d
 ON route = CASE WHEN doc_id % 4 = 0 THEN 'ar' ELSE 'en' END"""
 
 # Labels
-RAW = [*vocab.SHARED_LABELS, *(w.upper().replace(" ", "_") for w in vocab.ZERO_SHOT_LABELS), " person ", "NRP", "Some_Thing", ""]
 _key = "upper(trim(label))"
 _mapped = f"coalesce({case(_key, vocab.SHARED_LABELS)}, CASE WHEN lower(replace({_key}, '_', ' ')) IN {listed(vocab.ZERO_SHOT_LABELS)} THEN lower(replace({_key}, '_', ' ')) END)"
 ORACLE_SQL["map_labels"] = f"""SELECT ord, {_mapped} AS mapped, coalesce({_mapped}, nullif(lower(trim(replace(label, '_', ' '))), ''), 'entity') AS named
-FROM (VALUES {values(RAW)}) AS t(ord, label)"""
+FROM ({duck(dv.RAW_LABELS)})"""
 _lab = "lower(trim(label))"
 _near = f"list_filter([{', '.join(map(q, vocab.SLM_LABELS))}], lambda c: contains(c, {_lab}) OR contains({_lab}, c))"
 ORACLE_SQL["canonical_labels"] = f"""SELECT ord, {canonical('label')} AS canonical, {canonical('label', True)} AS evaluator, replace({_lab}, ' ', '_') AS slug,
   CASE WHEN {_lab} IN {listed(vocab.SLM_LABELS)} THEN {_lab} WHEN len({_near}) > 0 THEN {_near}[1]
     WHEN contains({_lab}, 'name') OR contains({_lab}, 'per') THEN 'person' ELSE {_lab} END AS slm,
   {case('lower(label)', vocab.TYPE_COLOURS, q(vocab.OTHER_COLOUR))} AS colour
-FROM (VALUES {values([*vocab.ZERO_SHOT_LABELS, *vocab.SLM_LABELS, ' DOB ', 'Pan'])}) AS t(ord, label)"""
-_words = [*dict.fromkeys((*vocab.ZERO_SHOT_LABELS, *vocab.SLM_LABELS, "dob", "location", "organization name"))]
-ORACLE_SQL["label_agreement_matrix"] = f"""WITH t(ord, label) AS (VALUES {values(_words)})
-SELECT a.label, b.label AS label_2, {agrees('a.label', 'b.label')} AS agrees, {agrees('a.label', 'b.label', True)} AS evaluator FROM t a CROSS JOIN t b"""
+FROM ({duck(dv.OUR_LABELS)})"""
+ORACLE_SQL["label_agreement_matrix"] = f"""SELECT ord, label, label_2, {agrees('label', 'label_2')} AS agrees, {agrees('label', 'label_2', True)} AS evaluator
+FROM ({duck(dv.LABEL_PAIRS)})"""
 A, P, G = (q(re2(x)) for x in (vocab.AADHAAR, vocab.PAN, vocab.GST))
 _by_pattern = f"""CASE WHEN regexp_matches(text, {A}) AND label IN ('date', 'date of birth', 'date_of_birth', 'date time') THEN 'aadhaar number'
   WHEN label = 'organization' AND regexp_matches(text, {P}) THEN 'pan number' WHEN label = 'organization' AND regexp_matches(text, {G}) THEN 'gst number'
@@ -244,7 +238,7 @@ PRECISE = f"""NOT CASE WHEN {_v} = '' THEN true
   WHEN {_l} IN ('bank account number', 'bank account') THEN length(regexp_replace({_v}, '\\D', '', 'g')) BETWEEN 6 AND 9 ELSE false END"""
 ORACLE_SQL["precision_filter"] = f"SELECT doc_id, kind, value AS text, label FROM {VAL} WHERE {PRECISE}"
 ORACLE_SQL["min_score"] = f"SELECT doc_id, kind FROM {VAL} WHERE CASE WHEN doc_id % 9 != 0 THEN score ELSE 0.8 END >= 0.75"
-ORACLE_SQL["form_label_filter"] = f"""SELECT ord, text FROM (VALUES {values([*vocab.FORM_PHRASES, *vocab.COMMON_WORDS, ' Pan Number '])}) AS t(ord, text)
+ORACLE_SQL["form_label_filter"] = f"""SELECT ord, text FROM ({duck(dv.FORM_TEXTS)})
 WHERE lower(trim(text)) NOT IN {listed(vocab.FORM_PHRASES)}"""
 ORACLE_SQL["recogniser_false_positives"] = f"""WITH f AS (SELECT *, CASE
     WHEN regexp_matches(text, {A}) AND label IN ('date', 'date of birth', 'date_time') THEN {{'t': trim(regexp_extract(text, {A})), 'l': 'aadhaar number', 's': greatest(score, 0.85)}}
@@ -378,9 +372,9 @@ ORACLE_SQL["masked_documents"] = masked_sql()
 ORACLE_SQL["entity_types"] = f"SELECT doc_id, string_agg(DISTINCT {canonical('label')}, '|' ORDER BY {canonical('label')}) AS entity_types, count(*) FILTER ({PRECISE}) AS n_precise FROM {VAL} GROUP BY doc_id"
 ORACLE_SQL["new_events"] = """SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n = 1 OR before IS DISTINCT FROM event_type"""
-_stages = ("extract", "chunk", "detect", "agree", "audit", "replace", "report")
-ORACLE_SQL["stage_state"] = f"""WITH t(ord, label) AS (VALUES {values(_stages)})
-SELECT a.label, b.label AS current, CASE WHEN a.ord < b.ord THEN 'done' WHEN a.ord = b.ord THEN 'active' ELSE 'pending' END AS state FROM t a CROSS JOIN t b"""
+_place = lambda c: f"list_position([{', '.join(map(q, dv.STAGES))}], {c})"
+ORACLE_SQL["stage_state"] = f"""SELECT ord, label, current, CASE WHEN {_place('label')} < {_place('current')} THEN 'done' WHEN label = current THEN 'active' ELSE 'pending' END AS state
+FROM ({duck(dv.STAGE_EVENTS)})"""
 ORACLE_SQL["positional_join"] = """SELECT doc_id, i::INT AS pos, a[i + 1] AS word, b[i + 1] AS later FROM (
   SELECT doc_id, a, b, unnest(range(0, least(len(a), len(b)))) AS i FROM (
     SELECT doc_id, string_split(text, ' ') AS a, string_split(reverse(text), ' ')[3:] AS b FROM documents))"""
@@ -438,3 +432,32 @@ ORACLE_SQL["parse_entities"] = """SELECT c_custkey, n::INT AS n, CASE n WHEN 0 T
 FROM customer CROSS JOIN range(0, 2) t(n) WHERE c_custkey % 4 < 3"""
 ORACLE_SQL["parse_best_list"] = """SELECT c_custkey, '[{"text": "' || c_name || '"}, {"text": "b"}]' AS best FROM customer"""
 ORACLE_SQL["parse_json_like"] = """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{"a": 1}' WHEN 1 THEN '{"result": [1, ' || c_custkey || ']}' ELSE '{"raw_response": "nothing"}' END AS parsed FROM customer"""
+
+# Replacements and spans
+_WORDS = ("GST", "Customer", "mail", "nowhere", "PAN", "User")
+
+
+def _highlighted(words) -> str:
+    """Where words stand in ``text``, each behind the one before: they are taken by their first place, one step each."""
+    order = ", ".join(f"{{'p': instr(text, {q(w)}), 'i': {i}, 'v': {q(w)}}}" for i, w in enumerate(words))
+    steps = [f"s0 AS (SELECT doc_id, text, list_sort([{order}]) AS w, 0 AS last, []::STRUCT(\"start\" INT, \"end\" INT, pii_type VARCHAR)[] AS found FROM {IDS})"]
+    for k in range(1, len(words) + 1):
+        at = f"instr(substr(text, last + 1), w[{k}].v)"
+        span = f"{{'start': (last + {at} - 1)::INT, 'end': (last + {at} - 1 + length(w[{k}].v))::INT, 'pii_type': lower(w[{k}].v)}}"
+        steps.append(
+            f"""s{k} AS (SELECT doc_id, text, w, CASE WHEN {at} > 0 THEN last + {at} - 1 + length(w[{k}].v) ELSE last END AS last,
+  CASE WHEN {at} > 0 THEN list_append(found, {span}) ELSE found END AS found FROM s{k - 1})"""
+        )
+    return ", ".join(steps)
+
+
+ORACLE_SQL["highlight_spans"] = f"""WITH {_highlighted(_WORDS)}
+SELECT doc_id, (i - 1)::INT AS n, found[i]."start" AS start, found[i]."end" AS "end", found[i].pii_type AS pii_type
+FROM (SELECT doc_id, found, unnest(range(1, len(found) + 1)) AS i FROM s{len(_WORDS)})"""
+ORACLE_SQL["replacement_backfill"] = f"""WITH f AS ({ORACLE_SQL['indian_ids']}), c AS (SELECT doc_id, chunk_index, text AS chunk FROM {IDS}),
+p AS (SELECT doc_id, chunk_index, upper(text) AS o, label, length(text) AS ord FROM f JOIN c USING (doc_id, chunk_index) WHERE doc_id % 2 = 0 AND contains(chunk, upper(text))),
+g AS (SELECT doc_id, chunk_index, o, label, ord, o AS value, false AS ar, fit FROM (SELECT *, {fits('lower(label)')} AS fit FROM (SELECT *, 'nothing' AS value FROM p))),
+k AS (SELECT doc_id, chunk_index, o AS original_value, CASE WHEN fit THEN 'nothing' ELSE {made_sql()} END AS anonymized_value, label AS pii_type FROM g
+  QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_index, lower(o), lower(label) ORDER BY ord) = 1)
+SELECT * FROM k UNION ALL SELECT doc_id, chunk_index, text AS original_value, {made_sql()} AS anonymized_value, label AS pii_type FROM (SELECT *, text AS value, false AS ar FROM f) m
+WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = m.doc_id AND k.chunk_index = m.chunk_index AND lower(k.original_value) = lower(m.text))"""

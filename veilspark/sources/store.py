@@ -57,10 +57,14 @@ class RunStore:
         self._finish_swap(name)
         return VersionedTable(self.spark, f"{self.folder}/{name}", schema, key)
 
+    def filesystem(self):
+        """What makes paths, and the store's Hadoop file system."""
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        return make, make(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _finish_swap(self, name: str) -> None:
         """Give a table its name back that an earlier release put aside when it was cut short."""
-        make = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = make(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        make, fs = self.filesystem()
         now, old = make(f"{self.folder}/{name}"), make(f"{self.folder}/.{name}.old")
         if fs.exists(old):
             if fs.exists(now):

@@ -16,8 +16,9 @@ def incoming(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def masked(stream: DataFrame, conf: EngineConf | None = None) -> DataFrame:
-    """The stream with what the audit finds masked: (file_name, anonymized, n_found)."""
-    return mask_text(stream, conf or EngineConf())
+    """The stream with what the audit finds masked: (file_name, anonymized, n_found); each batch observes how many files and tokens those are."""
+    found = mask_text(stream, conf or EngineConf())
+    return found.observe("masked", F.count(F.lit(1)).alias("files"), F.sum("n_found").alias("tokens")) if stream.isStreaming else found
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bool = False):
