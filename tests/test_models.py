@@ -60,3 +60,8 @@ def test_a_reader_of_replies_used_before_a_model(spark, chat):
 def test_replies():
     assert models.entities_of('{"spans": [{"value": "a", "entity_type": "B"}]}') == [("a", "b")]
     assert models.entities_of("nothing") == [] and models.entities_of('[{"text": "a", "label": "x"}]') == [("a", "x")]
+
+
+def test_prompts_by_language_and_with_examples():
+    assert models.replace_prompt("ar") == models.REPLACE_ARABIC != models.replace_prompt("fr") == models.REPLACE
+    assert models.find_prompt() == models.FIND and "pan, as 'ABCDE1234F'" in models.find_prompt(models.EXAMPLES)

@@ -5,8 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, fields, replace
+from pathlib import Path
 from typing import Any
 
+try:
+    import yaml
+except ImportError:  # then only layers given as mappings count
+    yaml = None
+
 
 @dataclass(frozen=True)
 class EngineConf:
@@ -42,10 +48,38 @@ class EngineConf:
         made = replace(cls(), **values)
         return replace(made, llm_mode=normalise_mode(made.llm_mode), timeout_seconds=max(60, int(made.timeout_seconds)))
 
+    @classmethod
+    def read(cls, *paths: str, state: str | None = None, env: Mapping[str, str] | None = None) -> EngineConf:
+        """The settings of YAML files, later ones over earlier ones, the report that ``state`` names last, and the environment over all."""
+        last = {k: v for k, v in read_yaml(state).items() if k in ("latest_report", "updated_at") and v is not None} if state else {}
+        return cls.load(*(read_yaml(p) for p in paths), last, env=env)
+
     def snapshot(self) -> dict[str, Any]:
         return asdict(self)
 
 
+def read_yaml(path: str) -> dict[str, Any]:
+    """A YAML file's mapping; nothing where there is no such file, or it is anything else."""
+    if yaml is None or not Path(path).is_file():
+        return {}
+    try:
+        found = yaml.safe_load(Path(path).read_text("utf-8"))
+    except (yaml.YAMLError, UnicodeDecodeError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def write_state(path: str, latest_report: str, updated_at: str) -> None:
+    """Note the latest report in a YAML file that ``read`` takes as its state; whatever else the file has stays."""
+    if yaml is None:
+        raise RuntimeError("a state file needs PyYAML")
+    made = read_yaml(path) | {"latest_report": latest_report, "updated_at": updated_at}
+    part = Path(path + ".part")
+    part.parent.mkdir(parents=True, exist_ok=True)
+    part.write_text(yaml.safe_dump(made, allow_unicode=True, sort_keys=False), "utf-8")
+    part.replace(path)
+
+
 def _typed(raw: str, like: Any) -> Any:
     if isinstance(like, bool):
         return raw.lower() in ("1", "true", "yes", "y")

@@ -93,6 +93,7 @@ def _shaped(x: Column) -> Column:
     def name(first, last) -> Column:
         return line(pick(first, seed % 6), " ", pick(last, F.floor(seed / 7) % 6))
 
+    # Fixed values, from here to the end of ``kinds``: the shapes of replacements, their ranges of numbers and their words.
     phone = (
         F.when(prefix == "0", line("0", draw(0, 70, 79), draw(1, 1000000, 9999999)))
         .when(prefix == "+46", line("+46", draw(0, 70, 79), draw(1, 100000, 999999)))

@@ -122,6 +122,19 @@ def combined(rows: DataFrame) -> DataFrame:
     return totals.select("*", rate(F.col("same"), F.col("llm_entities")).alias("recall_pct"), rate(F.col("same"), F.col("our_entities")).alias("precision_pct"))
 
 
+def by_level(rows: DataFrame, levels: list[list[str]]) -> DataFrame:
+    """Totals of ``rows(..., our_entities, llm_entities, same)`` at every level, a list of columns, in one aggregation; [] is all rows.
+
+    (level, the columns, n_files, our_entities, llm_entities, same, different_llm, recall_pct, precision_pct): columns that are not of the level are null,
+    and rates are those of the sums. A null among a level's values is a value.
+    """
+    dims = list(dict.fromkeys(c for level in levels for c in level))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("our_entities", "llm_entities", "same")]
+    name = F.concat_ws("+", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in dims))
+    found = rows.groupingSets([[F.col(c) for c in level] for level in levels], *dims).agg(name.alias("level"), F.count(F.lit(1)).alias("n_files"), *sums)
+    return with_rates(found).select(F.when(F.col("level") == "", F.lit("total")).otherwise(F.col("level")).alias("level"), *dims, "n_files", "our_entities", "llm_entities", "same", "different_llm", "recall_pct", "precision_pct")
+
+
 def pending(names: DataFrame, evaluations: DataFrame) -> DataFrame:
     """Files never evaluated, or whose evaluation failed."""
     met = names.join(evaluations.select("file_name", F.lit(True).alias("seen"), "llm_error"), "file_name", "left")

@@ -113,13 +113,13 @@ class ChatDetector(Detector):
     piece, overlap = 5000, 200
     setting = "slm_threshold"
 
-    def __init__(self, chat: Chat, name: str = "qwen", ord: int = 0, score: float = 0.8):
-        self.chat, self.name, self.ord, self.score = chat, name, ord, score
+    def __init__(self, chat: Chat, name: str = "qwen", ord: int = 0, score: float = 0.8, examples: dict[str, str] | None = None):
+        self.chat, self.name, self.ord, self.score, self.prompt = chat, name, ord, score, find_prompt(examples)
 
     def _one(self, text: str) -> list[tuple[str, str, float]]:
         starts = range(0, max(1, len(text) - self.overlap), self.piece - self.overlap) if len(text) > self.piece else (0,)
         pieces = [text[a : a + self.piece] for a in starts]
-        pairs = dict.fromkeys(x for p in pieces if p.strip() for x in entities_of(self.chat.ask(FIND, p)))
+        pairs = dict.fromkeys(x for p in pieces if p.strip() for x in entities_of(self.chat.ask(self.prompt, p)))
         return [(t, la, self.score) for t, la in pairs]
 
     def detect(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
@@ -156,6 +156,28 @@ def judge_with(chat: Chat):
     return decide
 
 
+#: One example of each label for prompts that show some.
+EXAMPLES = {
+    "person": "Asha Rao", "email": "asha@example.com", "phone number": "+44 20 7946 0000", "address": "12 Mill Lane, Leeds", "organization": "Acme Ltd",
+    "date": "3 May 2021", "ssn": "123-45-6789", "credit card number": "4111 1111 1111 1111", "aadhaar": "1234 5678 9012", "pan": "ABCDE1234F", "date_of_birth": "1990-08-15",
+}
+REPLACE_ARABIC = (
+    "اكتب بديلا مختلقا واحدا لكل عنصر من النوع والشكل واللغة نفسها. أجب بصيغة JSON فقط: "
+    '{"replacements": [{"original_value": "...", "anonymized_value": "...", "pii_type": "..."}]}'
+)
+
+
+def find_prompt(examples: dict[str, str] | None = None) -> str:
+    """The question for personal data, with an example of each label where some are given."""
+    shown = "; ".join(f"{label}, as {text!r}" for label, text in (examples or {}).items())
+    return FIND + (f" Examples: {shown}." if shown else "")
+
+
+def replace_prompt(lang: str) -> str:
+    """The question for replacements, in Arabic for ``ar`` and else in English."""
+    return REPLACE_ARABIC if lang == "ar" else REPLACE
+
+
 def replacement_prompt(chunk: Column, findings: Column) -> Column:
     """The question for replacements of a chunk's findings (value, pii_type, score)."""
     items = F.transform(findings, lambda f: F.struct(f["value"].alias("value"), f["pii_type"].alias("pii_type"), F.bround(f["score"], 4).alias("confidence")))
@@ -169,13 +191,13 @@ def replacement_prompts(findings: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.select(*CHUNK_KEY, replacement_prompt(F.col("chunk"), F.col("f")).alias("prompt"))
 
 
-def proposals(findings: DataFrame, chunks: DataFrame, chat: Chat) -> DataFrame:
+def proposals(findings: DataFrame, chunks: DataFrame, chat: Chat, lang: str = "en") -> DataFrame:
     """A model's replacements (original_value, anonymized_value, pii_type, ord) for ``replace.checked``; none where it fails. Calls go side
     by side."""
     asked = replacement_prompts(findings, chunks)
 
     def replies(prompt: str):
-        return json.loads(parsers.json_like(chat.ask(REPLACE, prompt))).get("replacements")
+        return json.loads(parsers.json_like(chat.ask(replace_prompt(lang), prompt))).get("replacements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ("original_value", "anonymized_value", "pii_type")
@@ -194,12 +216,12 @@ def proposals(findings: DataFrame, chunks: DataFrame, chat: Chat) -> DataFrame:
     return asked.withColumn("chunk_index", F.col("chunk_index").cast("int")).mapInArrow(run, schema)
 
 
-def proposals_by_command(findings: DataFrame, chunks: DataFrame, command: list[str], timeout: float = 120.0, at_once: int = 1) -> DataFrame:
+def proposals_by_command(findings: DataFrame, chunks: DataFrame, command: list[str], timeout: float = 120.0, at_once: int = 1, lang: str = "en") -> DataFrame:
     """As ``proposals``, from child processes: each takes ``{"system_prompt", "user_prompt"}`` and answers ``{"replacements": [...]}``.
 
     A chunk on which a child fails, is late or answers otherwise has none.
     """
-    request = F.struct(F.lit(REPLACE).alias("system_prompt"), F.col("prompt").alias("user_prompt"))
+    request = F.struct(F.lit(replace_prompt(lang)).alias("system_prompt"), F.col("prompt").alias("user_prompt"))
     said = answered(replacement_prompts(findings, chunks), request, command, timeout, at_once)
     fields = ("original_value", "anonymized_value", "pii_type")
     items = F.from_json("answer", f"replacements array<struct<{', '.join(f'{f}:string' for f in fields)}>>")["replacements"]

@@ -82,6 +82,11 @@ _FILE = "source || '/' || CAST(doc_id AS STRING) || '.txt' AS file_name"
 EVALUATIONS = f"""SELECT {_FILE}, CAST(n_chars % 13 AS BIGINT) AS llm_entities, CAST(n_chars % 13 - n_chars % 4 % (n_chars % 13 + 1) AS BIGINT) AS same,
   CAST(n_chars % 4 % (n_chars % 13 + 1) AS BIGINT) AS different_llm, CAST(50 AS DOUBLE) AS recall_pct, CAST(25 AS DOUBLE) AS precision_pct,
   CASE WHEN doc_id % 28 = 0 THEN 'timeout' WHEN doc_id % 21 = 0 THEN '' END AS llm_error FROM {{documents}} WHERE lang != 'es'"""
+#: Each file's part in each run, with its source and language, and its evaluation where there is one.
+MEASURED = f"""SELECT s.run_id, d.source, d.lang, s.our_entities, coalesce(e.llm_entities, 0) AS llm_entities, coalesce(e.same, 0) AS same
+FROM ({SCANS}) AS s JOIN (SELECT {_FILE}, source, lang FROM {{documents}}) AS d ON s.file_name = d.file_name
+LEFT JOIN ({EVALUATIONS}) AS e ON s.file_name = e.file_name"""
+LEVELS = [["run_id", "source", "lang"], ["run_id", "source"], ["run_id"], ["source"], ["lang"], []]
 #: Files of over 9,000 characters were deleted.
 DELETED = f"SELECT {_FILE} FROM {{documents}} WHERE n_chars > 9000"
 #: Every file, and of each a copy that no run has seen.

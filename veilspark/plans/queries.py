@@ -493,6 +493,11 @@ def combined_totals(spark, sf_dir):
     return evaluate.combined(_dashboard(spark, sf_dir))
 
 
+@query
+def totals_by_level(spark, sf_dir):
+    return evaluate.by_level(dv.frame(spark, sf_dir, dv.MEASURED), dv.LEVELS)
+
+
 @query
 def evaluate_pairs(spark, sf_dir):
     return evaluate.candidates(dv.frame(spark, sf_dir, dv.OURS), dv.frame(spark, sf_dir, dv.THEIRS), "doc_id")

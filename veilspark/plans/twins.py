@@ -334,6 +334,7 @@ def made_sql() -> str:
         ("date", f"CASE {fmt} WHEN 'yyyymmdd' THEN {join(year, q('-'), month, q('-'), day)} WHEN 'ddmmyyyy' THEN {join(day, q('/'), month, q('/'), year)} ELSE {join(month, q('/'), day, q('/'), year)} END"),
         ("aadhaar", f"concat_ws(' ', {', '.join(four[:3])})"),
         ("pan", join(*power, draw(0, 1000, 9999), letter(draw(1, 0, 25)))),
+        ("gst_number", join(draw(0, 10, 99), *power, draw(1, 1000, 9999), letter(draw(2, 0, 25)), draw(3, 1, 9), letter(draw(4, 0, 25)), draw(5, 1, 9))),
         ("udyam", join("'UDYAM-'", *power[:2], "'-'", draw(0, 10, 99), "'-'", draw(1, 100000, 9999999))),
     ]
     cases = " ".join(f"WHEN regexp_matches(lower(label), '{k}') THEN {v}" for k, v in kinds)
@@ -461,3 +462,12 @@ k AS (SELECT doc_id, chunk_index, o AS original_value, CASE WHEN fit THEN 'nothi
   QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_index, lower(o), lower(label) ORDER BY ord) = 1)
 SELECT * FROM k UNION ALL SELECT doc_id, chunk_index, text AS original_value, {made_sql()} AS anonymized_value, label AS pii_type FROM (SELECT *, text AS value, false AS ar FROM f) m
 WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = m.doc_id AND k.chunk_index = m.chunk_index AND lower(k.original_value) = lower(m.text))"""
+
+_DIMS = ("run_id", "source", "lang")
+_level = "concat_ws('+', " + ", ".join(f"CASE WHEN grouping({c}) = 0 THEN '{c}' END" for c in _DIMS) + ")"
+_sets = ", ".join("(" + ", ".join(level) + ")" for level in dv.LEVELS)
+_pct = lambda whole: f"CASE WHEN {whole} > 0 THEN round_even(100.0::DOUBLE * same / {whole}, 1) ELSE 0 END::DOUBLE"
+ORACLE_SQL["totals_by_level"] = f"""SELECT CASE level WHEN '' THEN 'total' ELSE level END AS level, run_id, source, lang, n_files, our_entities, llm_entities, same, llm_entities - same AS different_llm,
+  {_pct('llm_entities')} AS recall_pct, {_pct('our_entities')} AS precision_pct FROM (
+  SELECT {_level} AS level, run_id, source, lang, count(*) AS n_files, sum(our_entities)::BIGINT AS our_entities, sum(llm_entities)::BIGINT AS llm_entities, sum(same)::BIGINT AS same
+  FROM ({duck(dv.MEASURED)}) GROUP BY GROUPING SETS ({_sets}))"""

@@ -16,20 +16,30 @@ SUFFIXES = ("pdf", "docx", "xlsx", "txt")
 
 
 def list_files(spark: SparkSession, folder: str, names: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """(file_name, ext, path, length, content) of the supported files, by lower-cased name; some ``names``, or the first ``most``.
+    """(file_name, ext, path, length, content) of the supported files, in no order; some ``names``, or the first ``most`` by lower-cased name.
 
-    Spark's reader leaves out files of no bytes.
+    What is wanted is settled on the listing: no other file is opened, and contents are neither sorted nor shuffled. Spark's reader leaves out
+    files of no bytes.
     """
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    found = _files(spark, folder, names)
+    if most is None:
+        return found
+    # Without its content a file is listed, not read; at most ``most`` names come to the driver.
+    first = found.select("file_name").orderBy(F.lower("file_name"), "file_name").limit(most)
+    return _files(spark, folder, [r.file_name for r in first.collect()])
+
+
+def _files(spark: SparkSession, folder: str, names: list[str] | None) -> DataFrame:
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    if names is not None:
+        read = read.option("pathGlobFilter", "{" + ",".join(re.sub(r"([\\\[\]{}*?,^!-])", r"\\\1", n) for n in names) + "}")
+    df = read.load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
     df = df.select(name.alias("file_name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ext"), "path", "length", "content")
     df = df.where(F.col("ext").isin(*SUFFIXES))
     if names is not None:
-        wanted = spark.createDataFrame([(n,) for n in names], "file_name string")
-        df = df.join(wanted, "file_name", "left_semi")
-    df = df.orderBy(F.lower("file_name"), "file_name")
-    return df.limit(most) if most is not None else df
+        df = df.where(F.col("file_name").isin(*names))
+    return df
 
 
 def missing_files(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:

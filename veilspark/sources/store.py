@@ -221,8 +221,7 @@ def rewritten(files: DataFrame, least: float = 0.0) -> DataFrame:
     def chunk(c: Column) -> Column:
         for k in kinds:
             c = c.withField(k, now(c["chunk_index"], k, c[k]))
-        scored = F.transform_values(c["per_detector"], lambda _, ds: F.filter(ds, lambda d: F.coalesce(d["score"], F.lit(0.8)) >= least))
-        return c.withField("per_detector", scored)
+        return c.withField("per_detector", filters.min_score_lists(c["per_detector"], least))
 
     changed = {c: now(F.lit(-1), k, F.col(c)) for k, c in every.items()} | {"chunks": F.transform("chunks", chunk)}
     return new.withColumns(changed).select(*files.columns)
