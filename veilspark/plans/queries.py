@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_dir
 from ..conf import EngineConf
 from ..functions import labels as lb
 from ..functions import parsers, synthetic, vocab
 from ..functions import text as tx
 from ..operators import detect, ensemble, evaluate, filters, replace, report
 from ..sources import store
+from ..streaming import events
 from . import derived as dv
 from .pipeline import mask_text, process
 
@@ -414,8 +417,21 @@ def entity_types(spark, sf_dir):
 
 @query
 def new_events(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return report.new_events(events, "event_type", "event_id", "user_id")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return report.new_events(rows, "event_type", "event_id", "user_id")
+
+
+@query
+def event_changes_stream(spark, sf_dir):
+    """Changes of each user's events by time, from a stream of all events that ends when it has read them; what the watermark has not passed waits on."""
+    # A stream reads folders: of this one the table's file.
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = f"{shared_dir(spark).rstrip('/')}/event-changes-{uuid.uuid4().hex}"
+    found = events.changes(stream, "event_type", "event_id", "user_id", "ts", "10 minutes")
+    sink = found.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/mark")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/rows")
 
 
 @query

@@ -373,6 +373,9 @@ ORACLE_SQL["masked_documents"] = masked_sql()
 ORACLE_SQL["entity_types"] = f"SELECT doc_id, string_agg(DISTINCT {canonical('label')}, '|' ORDER BY {canonical('label')}) AS entity_types, count(*) FILTER ({PRECISE}) AS n_precise FROM {VAL} GROUP BY doc_id"
 ORACLE_SQL["new_events"] = """SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n = 1 OR before IS DISTINCT FROM event_type"""
+ORACLE_SQL["event_changes_stream"] = """WITH e AS (SELECT *, epoch_ms(ts) AS ms FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL)
+SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))
+WHERE (n = 1 OR before IS DISTINCT FROM event_type) AND ms <= (SELECT max(ms) FROM e) - 600000"""
 _place = lambda c: f"list_position([{', '.join(map(q, dv.STAGES))}], {c})"
 ORACLE_SQL["stage_state"] = f"""SELECT ord, label, current, CASE WHEN {_place('label')} < {_place('current')} THEN 'done' WHEN label = current THEN 'active' ELSE 'pending' END AS state
 FROM ({duck(dv.STAGE_EVENTS)})"""
