@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 SUFFIXES = ("pdf", "docx", "xlsx", "txt")
 
 
-def list_files(spark: SparkSession, folder: str, names: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """(file_name, ext, path, length, content) of the supported files, in no order; some ``names``, or the first ``most`` by lower-cased name.
+def list_files(spark: SparkSession, folder: str, names: list[str] | None = None, most: int | None = None, ordered: bool = True) -> DataFrame:
+    """(file_name, ext, path, length, content) of the supported files, by lower-cased name; some ``names``, or the first ``most``.
 
-    What is wanted is settled on the listing: no other file is opened, and contents are neither sorted nor shuffled. Spark's reader leaves out
-    files of no bytes.
+    What is wanted is settled on the listing: no other file is opened. A job that reads contents has no use for an order: with ``ordered`` false contents
+    are not sorted, and not shuffled. Spark's reader leaves out files of no bytes.
     """
-    found = _files(spark, folder, names)
-    if most is None:
-        return found
-    # Without its content a file is listed, not read; at most ``most`` names come to the driver.
-    first = found.select("file_name").orderBy(F.lower("file_name"), "file_name").limit(most)
-    return _files(spark, folder, [r.file_name for r in first.collect()])
+    found, order = _files(spark, folder, names), [F.lower("file_name"), F.col("file_name")]
+    if most is not None:
+        # Without its content a file is listed, not read; at most ``most`` names come to the driver.
+        first = found.select("file_name").orderBy(*order).limit(most)
+        found = _files(spark, folder, [r.file_name for r in first.collect()])
+    return found.orderBy(*order) if ordered else found
 
 
 def _files(spark: SparkSession, folder: str, names: list[str] | None) -> DataFrame:
@@ -45,7 +45,7 @@ def _files(spark: SparkSession, folder: str, names: list[str] | None) -> DataFra
 def missing_files(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """(file_name) of ``names`` that the folder does not have."""
     wanted = spark.createDataFrame([(n,) for n in names], "file_name string")
-    return wanted.join(list_files(spark, folder).select("file_name"), "file_name", "left_anti")
+    return wanted.join(list_files(spark, folder, ordered=False).select("file_name"), "file_name", "left_anti")
 
 
 def extract(files: DataFrame) -> DataFrame:
