@@ -72,7 +72,7 @@ def test_copies_of_a_row_are_made_in_pieces(spark, monkeypatch):
 
     monkeypatch.setattr(common, "PIECE", 7), monkeypatch.setattr(mixing, "PIECE", 7)
     df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 7), ("d", 8), ("e", 50)], "k string, m long")
-    got = common.copied(df, df["m"], "i")
+    got = common.copied(df, df["m"], "i", ["k"])
     assert rows(got.select("k", "i")) == sorted(((k, i) for k, m in df.collect() for i in range(m)), key=str)
     alike = [(None, "", "s0")] * 500 + [(None, "a b c", "s1")] * 300 + [(i, "w " * (i % 5), "s0") for i in range(40)]
     docs = spark.createDataFrame(alike, "doc_id long, text string, source string").repartition(5)

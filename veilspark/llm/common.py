@@ -107,18 +107,18 @@ def whole_rows(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
 
 
-def copied(rows: DataFrame, n: Column, name: str) -> DataFrame:
+def copied(rows: DataFrame, n: Column, name: str, by: list[str]) -> DataFrame:
     """``rows`` once for each number from 0 to n - 1, in ``name``; none where n is 0.
 
-    Copies are dealt in pieces of ``PIECE``, so neither a row's array nor a task's share grows with how many one row has. All rows travel
-    once: they should be slim.
+    Copies are dealt in pieces of ``PIECE``, by the columns ``by`` and the piece's number, so neither a row's array nor a task's share grows with how many
+    one row has. All rows travel once: they should be slim.
     """
     none = F.array().cast("array<bigint>")
     last = F.least(F.col("__n"), (F.col("__piece") + 1) * PIECE) - 1
     rows = rows.withColumn("__n", n.cast("long"))
     pieces = F.when(F.col("__n") > 0, F.expr(f"sequence(0L, (__n - 1) div {PIECE})")).otherwise(none)
     rows = rows.withColumn("__piece", F.explode(pieces))
-    rows = rows.repartition(F.col("__piece"), F.xxhash64(*(c for c in rows.columns if c != "__piece")))
+    rows = rows.repartition("__piece", *by)
     return rows.withColumn(name, F.explode(F.sequence(F.col("__piece") * PIECE, last))).drop("__n", "__piece")
 
 

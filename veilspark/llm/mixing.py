@@ -102,7 +102,7 @@ def _cut(rows: DataFrame, weights: tuple, share: float, cap: float, empty: bool
     if not empty:
         all_rows = all_rows.where("size > 0")
     all_rows = all_rows.select("doc_id", "size", "source_size", "target", "d.source", "start", "n")
-    all_rows = copied(all_rows, F.col("n"), "copy")
+    all_rows = copied(all_rows, F.col("n"), "copy", ["source", "doc_id", "size"])
     goal_words = F.floor(F.col("target"))
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     rest = goal_words - epochs * F.col("source_size") - F.col("copy") * F.col("size")
@@ -136,7 +136,7 @@ def mixed_rows(
     rows = once.join(taken.where(few), names).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
     if not many.isEmpty():
         # Texts of which thousands are taken are few: only these travel in pieces.
-        rows = rows.unionByName(copied(once.join(many, names), F.col("__copies"), "__copy").select(*rows.columns))
+        rows = rows.unionByName(copied(once.join(many, names), F.col("__copies"), "__copy", names).select(*rows.columns))
     last = F.expr("__taken div __size")
     left = F.expr("__taken % __size").cast("int")
     text = F.col("__row").getField(text_col)
