@@ -32,6 +32,8 @@ DECIDES = "toxic"
 #: Labelled rows to fit on: so many that are toxic and so many that are not, at most, chosen by a hash of their id, and of each
 #: kind texts of so many bytes together, at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 << 20
+#: Features, and rows, that the fit counts at once.
+BLOCK, ROWS = 1 << 18, 512
 #: How many missed rows of the deciding category weigh as much as one rejected wrongly.
 WRONG_COST = 2.0
 FOLDS = 3
@@ -79,6 +81,14 @@ def log_odds(p):
     return np.clip(np.log(np.maximum(p, 1e-12) / np.maximum(1 - p, 1e-12)), -MOST_ODDS, MOST_ODDS)
 
 
+def counted(numbers: np.ndarray, least: int) -> np.ndarray:
+    """``np.bincount`` of small numbers, in blocks: it widens what it is given."""
+    out = np.zeros(least, np.int64)
+    for a in range(0, len(numbers), BLOCK):
+        out += np.bincount(numbers[a : a + BLOCK], minlength=least)
+    return out
+
+
 class Rows:
     """Numbers of features of rows, side by side, and whose they are, four bytes each; ``ids`` are the numbered features."""
 
@@ -88,7 +98,7 @@ class Rows:
     @classmethod
     def of(cls, flat: np.ndarray, owner: np.ndarray, n: int) -> Rows:
         """Of feature ids; those that no model takes up, as too few rows have them, are left out."""
-        ids = np.flatnonzero(np.bincount(flat, minlength=MASK + 1) >= LEAST_ROWS)
+        ids = np.flatnonzero(counted(flat, MASK + 1) >= LEAST_ROWS)
         place = np.full(MASK + 1, -1, np.int32)
         place[ids] = np.arange(len(ids))
         number = place[flat]
@@ -108,8 +118,8 @@ class Linear:
         self.v, self.b = np.zeros(dense.shape[1]), -30.0 if pos == 0 else 30.0
         if pos in (0.0, float(n)):
             return
-        df = np.bincount(rows.flat, minlength=len(rows.ids))
-        hit = np.bincount(rows.flat[y[rows.owner] > 0], minlength=len(rows.ids))
+        df = counted(rows.flat, len(rows.ids))
+        hit = counted(rows.flat[(y > 0)[rows.owner]], len(rows.ids))
         rate = df / n
         z = (hit / pos - (df - hit) / (n - pos)) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / pos + 1 / (n - pos)))
         z = np.where(df >= LEAST_ROWS, np.abs(z), 0)
@@ -148,7 +158,12 @@ class Linear:
     def odds(self, rows: Rows, dense: np.ndarray) -> np.ndarray:
         weight = np.zeros(len(rows.ids))
         weight[np.searchsorted(rows.ids, self.ids)] = self.w
-        return np.bincount(rows.owner, weights=weight[rows.flat], minlength=rows.n) + dense @ self.v + self.b
+        total = np.zeros(rows.n)
+        for a in range(0, rows.n, ROWS):  # owners ascend: a row is summed up in one block
+            lo, hi = np.searchsorted(rows.owner, (a, a + ROWS))
+            n = min(ROWS, rows.n - a)
+            total[a : a + n] = np.bincount(rows.owner[lo:hi] - a, weights=weight[rows.flat[lo:hi]], minlength=n)
+        return total + dense @ self.v + self.b
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
@@ -257,11 +272,14 @@ def fit(
     # At most 2 * sample_rows ids.
     upto = F.sum("size").over(Window.partitionBy("d").orderBy(F.xxhash64("doc_id"), "doc_id"))
     taken = made.select("doc_id", "d", "size").withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("doc_id")
-    got = made.join(F.broadcast(taken), "doc_id", "left_semi").select("doc_id", "y", "f").toArrow().sort_by("doc_id")
+    got = made.join(F.broadcast(taken), "doc_id", "left_semi").orderBy("doc_id").select("y", "f").toArrow()
     y, found = got["y"].to_pylist(), got["f"].combine_chunks()
     y = np.array(y, float).reshape(len(y), len(categories))
     flat, at = found.flatten().to_numpy(), found.offsets.to_numpy() if len(found) else np.zeros(1, int)
     rows = Rows.of(flat, np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at)), len(y))
+    # What came from Spark is not needed any more, and its memory is given back before the fit takes its own.
+    del got, found, flat, at
+    pa.default_memory_pool().release_unused()
     # The sample has its own share of the deciding category: odds are moved back to the share among all labels.
     d = [name for name, _ in categories].index(DECIDES)
     have, true = (y[:, d].mean() if len(y) else 0.5), counts.get(True, 0) / max(1, sum(counts.values()))
