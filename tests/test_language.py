@@ -60,3 +60,22 @@ def test_routes_follow_the_language(spark):
 
     df = spark.createDataFrame([("ar",), ("en",), ("fr",)], "language string")
     assert [r[0] for r in df.select(language.route_language(F.col("language"))).collect()] == ["ar", "en", "en"]
+
+
+def test_only_kept_columns_go_with_the_text(spark):
+    rows = spark.createDataFrame([(1, "the cat sat", "x")], "doc_id long, text string, more string")
+    model = language.fit(spark.createDataFrame([("the cat", "en")], "text string, lang string"))
+    whole, slim = language.identified(rows, model), language.identified(rows, model, keep=["doc_id"])
+    assert slim.columns == ["doc_id", "language", "score", "margin"]
+    assert slim.first() == whole.drop("text", "more").first()
+
+
+def test_a_long_text_is_counted_in_small_blocks():
+    import tracemalloc
+
+    text = "of some words " * 150_000
+    tracemalloc.start()
+    n = sum(len(x) for x in language.triples(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text) - 1 and peak < 10_000_000

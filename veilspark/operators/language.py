@@ -24,7 +24,7 @@ BUCKETS, FACTOR = 1 << 15, 1_000_003
 #: Languages that a model may have: what comes to the driver is at most so many tables.
 MOST_LANGUAGES = 200
 #: Characters whose triples are counted at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 #: What a text without a letter counts as.
 DEFAULT = "en"
 
@@ -109,15 +109,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return model_of(counted(labelled, text_col, lang_col))
 
 
-def identified(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+def identified(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` with language, score and margin: the likeliest language, the sum of its logs, and how far ahead of the next it is.
 
+    All columns go through Python, or those to ``keep``: without the text, which goes there lower-cased anyway, a worker holds less.
+
     Of languages that are as likely the first by name counts. A text without a letter, a null one too, is ``DEFAULT``, with score and
     margin 0; so is every text where the model has no language. With one language the margin is 0.
     """
     spark = df.sparkSession
     held = spark.sparkContext.broadcast((model.names, model.logs))  # at most ``MOST_LANGUAGES`` tables
-    schema = T.StructType([T.StructField("__row", df.schema), *T._parse_datatype_string("language string, score long, margin long")])
+    kept = df.columns if keep is None else keep
+    schema = T.StructType([T.StructField("__row", df.select(*(F.col(f"`{c}`") for c in kept)).schema), *T._parse_datatype_string("language string, score long, margin long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs = held.value
@@ -137,9 +140,9 @@ def identified(df: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], "language", "score", "margin"])
 
     low = F.lower(F.col(text_col).cast("string")).alias("__low")
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), low)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("__row"), low)
     found = rows.mapInArrow(run, schema)
-    return found.select(*(F.col("__row").getField(c).alias(c) for c in df.columns), "language", "score", "margin")
+    return found.select(*(F.col("__row").getField(c).alias(c) for c in kept), "language", "score", "margin")
 
 
 def route_language(language: Column) -> Column:
@@ -157,5 +160,5 @@ def held_out(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fold = F.coalesce(hashed % folds, F.lit(0))
     rows = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold.alias("fold"))
     model = fit(rows.where("fold != 0"))
-    said = identified(rows.where("fold = 0").select("lang", "text"), model)
+    said = identified(rows.where("fold = 0").select("lang", "text"), model, keep=["lang"])
     return said.groupBy("lang", "language").agg(F.count("*").alias("n"))

@@ -36,7 +36,7 @@ def language_counts(spark, sf_dir):
 @query
 def language_identified(spark, sf_dir):
     rows = texts(spark, sf_dir)
-    return language.identified(rows, language.fit(rows)).select("doc_id", "language", "score", "margin")
+    return language.identified(rows, language.fit(rows), keep=["doc_id"]).select("doc_id", "language", "score", "margin")
 
 
 @query
@@ -47,7 +47,7 @@ def language_held_out(spark, sf_dir):
 @query
 def language_routes(spark, sf_dir):
     rows = texts(spark, sf_dir)
-    said = language.identified(rows, language.fit(rows)).select("doc_id", "language")
+    said = language.identified(rows, language.fit(rows), keep=["doc_id"]).select("doc_id", "language")
     return detect.routes(said, language.route_language(F.col("language"))).select("doc_id", "language", "detector_ord", "detector")
 
 
