@@ -72,6 +72,16 @@ def test_components_of_a_long_chain(spark):
     assert found == {i: 0 for i in range(1, 61)} | {101: 100}
 
 
+def test_components_of_few_edges_are_few_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.createDataFrame([(1, 2), (2, 3), (9, 8)], "u long, v long"))
+        assert found.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.root for r in found.collect()} == {2: 1, 3: 1, 9: 8}
+
+
 def test_fingerprints_are_exact_and_copies_link(spark):
     docs = odd_documents(spark)
     found = simhash.near_duplicates(docs).collect()

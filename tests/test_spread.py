@@ -35,7 +35,7 @@ def test_small_and_empty_tables_stay_as_they_are(spark, tmp_path):
         assert dv.id_texts(spark, folder).count() == n and dv.values(spark, folder).count() == 20 * n
 
 
-def test_a_text_is_collapsed_once_however_many_slices_it_has():
+def test_a_text_is_collapsed_once_however_many_slices_it_has(spark):
     assert repr(tx.chunk_array(F.col("t"))).count("regexp_replace") == 1
 
 

@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of one key from which on they are not dealt by it in a join.
 HUB = 20_000
+#: Edges that a task takes: more tasks for a small graph leave a file each at every step.
+EDGES = 50_000
 #: Copies of a row that are made at once.
 PIECE = 4096
 
@@ -148,13 +150,13 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {steps}::BIGINT[]), lambda a, x: {step}), 4294967295)"
 
 
-def joined_once(rows: DataFrame, once: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``once``, which has each key once and in ``n`` how many of the rows have it.
+def joined_once(rows: DataFrame, once: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``once``, which has each key once and in ``n`` how many of the rows have it; ``once`` is stored by so many ``tasks``.
 
     Rows of a key that over ``HUB`` of them share are not dealt by it: such keys are few, at most a ``HUB``-th of the rows, and
     a table by themselves, which Spark broadcasts if it is small and else joins by sorting, splitting what is skewed.
     """
-    once = checkpoint(once)
+    once = checkpoint(once.coalesce(tasks) if tasks else once)
     hubs = once.where(F.col("n") > HUB)
     if hubs.isEmpty():
         return rows.join(once.drop("n"), key)
@@ -168,20 +170,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges are stars. A step takes the least neighbour of every node, a
     partial minimum, to all others; the neighbours of a node of very many stay where they are (``joined_once``). Nodes without
-    an edge do not appear.
+    an edge do not appear. A step's tasks, and so its files, are as many as the edges need, whatever the number of shuffle partitions.
     """
     now = checkpoint(
         edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
+    n = 1 + now.count() // EDGES  # no step has more edges than the one before
+    now = now.coalesce(n)
     mark = None
     for _ in itertools.count():
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = joined_once(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpoint(large.where("u != v").distinct())
-        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = joined_once(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.union(low.select("u", "m")).where("u != v").distinct())
+        large = joined_once(both, low, "u", n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpoint(large.where("u != v").coalesce(n).distinct().coalesce(n))
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).coalesce(n))
+        small = joined_once(large, low, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpoint(small.union(low.select("u", "m")).where("u != v").coalesce(n).distinct().coalesce(n))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
