@@ -62,3 +62,41 @@ def test_states_of_runs_and_those_that_stall(quiet, tmp_path):
     states = quiet.createDataFrame([(s, c) for s in STAGES for c in STAGES], "s string, c string").select("s", "c", report.stage_state(F.col("c"), F.col("s"), STAGES).alias("x"))
     by = {(r.s, r.c): r.x for r in states.collect()}
     assert all(rows[7, m, ()][s] == [by[s, now]] for m, now in ((0, "extract"), (5, "detect"), (20, "report")) for s in STAGES)
+
+
+def test_states_do_not_grow_with_groups(quiet, tmp_path):
+    rows = [(i, i % 3000, at(i * 0.01), "ab"[i // 6000]) for i in range(9000)]
+    quiet.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "in"))
+    found = events.changes(quiet.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "kind", "event_id", "user_id", "ts")
+    query = found.writeStream.format("memory").queryName("many_groups").option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(states) <= events.BUCKETS < 3000
+    want = {(i % 3000, i, kind) for i, _, ts, kind in rows if (i < 3000 or i >= 6000) and ts <= at(8999 * 0.01 - 10)}
+    assert {tuple(r) for r in quiet.table("many_groups").collect()} == want
+
+
+def test_an_event_at_the_watermark_is_settled(quiet, tmp_path):
+    got = drain(quiet, tmp_path, lambda s: events.changes(s, "kind", "event_id", "user_id", "ts", "10 minutes"), [[(1, 1, at(0), "a"), (2, 2, at(10), "b")]])
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "a")]
+
+
+def test_groups_of_one_state_are_kept_apart(quiet, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(6), at(i), rng.choice(STAGES)) for i in range(60)]
+    cut = [rows[:40], rows[30:], [(99, 9, at(300), "extract")], [(98, 9, at(301), "report")]]
+    got = {}
+    for n in (1, 1024):
+        monkeypatch.setattr(events, "BUCKETS", n)
+        named = lambda s: s.withColumn("user_id", F.concat(F.lit("run "), "user_id"))
+        found = drain(quiet, tmp_path / str(n), lambda s: events.run_states(named(s), "kind", "event_id", "user_id", "ts", STAGES, "10 minutes", 30 * 60_000), cut)
+        got[n] = sorted(map(tuple, found.collect()))
+    begin = int(BEGIN.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    want, last = [], {}
+    for _, user, ts, kind in rows:
+        if last.get(user, (None, None))[1] != kind:
+            want.append((f"run {user}", kind, ts, "active"))
+        last[user] = (ts, kind)
+    want += [(f"run {user}", kind, ts, "stalled") for user, (ts, kind) in last.items() if kind != "report"]
+    here = [(run, kind, BEGIN + datetime.timedelta(milliseconds=t - begin), state) for run, t, kind, state in got[1] if state in ("active", "stalled")]
+    assert got[1] == got[1024] and sorted(w for w in here if w[0] != "run 9") == sorted(want) and len(got[1]) == 3 * len(here)
