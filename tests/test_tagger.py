@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilspark.operators import detect, tagger
 from veilspark.plans import derived, learned
@@ -82,3 +83,41 @@ def test_spans_that_patterns_mark(spark):
     assert {r.chunk[s.start : s.end] for s in r.spans} <= {x.text for x in detect.recognise_all(chunks.where(f"doc_id = {r.doc_id}")).collect()} and len(r.spans) >= 3
     got = learned.QUERIES["tagger_held_out"](spark, "/root/testdata/sf0.01").collect()
     assert sum(r.right for r in got) >= 0.97 * sum(r.marked for r in got) and sum(r.right for r in got) >= 0.97 * sum(r.found for r in got)
+
+
+def test_every_text_is_learned_from(spark, monkeypatch):
+    """More texts than a fit once took: a label that only the last of them have, by the order of the old sample, is learned, and every text is seen."""
+    monkeypatch.setattr(tagger, "PART_TEXTS", 1500)
+    n = 4400
+    rows = spark.range(n).selectExpr("id AS doc_id", "1 AS chunk_index", "concat('code ', id, ' end') AS chunk")
+    late = rows.orderBy(F.xxhash64(F.lit("tagger"), "doc_id", "chunk_index")).offset(4000).select("doc_id").collect()
+    late = {r.doc_id for r in late}
+    schema = "doc_id long, chunk_index int, chunk string, spans array<struct<start:int,end:int,label:string>>"
+    texts = [(i, 1, f"code {i} end", [{"start": 5, "end": 5 + len(str(i)), "label": "rare" if i in late else "common"}]) for i in range(n)]
+    df = spark.createDataFrame(texts, schema)
+    model = tagger.fit(df, rounds=1)
+    assert model.labels == ("common", "rare")
+    again = tagger.fit(df.repartition(9), rounds=1)
+    assert np.array_equal(model.weights, again.weights)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_tagged_at_once_are_learned_from_one_by_one(seed):
+    texts = [(text, spans) for _, _, text, spans in names(random.Random(seed), 60)] + [("", []), (" ", [])]
+    random.Random(seed).shuffle(texts)
+    tags = tagger.tags_of(["bank account number", "first name", "last name"])
+    k, ok = len(tags), tagger.allowed(tags)
+    start = np.random.default_rng(seed).integers(-1, 2, (tagger.FEATURES + k + 1, k)) * 0.25
+    weights, weighed = start.copy(), np.zeros(start.shape)
+    for step, (text, spans) in enumerate(texts):
+        where = tagger.tokens_of(text)
+        if not where:
+            continue
+        (rows,), want = tagger.features([(text, where)]), tagger.gold(text, where, spans, tags)
+        got = tagger.best_path(tagger.emitted(weights, rows), weights[tagger.FEATURES :] + ok)
+        for path, by in ((want, 1.0), (got, -1.0)):
+            for table, size in ((weights, by), (weighed, by * (len(texts) - step))):
+                np.add.at(table, (rows, path[:, None]), size)
+                np.add.at(table, (tagger.FEATURES + np.r_[k, path[:-1]], path), size)
+    change, mean = tagger.learn(texts, tags, start)
+    assert np.array_equal(weights, start + change) and np.array_equal(weighed, mean) and change.any()
